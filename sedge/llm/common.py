@@ -158,11 +158,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             .unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         )
         after = store(small, "edges")
-        if _same(now, after):
-            drop_stored(now)
-            break
+        settled = _same(now, after)
         drop_stored(now)
         now = after
+        if settled:
+            break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
