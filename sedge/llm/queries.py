@@ -15,6 +15,12 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
