@@ -32,6 +32,8 @@ from .common import components, local_forest, store
 COSINE = 0.98
 TABLES, FUNCTIONS, PROBES = 6, 2, 3
 CELL = 2000
+#: Bucket rows that one task should hold; buckets are dealt to tasks by hash, a few thousand at a time.
+TASK_ROWS = 20_000
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -151,18 +153,32 @@ def near_vectors(vectors: DataFrame, least: float = COSINE) -> DataFrame:
     rows = rows.withColumn("c1", F.least("cell", "other")).withColumn("c2", F.greatest("cell", "other"))
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        codes = np.stack([np.frombuffer(c, np.int32).reshape(TABLES, PROBES) for c in pdf["codes"]])
-        c1, c2 = int(pdf["c1"].iloc[0]), int(pdf["c2"].iloc[0])
-        cell, cid = pdf["cell"].to_numpy(), pdf["cid"].to_numpy()
-        left = np.flatnonzero(cell == c1)
-        right = left if c1 == c2 else np.flatnonzero(cell == c2)
-        gain, root = meet(x, codes, int(pdf["tab"].iloc[0]), int(pdf["code"].iloc[0]), left, right, pdf["n"].to_numpy(), least)
-        some = np.flatnonzero((gain > 0) | (root != np.arange(len(root))))
-        return pd.DataFrame({"cid": cid[some], "gain": gain[some], "root": cid[root[some]]})
-
-    met = store(rows.select(*bucket, "c1", "c2", "cell", "cid", "n", "embedding", "codes").groupBy(*bucket, "c1", "c2").applyInPandas(join, "cid bigint, gain bigint, root bigint"), "met")
+        keys = pdf[[*bucket, "c1", "c2"]].to_numpy(np.int64)
+        order = np.lexsort(keys.T[::-1])
+        cuts = np.flatnonzero((np.diff(keys[order], axis=0) != 0).any(1)) + 1
+        cell, cid, counts = pdf["cell"].to_numpy(), pdf["cid"].to_numpy(), pdf["n"].to_numpy()
+        embedding, packed = pdf["embedding"].to_numpy(), pdf["codes"].to_numpy()
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for part in np.split(order, cuts):
+            if len(part) < 2:
+                continue
+            x = np.stack(embedding[part]).astype(np.float64)
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            codes = np.stack([np.frombuffer(c, np.int32).reshape(TABLES, PROBES) for c in packed[part]])
+            _, _, tab, code, c1, c2 = keys[part[0]].tolist()
+            left = np.flatnonzero(cell[part] == c1)
+            right = left if c1 == c2 else np.flatnonzero(cell[part] == c2)
+            gain, root = meet(x, codes, tab, code, left, right, counts[part], least)
+            some = np.flatnonzero((gain > 0) | (root != np.arange(len(root))))
+            if len(some):
+                own = cid[part]
+                out.append((own[some], gain[some], own[root[some]]))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] or [np.zeros(0, np.int64)] * 3
+        return pd.DataFrame(dict(zip(("cid", "gain", "root"), cols, strict=True)))
+
+    tasks = max(1, -(-classes.count() * TABLES * PROBES // TASK_ROWS))
+    dealt = rows.select(*bucket, "c1", "c2", "cell", "cid", "n", "embedding", "codes", F.pmod(F.xxhash64(*bucket, "c1", "c2"), F.lit(tasks)).alias("task"))
+    met = store(dealt.groupBy("task").applyInPandas(join, "cid bigint, gain bigint, root bigint"), "met")
     gains = met.groupBy("cid").agg(F.sum("gain").alias("gain"))
     roots = components(met.where("cid <> root").select(F.col("cid").alias("u"), F.col("root").alias("v")))
     rooted = classes.select("label", "dim", "k1", "k2", "cid", "low", "n").join(gains, "cid", "left").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
