@@ -432,14 +432,32 @@ def sequence_high_water(spark, d):
 _INTENTS = ["takeoff", "altitude_reached", "move", "land", "ground_contact", "abort", "reset", "hover", "takeoff", "altitude_reached", "formation"]
 
 
-@query()
+_FSM_SQL = f"""WITH RECURSIVE e AS (SELECT user_id, ({_INTENTS!r})[((event_id * 31 + user_id) % {len(_INTENTS)}) + 1] AS intent, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+f AS (SELECT DISTINCT user_id, 0::BIGINT AS r, 'LANDED' AS state, 0::BIGINT AS n FROM events UNION ALL
+SELECT e.user_id, e.r, CASE WHEN intent = 'takeoff' AND state = 'LANDED' THEN 'TAKING_OFF' WHEN intent = 'land' AND state IN ('TAKING_OFF', 'FLYING') THEN 'LANDING' WHEN intent = 'abort' AND state IN ('TAKING_OFF', 'FLYING', 'LANDING') THEN 'ABORTED'
+  WHEN intent = 'altitude_reached' AND state = 'TAKING_OFF' THEN 'FLYING' WHEN intent = 'ground_contact' AND state = 'LANDING' THEN 'LANDED' WHEN intent = 'reset' AND state = 'ABORTED' THEN 'LANDED' ELSE state END,
+  n + CASE WHEN intent IN ('altitude_reached', 'ground_contact', 'reset') THEN 0 WHEN intent = 'abort' THEN (state IN ('TAKING_OFF', 'FLYING', 'LANDING'))::INT WHEN intent = 'takeoff' AND state = 'LANDED' THEN 1 WHEN state IN ('TAKING_OFF', 'FLYING') THEN 1 ELSE 0 END
+FROM f JOIN e ON e.user_id = f.user_id AND e.r = f.r + 1) SELECT user_id, arg_max(state, r) AS final_state, max(n) AS n_dispatched FROM f GROUP BY user_id"""
+
+
+@query(_FSM_SQL)
 def fsm_fold(spark, d):
     names = F.array(*map(F.lit, _INTENTS))
     e = read(spark, d, "events").select("user_id", "event_id", F.element_at(names, (F.pmod(F.col("event_id") * 31 + F.col("user_id"), F.lit(len(_INTENTS))) + 1).cast("int")).alias("intent"))
     return ordered.fold_states(e, ["user_id"], "event_id", "intent")
 
 
-@query()
+_END_SQL = """WITH RECURSIVE e AS (SELECT user_id, least(abs(value) / 100, 1.0) AS p, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+f AS (SELECT DISTINCT user_id, 0::BIGINT AS r, 0::BIGINT AS free, false AS open, 0::BIGINT AS start, -1::BIGINT AS quiet, NULL::BIGINT AS s, NULL::BIGINT AS en, NULL::BOOLEAN AS forced FROM events UNION ALL
+SELECT user_id, r, CASE WHEN ends OR cut THEN r ELSE free END, open1 AND NOT (ends OR cut), CASE WHEN ends OR cut THEN 0 ELSE start1 END, CASE WHEN ends OR cut THEN -1 ELSE quiet1 END,
+  CASE WHEN ends OR cut THEN start1 END, CASE WHEN ends THEN least(quiet1 + 1, r) WHEN cut THEN r END, CASE WHEN ends OR cut THEN cut END
+FROM (SELECT *, NOT ends AND open1 AND r - start1 >= 12 AS cut FROM (SELECT *, open AND p < 0.5 - 0.15 AND r - quiet1 >= 3 AS ends FROM (
+  SELECT f.user_id, e.r, f.free, f.open, p, f.open OR p >= 0.5 AS open1, CASE WHEN p >= 0.5 AND NOT f.open THEN greatest(f.free, e.r - 1 - 1) ELSE f.start END AS start1,
+    CASE WHEN p >= 0.5 THEN -1 WHEN f.open AND p < 0.5 - 0.15 AND f.quiet < 0 THEN e.r - 1 ELSE f.quiet END AS quiet1 FROM f JOIN e ON e.user_id = f.user_id AND e.r = f.r + 1))))
+SELECT user_id, s AS start, en AS "end", r AS t0, forced FROM f WHERE forced IS NOT NULL"""
+
+
+@query(_END_SQL)
 def endpoint_sessions(spark, d):
     e = read(spark, d, "events").select("user_id", "event_id", F.least(F.abs("value") / 100, F.lit(1.0)).alias("p"))
     return ordered.endpoints(e, ["user_id"], "event_id", "p", silence=3, pad=1, longest=12)
@@ -652,3 +670,82 @@ def group_budgets(spark, d):
 @query("SELECT table_name, n FROM (SELECT 'nation' AS table_name, count(*) AS n FROM nation UNION ALL SELECT 'region', count(*) FROM region)")
 def manifest_counts(spark, d):
     return readers.table_counts(spark, {"nation": f"{d}/nation.parquet", "region": f"{d}/region.parquet"})
+
+
+# ---------------------------------------------------------------- streams
+
+
+def _event_stream(spark, d, columns):
+    from ..streaming import messages
+
+    source = read(spark, d, "events")
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema)
+    return messages.file_source(spark, f"{d}/events*.parquet", ddl, fmt="parquet").select("user_id", "event_id", *columns)
+
+
+def _stream_messages(spark, d):
+    return _event_stream(spark, d, [F.when(F.col("event_type") == "click", "A").otherwise("B").alias("branch"), (F.col("event_id") * 7919 % 1000).alias("seq")])
+
+
+@query(ORACLE["sequence_high_water"])
+def stream_high_water(spark, d):
+    from ..streaming import messages, stateful
+
+    out = messages.run_available(stateful.high_water(_stream_messages(spark, d), "user_id"), "high_water")
+    return out.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if("stale").alias("n_stale"))
+
+
+@query("""SELECT user_id, count(*) FILTER (g IS NULL OR g > 40) AS n_events FROM (SELECT user_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM events WHERE value >= 20) GROUP BY ALL""")
+def stream_debounce(spark, d):
+    from ..streaming import messages, stateful
+
+    out = messages.run_available(stateful.debounced(_event_stream(spark, d, ["value"]), "user_id", "event_id", "value", 20.0, 40), "debounce")
+    return out.groupBy("user_id").agg(F.count("*").alias("n_events"))
+
+
+@query(_FSM_SQL)
+def stream_flight_states(spark, d):
+    from ..streaming import messages, stateful
+
+    names = F.array(*map(F.lit, _INTENTS))
+    intent = F.element_at(names, (F.pmod(F.col("event_id") * 31 + F.col("user_id"), F.lit(len(_INTENTS))) + 1).cast("int")).alias("intent")
+    out = messages.run_available(stateful.flight_states(_event_stream(spark, d, [intent]), "user_id"), "flight")
+    return out.groupBy("user_id").agg(F.max_by("state", "event_id").alias("final_state"), F.count("dispatched").alias("n_dispatched"))
+
+
+@query(_END_SQL)
+def stream_endpoints(spark, d):
+    from ..streaming import messages, stateful
+
+    e = _event_stream(spark, d, [F.least(F.abs("value") / 100, F.lit(1.0)).alias("p")])
+    return messages.run_available(stateful.endpoints(e, "user_id", "event_id", "p", silence=3, pad=1, longest=12), "endpoints")
+
+
+@query("""WITH e AS (SELECT user_id, event_id, event_type, epoch(ts) AS at FROM events) SELECT u.user_id, u.event_id, (SELECT min(r.at) FROM e r WHERE r.user_id = u.user_id AND r.event_type = 'click' AND r.event_id < u.event_id AND r.at >= u.at - 3600
+ AND NOT EXISTS (SELECT 1 FROM e o WHERE o.user_id = u.user_id AND o.event_type = 'view' AND o.event_id > r.event_id AND o.event_id < u.event_id AND r.at < o.at - 3600)) AS reflex FROM e u WHERE event_type = 'view'""")
+def stream_reflex_gate(spark, d):
+    from ..streaming import messages, stateful
+
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    kind = F.when(F.col("event_type") == "click", "reflex").when(F.col("event_type") == "view", "utterance")
+    e = _event_stream(spark, d, [kind.alias("kind"), F.when(kind == "reflex", at).otherwise(at - 3600).alias("at")]).where("kind is not null")
+    return messages.run_available(stateful.reflex_gate(e, "user_id", "event_id"), "reflex")
+
+
+@query("SELECT user_id, count(*) AS n, count(*) FILTER (branch = 'A') AS n_a FROM (SELECT user_id, CASE WHEN event_type = 'click' THEN 'A' WHEN event_type = 'view' THEN 'B' ELSE 'C' END AS branch FROM events) WHERE branch <> 'C' GROUP BY user_id")
+def message_envelope(spark, d):
+    """Messages written to the wire form and read back; unknown branches are dropped."""
+    from ..streaming import messages
+
+    e = read(spark, d, "events")
+    branch = F.when(F.col("event_type") == "click", "A").when(F.col("event_type") == "view", "B").otherwise("C")
+    wire = e.select(messages.to_wire(F.col("event_id"), branch, F.to_json(F.struct("user_id")), F.lit(0.0)).alias("value"))
+    back = messages.from_wire(wire).select(F.get_json_object("command", "$.user_id").cast("bigint").alias("user_id"), "branch")
+    return back.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("branch") == "A").alias("n_a"))
+
+
+@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r <= 20")
+def event_ring(spark, d):
+    from ..streaming import messages
+
+    return messages.ring(read(spark, d, "events").select("user_id", "event_id"), "user_id", "event_id", 20)
