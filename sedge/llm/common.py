@@ -64,6 +64,22 @@ def parallelism(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Keys that join_counted() may send to every task at most.
+HOT_KEYS = 2000
+
+
+def join_counted(rows: DataFrame, keys: DataFrame, on: list[str], total: int) -> DataFrame:
+    """rows joined with keys (unique in `on`), where keys has `n`, the rows of each key, which sum to `total` at most.
+
+    Keys with more than total / HOT_KEYS rows number less than HOT_KEYS: those are broadcast and
+    their rows stay where they are; the rest meet by a shuffle in which no key is large. n is dropped.
+    """
+    bound = max(1000, total // HOT_KEYS)
+    hot = F.broadcast(keys.where(F.col("n") > bound).drop("n"))
+    cold = rows.join(hot.select(*on), on, "left_anti").join(keys.where(F.col("n") <= bound).drop("n"), on)
+    return rows.join(hot, on).unionByName(cold)
+
+
 # ---------------------------------------------------------------- hashing in numpy
 
 _ODD = 0x9E3779B97F4A7C15

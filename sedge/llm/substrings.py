@@ -11,8 +11,8 @@ by doubling, from size / 2 to size, and only what repeats at one level is looked
    document of smaller doc_id are removed, and their words with them.
 
 Documents of equal word sequences are compared once: all windows of the later ones repeat. Hashes
-are counted by partial aggregation and joined back, so a passage that a third of all documents
-hold is no single task's group. Nothing is sampled or capped.
+are counted by partial aggregation and joined back, the few most frequent ones by a broadcast of
+bounded size, so a passage that a third of all documents hold is no single task's group. Nothing is sampled or capped.
 
 Null text: no words. A null doc_id has no place in the order: such rows lose nothing and take
 nothing from others. Rows with one doc_id don't take from each other. Texts shorter than a window
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, WINDOW_BASES, span_hashes, store, window_hashes, word_spans
+from .common import BASES, WINDOW_BASES, join_counted, span_hashes, store, window_hashes, word_spans
 
 SIZE = 50
 
@@ -129,12 +129,13 @@ def repeats(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame, Da
     first = profile.where("doc_id is not null").groupBy("sha").agg(F.min(F.struct("doc_id", "th")).alias("r")).select("sha", "r.*")
     one = profile.join(first.select("doc_id", "th"), ["doc_id", "th"], "left_semi").where(F.size("marks") > 0)
     marks = one.select("doc_id", "th", F.explode("marks").alias("mark"))
-    shared = marks.groupBy("mark").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("mark")
-    live = marks.join(shared, "mark").groupBy("doc_id", "th").agg(F.collect_set("mark").alias("marks"))
+    shared = marks.groupBy("mark").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).where("a < b").select("mark", "n")
+    n_marks = profile.agg(F.sum(F.size("marks"))).first()[0] or 0
+    live = join_counted(marks, shared, ["mark"], n_marks).groupBy("doc_id", "th").agg(F.collect_set("mark").alias("marks"))
     found = store(_windows(_keyed(docs).join(live, ["doc_id", "th"]), size), "windows")
     windows = found.where("pos >= 0").select("doc_id", "th", "pos", "h1", "h2")
-    low = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
-    gone = windows.join(low, ["h1", "h2"]).where("doc_id > low").groupBy("doc_id", "th").agg(F.collect_set("pos").alias("starts"))
+    low = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high").drop("high")
+    gone = join_counted(windows, low, ["h1", "h2"], windows.count()).where("doc_id > low").groupBy("doc_id", "th").agg(F.collect_set("pos").alias("starts"))
     cut = found.where("pos = -1").select("doc_id", "th", "text").join(gone, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
     return profile.drop("marks"), first, cut
 
