@@ -102,7 +102,7 @@ def blocks_of(html: str) -> list[tuple[str, int, bool]]:
         name = (m[2] or m[5] or "").lower()
         if not name:
             continue
-        if name not in INLINE:
+        if name not in INLINE and name not in RAW:  # what is skipped whole doesn't break the line it stands in
             flush()
         elif name == "br" and not dropped:
             parts.append(" ")
