@@ -73,7 +73,7 @@ def first_outside_parens(text: Column) -> Column:
 
 def clean_lines(text: Column) -> Column:
     """Trimmed, non-empty lines joined by blanks."""
-    return F.array_join(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != ""), " ")
+    return F.array_join(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != ""), " ")
 
 
 def starts_with_verb(text: Column, verbs: list[str]) -> Column:
@@ -83,7 +83,7 @@ def starts_with_verb(text: Column, verbs: list[str]) -> Column:
 
 def parse_pattern(pattern: Column) -> Column:
     """'shape:circle,dir:up,radius,ids' as a map from slot to value (null for a bare slot)."""
-    parts = F.filter(F.transform(F.split(pattern, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(pattern, ","), lambda x: F.trim(x)), lambda p: p != "")
     entries = F.transform(parts, lambda p: F.struct(F.get(F.split(p, ":", 2), F.lit(0)).alias("k"), F.get(F.split(p, ":", 2), F.lit(1)).alias("v")))
     return F.map_from_entries(entries)
 

@@ -15,6 +15,7 @@ from ..functions.command import DIRECTIONS, DRONES, LIMITS, SHAPES, SLOTS, canon
 from ..functions.numbers import digits_of, spell
 from ..functions.text import normalise_transcript
 from ..schemas import RECORD_COLUMNS
+from ..sources.shared import stored
 
 
 def to_record(df: DataFrame, **overrides: Column) -> DataFrame:
@@ -45,7 +46,7 @@ def dedup_resolved(records: DataFrame, clean: DataFrame, key: str, text: str, la
     """(kept, dropped): of rows with one text and one label the first stays; on different labels a row whose text is augmented goes back to its clean text and is judged again; of clean rows in conflict the first stays.
 
     A row reverts once at most, so the rounds end; each is one shuffle and is written to the
-    checkpoint folder, and only the number of reverting rows comes back to the driver.
+    shared folder, and only the number of reverting rows comes back to the driver.
     """
     base = records.join(clean.select(key, F.col(text).alias("_clean")), key, "left").withColumn("_clean", F.coalesce("_clean", text))
     now = base.withColumn("_n", normalise_transcript(F.col(text))).withColumn("_c", normalise_transcript(F.col("_clean")))
@@ -57,7 +58,7 @@ def dedup_resolved(records: DataFrame, clean: DataFrame, key: str, text: str, la
         # the first row yields if it is augmented and any later one disagrees; later ones yield if they are
         some_clash = F.max(clash.cast("int")).over(Window.partitionBy("_n")) == 1
         marked = now.withColumn("_clash", clash).withColumn("_any", some_clash).withColumn("_revert", F.col("_any") & augmented & (F.col("_clash") | (F.row_number().over(w) == 1)))
-        marked = marked.checkpoint()
+        marked = stored(marked, "conflicts")
         if marked.where("_revert").limit(1).count() == 0:
             break
         now = marked.withColumn("_n", F.when(F.col("_revert"), F.col("_c")).otherwise(F.col("_n"))).withColumn(text, F.when(F.col("_revert"), F.col("_clean")).otherwise(F.col(text))).drop("_clash", "_any", "_revert")

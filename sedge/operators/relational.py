@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 
 def paired(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Full outer join on key with `side`: both, left or right. require_paired() makes anything but both an error."""
@@ -44,7 +46,8 @@ def pareto(points: DataFrame, low: str, high: str) -> DataFrame:
     range needs only the maximum of those before it and no task sees all points.
     """
     best = points.groupBy(low).agg(F.max(high).alias("_best"))
-    parts = best.repartitionByRange(low).withColumn("_part", F.spark_partition_id())
+    # where ranges are cut is decided by a sample, so it is decided once
+    parts = stored(best.repartitionByRange(low).withColumn("_part", F.spark_partition_id()), "ranges")
     inside = Window.partitionBy("_part").orderBy(low).rowsBetween(Window.unboundedPreceding, -1)
     before = parts.groupBy("_part").agg(F.max("_best").alias("_top"))
     carried = before.select("_part", F.max("_top").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
@@ -53,13 +56,12 @@ def pareto(points: DataFrame, low: str, high: str) -> DataFrame:
 
 
 def interval_latest(points: DataFrame, spans: DataFrame, key: list[str], at: str, start: str, end: str, payload: str, width: float) -> DataFrame:
-    """Each point with the payload of the latest span of its key that covers it (null end: open). Spans are cut into bins of `width`, so the range join is an equi-join; an open or long span is found through the bins it covers up to the point's key maximum."""
+    """Each distinct point with the payload of the latest span of its key that covers it (null end: open). Spans are cut into bins of `width`, so the range join is an equi-join; an open or long span is found through the bins it covers up to the point's key maximum."""
     last = points.groupBy(*key).agg(F.max(at).alias("_last"))
     binned = spans.join(last, key).where(F.col(start) <= F.col("_last")).withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.least(F.coalesce(F.col(end), F.col("_last")), F.col("_last")) / width)))).drop("_last")
-    id_col = points.withColumn("_bin", F.floor(F.col(at) / width))
-    hit = id_col.join(binned, [*key, "_bin"], "left").where(F.col(start).isNull() | ((F.col(at) >= F.col(start)) & (F.col(at) <= F.coalesce(F.col(end), F.lit(float("inf"))))))
-    found = hit.groupBy(*points.columns).agg(F.max_by(payload, start).alias(payload))
-    return points.join(found, points.columns, "left")
+    hit = points.withColumn("_bin", F.floor(F.col(at) / width)).join(binned, [*key, "_bin"], "left")
+    covers = (F.col(at) >= F.col(start)) & (F.col(at) <= F.coalesce(F.col(end), F.lit(float("inf"))))
+    return hit.groupBy(*points.columns).agg(F.max_by(F.when(covers, F.col(payload)), F.when(covers, F.col(start))).alias(payload))
 
 
 def suppressed(utterances: DataFrame, reflexes: DataFrame, key: str, start: str, fired: str) -> DataFrame:

@@ -142,9 +142,9 @@ def simulate(shape: str, numbers: list[int], seconds: float = SECONDS, n: int =
         accuracy = (np.linalg.norm(p - target, axis=-1) <= IN_SLOT).mean(1)
         settled = np.where((settled < 0) & (accuracy >= CONVERGED), tick, settled)
         if tick >= ticks - window:
-            late += accuracy / min(window, ticks)
+            late += accuracy
     return pd.DataFrame({
-        "shape": shape, "trial": numbers, "seed": seeds, "formation_accuracy": late, "converged": (settled >= 0).astype("int32"),
+        "shape": shape, "trial": numbers, "seed": seeds, "formation_accuracy": late / min(window, ticks), "converged": (settled >= 0).astype("int32"),
         "convergence_seconds": [None if s < 0 else s * TICK for s in settled], "collisions": collisions.astype("int32"), "clamp_activations": pushed.astype("int32"),
         "min_pair_distance": nearest, "final_mean_error": np.linalg.norm(p - target, axis=-1).mean(1),
     })
