@@ -1,10 +1,13 @@
 """Near-duplicate vectors by cross-polytope hashing, with every candidate pair verified.
 
 A vector is rotated by three rounds of random signs and a fast Hadamard transform; its hash is
-the signed axis it lies closest to. A table joins `FUNCTIONS` such hashes into a bucket; besides
-its own bucket a vector also enters those where one hash is its second closest axis (multiprobe).
-Vectors that share a bucket of any of the `TABLES` tables are candidates, and their cosine is
-computed in double precision: only pairs of `COSINE` or more link.
+the signed axis it lies closest to. A table joins a few such hashes into a bucket, so many that
+buckets outnumber vectors; besides its own bucket a vector also enters those where one hash is its
+second closest axis (multiprobe). Vectors that share a bucket of any of the `TABLES` tables are
+candidates, and their cosine is computed in double precision: only pairs of `COSINE` or more link.
+
+Bucket numbers are counted first, without vectors; a vector is only sent to the buckets that it
+shares with another.
 
 Identical vectors are one class with a count, and classes are compared, so copies are never
 expanded into pairs. A bucket of more than `CELL` classes is split into cells and every two cells
@@ -19,6 +22,7 @@ component; for a null vec_id both are null and false). Repeated rows are vectors
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, local_forest, store
+from .common import components, join_counted, local_forest, store
 
 COSINE = 0.98
-TABLES, FUNCTIONS, PROBES = 6, 2, 3
+TABLES = 6
 CELL = 2000
 #: Bucket rows that one task should hold; buckets are dealt to tasks by hash, a few thousand at a time.
 TASK_ROWS = 20_000
@@ -47,18 +51,24 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(width)
 
 
-def codes_of(x: np.ndarray) -> np.ndarray:
-    """n x TABLES x PROBES bucket numbers of n unit vectors."""
+def functions_for(n: int, dim: int) -> int:
+    """Hashes a bucket joins: the fewest, two at least, that make as many buckets as there are vectors."""
+    axes = 2 * (1 << max(0, dim - 1).bit_length())
+    return max(2, math.ceil(math.log(max(2, n)) / math.log(axes) - 1e-9)) if axes > 2 else 2
+
+
+def codes_of(x: np.ndarray, functions: int) -> np.ndarray:
+    """n x TABLES x (functions + 1) bucket numbers of n unit vectors, their own bucket first."""
     n, dim = x.shape
     width = 1 << max(0, dim - 1).bit_length()
     padded = np.zeros((n, width))
     padded[:, :dim] = x
     rng = np.random.default_rng(dim)
-    out = np.zeros((n, TABLES, PROBES), np.int32)
+    out = np.zeros((n, TABLES, functions + 1), np.int64)
     rows = np.arange(n)
     for t in range(TABLES):
         best, second = [], []
-        for _ in range(FUNCTIONS):
+        for _ in range(functions):
             y = padded
             for _ in range(3):
                 y = hadamard(y * rng.choice([-1.0, 1.0], width))
@@ -70,7 +80,7 @@ def codes_of(x: np.ndarray) -> np.ndarray:
             second.append(other * 2 + (y[rows, other] < 0))
         own = sum(b * (2 * width) ** k for k, b in enumerate(best))
         out[:, t, 0] = own
-        for k in range(FUNCTIONS):
+        for k in range(functions):
             out[:, t, k + 1] = own + (second[k] - best[k]) * (2 * width) ** k
     return out
 
@@ -105,7 +115,7 @@ def meet(x: np.ndarray, codes: np.ndarray, table: int, code: int, left: np.ndarr
             ci, cj = codes[i, : table + 1], codes[j, : table + 1]
             shared = (ci[:, :, :, None] == cj[:, :, None, :]).any(3)  # pair, table, probe of i
             first = ~shared[:, :table].any((1, 2))
-            lowest = np.where(shared[:, table], ci[:, table], np.iinfo(np.int32).max).min(1) == code
+            lowest = np.where(shared[:, table], ci[:, table], np.iinfo(np.int64).max).min(1) == code
             own = first & lowest
             np.add.at(gain, i[own], counts[j[own]])
             np.add.at(gain, j[own], counts[i[own]])
@@ -117,37 +127,32 @@ def near_vectors(vectors: DataFrame, least: float = COSINE) -> DataFrame:
     e = F.col("embedding")
     finite = ~F.exists(e, lambda v: v.isNull() | F.isnan(v) | (F.abs(v.cast("double")) == float("inf")))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & e.isNotNull() & (F.size(e) > 0) & finite & F.exists(e, lambda v: v != 0)
-    base = vectors.select(F.col("vec_id").cast("bigint"), "label", e.cast("array<double>").alias("embedding"), F.coalesce(usable, F.lit(False)).alias("usable"))
+    base = vectors.select(F.col("vec_id").cast("bigint"), F.col("label").cast("bigint").alias("label"), e, F.coalesce(usable, F.lit(False)).alias("usable"))
     base = base.withColumn("k1", F.xxhash64("label", "embedding")).withColumn("k2", F.hash("embedding", "label"))
     classes = store(
         base.where("usable").groupBy("label", F.size("embedding").alias("dim"), "k1", "k2").agg(F.first("embedding").alias("embedding"), F.min("vec_id").alias("low"), F.count("*").alias("n"))
         .withColumn("cid", F.monotonically_increasing_id()), "classes",
     )
 
-    def hashed(with_rows: bool):
-        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in it:
-                dims = batch.column(2).to_numpy(zero_copy_only=False)
-                for dim in np.unique(dims):
-                    part = batch.filter(pa.array(dims == dim))
-                    codes = codes_of(_unit(part.column(3)))
-                    n = len(codes)
-                    for t in range(TABLES):
-                        for p in range(PROBES):
-                            cols = [part.column(1), part.column(2), pa.array(np.full(n, t, np.int32)), pa.array(codes[:, t, p])]
-                            names = ["label", "dim", "tab", "code"]
-                            if with_rows:
-                                cols += [part.column(0), part.column(4), part.column(3), pa.array([c.tobytes() for c in codes], pa.binary())]
-                                names += ["cid", "n", "embedding", "codes"]
-                            yield pa.RecordBatch.from_arrays(cols, names)
-
-        return run
+    n_classes = classes.count()
+
+    def hashed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            dims = batch.column(1).to_numpy(zero_copy_only=False)
+            for dim in np.unique(dims):
+                part = batch.filter(pa.array(dims == dim))
+                codes = codes_of(_unit(part.column(2)), functions_for(n_classes, int(dim))).reshape(part.num_rows, -1)
+                offsets = np.arange(0, codes.size + 1, codes.shape[1], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes.ravel()))], ["cid", "codes"])
 
     bucket = ["label", "dim", "tab", "code"]
-    spread = "label int, dim int, tab int, code int"
-    source = classes.select("cid", F.col("label").cast("int").alias("label"), "dim", "embedding", "n")
-    hot = source.mapInArrow(hashed(False), spread).groupBy(*bucket).agg(F.count("*").alias("size")).where(F.col("size") > CELL).select(*bucket, F.ceil(F.col("size") / CELL).cast("int").alias("cells"))
-    rows = source.mapInArrow(hashed(True), f"{spread}, cid bigint, n bigint, embedding array<double>, codes binary").join(hot, bucket, "left").withColumn("cells", F.coalesce("cells", F.lit(1)))
+    codes = store(classes.select("cid", "dim", "embedding").mapInArrow(hashed, "cid bigint, codes array<bigint>").join(classes.select("cid", "label", "dim"), "cid"), "codes")
+    keys = codes.select("cid", "label", "dim", (F.size("codes") / TABLES).cast("int").alias("probes"), F.posexplode("codes").alias("pos", "code"))
+    keys = keys.select("cid", "label", "dim", F.floor(F.col("pos") / F.col("probes")).cast("int").alias("tab"), "code")
+    shared = keys.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1").withColumn("cells", F.ceil(F.col("n") / CELL).cast("int"))
+    total = codes.agg(F.sum(F.size("codes"))).first()[0] or 0
+    places = join_counted(keys, shared, bucket, total).groupBy("cid").agg(F.collect_list(F.struct("tab", "code", "cells")).alias("places"))
+    rows = classes.select("cid", "label", "dim", "embedding", "n").join(places, "cid").join(codes.select("cid", "codes"), "cid").withColumn("p", F.explode("places")).select("*", "p.*").drop("p", "places")
     # a row of cell c meets every cell d: in the task of {c, d}, with its own cell's rows and the other's
     rows = rows.withColumn("cell", F.pmod(F.xxhash64("cid"), F.col("cells")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     rows = rows.withColumn("c1", F.least("cell", "other")).withColumn("c2", F.greatest("cell", "other"))
@@ -164,7 +169,7 @@ def near_vectors(vectors: DataFrame, least: float = COSINE) -> DataFrame:
                 continue
             x = np.stack(embedding[part]).astype(np.float64)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-            codes = np.stack([np.frombuffer(c, np.int32).reshape(TABLES, PROBES) for c in packed[part]])
+            codes = np.stack(packed[part]).reshape(len(part), TABLES, -1)
             _, _, tab, code, c1, c2 = keys[part[0]].tolist()
             left = np.flatnonzero(cell[part] == c1)
             right = left if c1 == c2 else np.flatnonzero(cell[part] == c2)
@@ -176,7 +181,7 @@ def near_vectors(vectors: DataFrame, least: float = COSINE) -> DataFrame:
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] or [np.zeros(0, np.int64)] * 3
         return pd.DataFrame(dict(zip(("cid", "gain", "root"), cols, strict=True)))
 
-    tasks = max(1, -(-classes.count() * TABLES * PROBES // TASK_ROWS))
+    tasks = max(1, -(-total // TASK_ROWS))
     dealt = rows.select(*bucket, "c1", "c2", "cell", "cid", "n", "embedding", "codes", F.pmod(F.xxhash64(*bucket, "c1", "c2"), F.lit(tasks)).alias("task"))
     met = store(dealt.groupBy("task").applyInPandas(join, "cid bigint, gain bigint, root bigint"), "met")
     gains = met.groupBy("cid").agg(F.sum("gain").alias("gain"))
