@@ -749,3 +749,138 @@ def event_ring(spark, d):
     from ..streaming import messages
 
     return messages.ring(read(spark, d, "events").select("user_id", "event_id"), "user_id", "event_id", 20)
+
+
+# ---------------------------------------------------------------- recorded runs
+
+
+@query("""WITH s AS (SELECT o_custkey, o_orderpriority, list({'c': o_orderstatus = 'F', 'd': CASE WHEN o_orderkey % 3 = 0 THEN 'hover' ELSE 'move' END} ORDER BY o_orderkey) AS s FROM orders GROUP BY ALL)
+SELECT o_orderpriority, count(*) AS n, avg(list_bool_and(list_transform(s, lambda x: x.c))::INT) AS "right", avg(s[len(s)].c::INT) AS right_last, sum(len(s) % 4)::DOUBLE / sum(len(s)) AS error_rate,
+ count(*) FILTER (NOT list_bool_and(list_transform(s, lambda x: x.c)) AND list_bool_and(list_transform(s, lambda x: x.d = 'hover')))::DOUBLE / nullif(count(*) FILTER (NOT list_bool_and(list_transform(s, lambda x: x.c))), 0) AS safe_failures, sum(len(s))::BIGINT AS n_segments FROM s GROUP BY o_orderpriority""")
+def condition_summary(spark, d):
+    from ..operators import experiments
+
+    o = read(spark, d, "orders")
+    seg = F.struct(F.col("o_orderkey").alias("k"), (F.col("o_orderstatus") == "F").alias("correct"), F.when(F.col("o_orderkey") % 3 == 0, "hover").otherwise("move").alias("dispatched"))
+    items = o.groupBy("o_custkey", "o_orderpriority").agg(F.array_sort(F.collect_list(seg)).alias("segments")).withColumn("words", F.size("segments")).withColumn("errors", F.col("words") % 4)
+    return experiments.condition_summary(items, "o_orderpriority", "segments", "errors", "words")
+
+
+def _keyword_trials(spark, d):
+    """Each user's events as one keyword trial of their commonest type."""
+    e = read(spark, d, "events")
+    ev = F.struct(F.col("event_id").alias("at"), F.col("event_type").alias("intent"), (F.col("event_id") % 50).cast("int").alias("frame_index"), F.col("value").alias("latency_offset_ms"),
+                  (F.col("event_id") % 2 == 0).alias("in_flight"), (F.col("event_id") % 3 == 0).alias("aborted"), F.col("value").alias("abort_return_ms"), (F.col("value") * 2).alias("server_idle_ms"))
+    return e.where("event_id % 5 < 2").groupBy("user_id").agg(F.array_sort(F.collect_list(ev)).alias("events")).withColumn("truth", F.when(F.col("user_id") % 2 == 0, "click").otherwise("view")).withColumn("offset_s", F.lit(0.5))
+
+
+_TRIALS = "t AS (SELECT user_id, list({'i': event_type, 'f': event_id % 50, 'v': value, 'r': event_id % 2 = 0 AND event_id % 3 = 0} ORDER BY event_id) AS ev, CASE WHEN user_id % 2 = 0 THEN 'click' ELSE 'view' END AS truth FROM events WHERE event_id % 5 < 2 GROUP BY user_id)"
+
+
+@query(f"WITH {_TRIALS}, x AS (SELECT truth, list_transform(ev, lambda e: e.i) AS i FROM t) SELECT truth, count(*) AS n, count(*) FILTER (list_contains(i, 'click')) AS fired_click, count(*) FILTER (list_contains(i, 'view')) AS fired_view, count(*) FILTER (NOT list_contains(i, truth)) AS missed FROM x GROUP BY truth")
+def cross_trigger(spark, d):
+    from ..operators import experiments
+
+    return experiments.cross_trigger(_keyword_trials(spark, d), "truth", "events", ["click", "view"])
+
+
+@query(f"""WITH {_TRIALS}, o AS (SELECT truth, list_filter(ev, lambda e: e.i = truth)[1] AS e FROM t), m AS (SELECT truth, e.v AS v, ((e.f + 1) * 0.08 - 0.5) * 1000 AS a, e.r AS r FROM o WHERE e IS NOT NULL),
+l AS (SELECT truth, 'offset' AS measure, v AS value FROM m UNION ALL SELECT truth, 'algorithmic', a FROM m UNION ALL SELECT truth, 'system', v - a FROM m UNION ALL SELECT truth, 'recovery', greatest(v, v * 2) FROM m WHERE r)
+SELECT truth, measure, count(*) AS n, sum(value) AS total, max(value) AS highest FROM l GROUP BY ALL""")
+def keyword_measures(spark, d):
+    from ..operators import experiments
+
+    m = experiments.keyword_measures(_keyword_trials(spark, d), ["truth"], "truth", "events", "offset_s")
+    return m.groupBy("truth", "measure").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max("value").alias("highest"))
+
+
+@query("""WITH x AS (SELECT label, list_position(list_transform(embedding, lambda v: v >= 0.25), true) AS p FROM embeddings WHERE len(embedding) > 0) SELECT label, count(*) AS n, avg((p IS NULL OR p = 0)::INT) AS missed, avg(CASE WHEN p > 0 THEN p * 0.08 - 0.5 END) AS delay_s FROM x GROUP BY label""")
+def trace_scores(spark, d):
+    from ..operators import experiments
+
+    return experiments.trace_scores(read(spark, d, "embeddings").withColumn("end_s", F.lit(0.5)), "label", "embedding", "end_s", 0.25)
+
+
+@query("""WITH c AS (SELECT p_partkey AS path, p_brand AS label, p_type AS voice, p_size AS base, 1 + p_retailprice / 1000 AS scale, CASE WHEN p_partkey % 3 = 0 THEN p_size * 0.1 END AS exact_length FROM part),
+k AS (SELECT base, min(exact_length) AS length FROM c WHERE exact_length IS NOT NULL GROUP BY base), j AS (SELECT * FROM c LEFT JOIN k USING (base)), r AS (SELECT label, voice, quantile_cont(length / scale, 0.5) AS ratio FROM j WHERE length IS NOT NULL GROUP BY ALL)
+SELECT path, 0.25::DOUBLE AS onset, 0.25 + coalesce(length, ratio * scale) AS "end", length IS NOT NULL AS exact FROM j LEFT JOIN r USING (label, voice)""")
+def keyword_spans(spark, d):
+    from ..operators import experiments
+
+    p = read(spark, d, "part")
+    clips = p.select(F.col("p_partkey").alias("path"), F.col("p_brand").alias("label"), F.col("p_type").alias("voice"), F.col("p_size").alias("base"), (1 + F.col("p_retailprice") / 1000).alias("length_scale"), F.lit(0.25).alias("onset"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_size") * 0.1).cast("double").alias("exact_length"))
+    return experiments.keyword_spans(clips)
+
+
+@query("""WITH c AS (SELECT vec_id, unnest(list_transform(embedding, lambda v: v::DOUBLE - list_avg(list_transform(embedding, lambda w: w::DOUBLE)))) AS v, unnest(range(len(embedding))) AS i FROM embeddings), f AS (SELECT vec_id, i // 8 AS frame, sqrt(avg(v * v)) AS level FROM c GROUP BY ALL)
+SELECT vec_id, quantile_cont(level, 0.2) AS floor FROM f GROUP BY vec_id""")
+def take_noise_floor(spark, d):
+    from ..operators import experiments
+
+    return experiments.noise_floor(read(spark, d, "embeddings"), "vec_id", "embedding", 8)
+
+
+@query()
+def take_reports(spark, d):
+    """Quality gate of takes: measures, failures and warnings."""
+    from ..operators import experiments
+
+    takes = read(spark, d, "embeddings").select("vec_id", F.flatten(F.array_repeat(F.col("embedding").cast("array<double>"), 10)).alias("samples"))
+    return experiments.take_report(takes, "vec_id", "samples", 400, F.lit(0.01))
+
+
+@query("""WITH a AS (SELECT doc_id, quality AS l1, toxic AS t1 FROM labels), b AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 1 - quality ELSE quality END AS l2, toxic AS t2 FROM labels)
+SELECT count(*) AS n, avg((l1 = l2)::INT) AS exact, avg((l1 = l2)::INT) AS intent, 2.0 * sum((l1 = l2)::INT + (t1 = t2)::INT) / (4 * count(*)) AS slot_f1 FROM a JOIN b USING (doc_id)""")
+def label_agreement(spark, d):
+    from ..operators import experiments
+
+    lab = read(spark, d, "labels")
+
+    def side(q):
+        label = F.concat(F.lit('{"intent":"'), q.cast("string"), F.lit('"}'))
+        return lab.select("doc_id", label.alias("label"), label.alias("raw"), F.array(F.concat(F.lit("q="), q.cast("string")), F.concat(F.lit("t="), F.col("toxic").cast("string"))).alias("pairs"))
+
+    return experiments.agreement(side(F.col("quality")), side(F.when(F.col("doc_id") % 7 == 0, 1 - F.col("quality")).otherwise(F.col("quality"))), "doc_id")
+
+
+@query("SELECT o_orderkey, round(epoch_us(l) / 86400e6 - epoch_us(o) / 86400e6, 2) AS days FROM (SELECT o_orderkey, o_orderdate AS o, max(l_shipdate) AS l FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)")
+def gap_days(spark, d):
+    from ..operators import experiments
+
+    last = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("l"))
+    return read(spark, d, "orders").join(last, "o_orderkey").select("o_orderkey", experiments.gap_days(F.col("o_orderdate").cast("timestamp"), F.col("l").cast("timestamp")).alias("days"))
+
+
+@query("SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS amount, count(DISTINCT source) AS n_sources FROM documents GROUP BY lang")
+def nested_counts(spark, d):
+    from ..operators import experiments
+
+    out = experiments.nested_counts(read(spark, d, "documents"), "lang", ["source"], "n_chars")
+    return out.select("lang", "n", "amount", F.size("by_source").cast("bigint").alias("n_sources"))
+
+
+@query("""WITH b AS (SELECT event_type AS text, 0 AS s, event_id AS o FROM events WHERE event_id < 3 UNION ALL SELECT n_name, 1, n_nationkey FROM nation), f AS (SELECT text, min(s * 1000000 + o) AS p FROM b GROUP BY text)
+SELECT text, CASE WHEN p < 1000000 THEN 'harvested' ELSE 'fallback' END AS provenance FROM f ORDER BY p LIMIT 10""")
+def distinct_then_fill(spark, d):
+    from ..operators import experiments
+
+    rows = read(spark, d, "events").where("event_id < 3").select(F.col("event_type").alias("text"), F.col("event_id").cast("bigint").alias("o"))
+    fallback = read(spark, d, "nation").select(F.col("n_name").alias("text"), F.col("n_nationkey").cast("bigint").alias("o"))
+    return experiments.distinct_then_fill(rows, fallback, "text", "o", 10)
+
+
+@query("SELECT label, md5(string_agg(vec_id || ':' || len(embedding), ',' ORDER BY vec_id)) AS parts, sum(len(embedding))::INT AS n FROM embeddings GROUP BY label")
+def concatenated_arrays(spark, d):
+    from ..operators import experiments
+
+    e = read(spark, d, "embeddings")
+    whole = experiments.concatenated(e, "label", "vec_id", "embedding").select("label", F.size("embedding").alias("n"))
+    named = e.groupBy("label").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", F.size("embedding").alias("k")))), lambda x: F.concat(x["vec_id"].cast("string"), F.lit(":"), x["k"].cast("string"))), ",")).alias("parts"))
+    return whole.join(named, "label")
+
+
+@query("SELECT source, doc_id, CASE WHEN row_number() OVER (PARTITION BY source ORDER BY doc_id) <= floor(count(*) OVER (PARTITION BY source) * 0.7 + 1e-9) THEN 'train' ELSE 'eval' END AS part FROM documents")
+def fold_partition(spark, d):
+    from ..operators import experiments
+
+    return experiments.by_fold(read(spark, d, "documents").select("source", "doc_id"), "source", "doc_id", 0.7)

@@ -243,3 +243,37 @@ def test_readers_and_writers(spark, tmp_path):
     assert writers.replace_block("x", "new", "<a>", "<b>") == ("x", False)
     assert readers.verify(spark.createDataFrame([("s.wav", "0")], "name string, sha256 string"), readers.digests(spark, str(tmp_path / "s.wav"))).count() == 1
     assert "| a | 1 |" in writers.markdown(df.select("k", "v"))
+
+
+def test_item_outcomes(spark):
+    from sedge.operators import experiments
+
+    seg = "array<struct<correct:boolean,dispatched:string>>"
+    df = spark.createDataFrame([(1, []), (2, [(True, "move")]), (3, [(True, "move"), (False, "hover")]), (4, [(False, "hover"), (False, "unknown")])], f"k int, s {seg}")
+    got = {r["k"]: tuple(r["o"]) for r in df.select("k", experiments.outcome(F.col("s")).alias("o")).collect()}
+    assert got == {1: (False, False, True, 0), 2: (True, True, False, 1), 3: (False, False, False, 2), 4: (False, False, True, 2)}
+
+
+def test_take_reports(spark):
+    from sedge.operators import experiments
+
+    rate = 1000
+    quiet, loud = [0.001, -0.001] * 200, [0.3, -0.3] * 300
+    rows = [("good", quiet + loud + quiet), ("short", loud[:200]), ("clipped", quiet + [1.0, -1.0] * 300 + quiet), ("silent", [0.0] * 1000), ("faint", [0.0011, -0.0011] * 500)]
+    df = spark.createDataFrame(rows, "k string, x array<double>")
+    got = {r["k"]: (r["failures"], r["warnings"], round(r["lead"], 2), round(r["tail"], 2)) for r in experiments.take_report(df, "k", "x", rate, F.lit(0.001)).collect()}
+    assert got["good"] == ([], [], 0.4, 0.4)
+    assert got["short"][0] == ["too short"] and got["clipped"][0] == ["clipped"]
+    assert "silence" in got["silent"][0] and got["faint"][0] == ["silence"]
+    floors = {r["k"]: r["floor"] for r in experiments.noise_floor(df, "k", "x", 20).collect()}
+    assert floors["good"] == pytest.approx(0.001) and floors["silent"] == 0.0
+
+
+def test_latex_tables():
+    from sedge.plans import reports
+
+    out = reports.latex("# Table of *x*\n\nwords\n\n| a_b | n |\n|---|---:|\n| `c_d` | 5 % |\n\nnote", "t")
+    assert r"\begin{tabular}{lr}" in out and r"a\_b & n \\" in out and r"\texttt{c\_d} & 5 \% \\" in out and r"\emph{x}" in out
+    with pytest.raises(ValueError, match="ragged|cells"):
+        reports.latex("| a | b |\n|---|---|\n| 1 |", "t")
+    assert reports.run_names("results/exp 2-raw/") == ("exp_2_raw.csv", "exp_2_raw_analysis.md")
