@@ -19,9 +19,12 @@ def tokens(text: Column) -> Column:
 
 def ngrams(words: Column, n: int) -> Column:
     """Distinct runs of n words joined by blanks; a shorter text is one run of all its words."""
-    size = F.size(words)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.array_distinct(runs)
+    runs = F.greatest(F.size(words) - n + 1, F.lit(1))
+    out = F.slice(words, 1, runs)
+    # shifted copies zipped together: the words are computed once for each copy, not once for each run
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(words, k + 1, runs), lambda a, b: F.concat_ws(" ", a, b))
+    return F.when(F.size(words) == 0, F.array(F.lit(""))).otherwise(F.array_distinct(out))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import jaccard, leakage_similarity, ngrams, normalise_transcript, tokens
+from ..functions.text import jaccard, ngrams, normalise_transcript, tokens
+from ..sources.shared import stored
 
 
 def _prefixed(df: DataFrame, key: str, members: str, frequency: DataFrame, threshold: float) -> DataFrame:
@@ -46,16 +47,16 @@ def leaks(reference: DataFrame, held_out: DataFrame, key: str, text: str, thresh
     cols = [F.col(within).alias("grp")] if within else [F.lit("").alias("grp")]
 
     def prepared(df: DataFrame, name: str) -> DataFrame:
+        """Each distinct text of a group once, with its words and word pairs as sets of hashes; written once, as several joins read it."""
         norm = df.select(F.col(key).alias(name), *cols, normalise_transcript(F.col(text)).alias("norm")).where("norm <> ''")
-        classes = norm.groupBy("grp", "norm").agg(F.min(name).alias(name))
-        words = tokens(F.col("norm"))
-        return classes.select(name, "grp", "norm", words.alias("words"), F.array_distinct(words).alias("one"), ngrams(words, 2).alias("two"))
+        classes = norm.groupBy("grp", "norm").agg(F.min(name).alias(name)).withColumn("w", tokens(F.col("norm")))
+        pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(1))), F.slice("w", 2, F.size("w")), lambda a, b: F.xxhash64("grp", a, b))
+        return stored(classes.select(name, "grp", "norm", F.array_distinct(F.transform("w", lambda x: F.xxhash64("grp", x))).alias("one"), F.array_distinct(pairs).alias("two")), name)
 
     ref, held = prepared(reference, "ref"), prepared(held_out, "held")
-    tag = lambda df, c: df.withColumn(c, F.transform(c, lambda m: F.concat("grp", F.lit("\x1f"), m)))
-    pairs = candidates(tag(held, "one"), tag(ref, "one"), "held", "ref", "one", threshold).unionByName(candidates(tag(held, "two"), tag(ref, "two"), "held", "ref", "two", threshold)).distinct()
-    scored = pairs.join(held.select("held", F.col("words").alias("hw"), "grp"), "held").join(ref.select("ref", F.col("words").alias("rw"), F.col("grp").alias("rgrp")), "ref").where(F.col("grp") == F.col("rgrp"))
-    matched = scored.withColumn("score", leakage_similarity(F.col("hw"), F.col("rw"))).where(F.col("score") >= threshold)
+    near = candidates(held, ref, "held", "ref", "one", threshold).unionByName(candidates(held, ref, "held", "ref", "two", threshold)).distinct()
+    scored = near.join(held.select("held", F.col("one").alias("h1"), F.col("two").alias("h2"), "grp"), "held").join(ref.select("ref", F.col("one").alias("r1"), F.col("two").alias("r2"), F.col("grp").alias("rgrp")), "ref").where(F.col("grp") == F.col("rgrp"))
+    matched = scored.withColumn("score", F.greatest(jaccard(F.col("h1"), F.col("r1")), jaccard(F.col("h2"), F.col("r2")))).where(F.col("score") >= threshold)
     first = matched.groupBy("held").agg(F.min("ref").alias("ref"), F.min_by("score", "ref").alias("score")).withColumnRenamed("held", "rep")
     # every row of a class matches what its class matches
     members = held_out.select(F.col(key).alias("held"), *cols, normalise_transcript(F.col(text)).alias("norm"))
