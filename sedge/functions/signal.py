@@ -25,8 +25,9 @@ def dbfs(level: Column) -> Column:
 
 def centred(x: Column) -> Column:
     """Without its mean."""
-    mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v.cast("double"), lambda a: F.try_divide(a, F.size(x).cast("double")))
-    return F.transform(x, lambda v: v.cast("double") - mean)
+    # in the last step the sum is a variable: it isn't worked out again for each sample
+    less = lambda total: F.transform(x, lambda v: v.cast("double") - F.try_divide(total, F.size(x).cast("double")))
+    return F.aggregate(x, F.lit(0.0), lambda a, v: a + v.cast("double"), less)
 
 
 def frames(x: Column, width: int) -> Column:

@@ -136,9 +136,12 @@ def speech_bounds(levels: Column, floor: Column, frame_s: float) -> Column:
 def take_report(takes: DataFrame, key: str, samples: str, rate: int, floor: Column, least_s: float = 0.5, least_db: float = 6.0, good_db: float = 15.0, margin_s: float = 0.2, clip: float = 0.999, most_clipped: int = 0) -> DataFrame:
     """Measures of each take with the failures and warnings they give."""
     width, frame_s = rate // 50, (rate // 50) / rate
-    x = takes.select(key, F.col(samples).alias("raw"), signal.centred(F.col(samples)).alias("x"), floor.alias("floor")).withColumn("levels", frame_levels(F.col("x"), width))
-    threshold = F.greatest(F.col("floor") * 4, F.array_max("levels") * 0.05)
-    loud = F.filter("levels", lambda v: v >= threshold)
+    # a generator of one row keeps what it makes from being worked out again inside each later lambda
+    once = lambda df, **made: df.select(*df.columns, F.inline(F.array(F.struct(*[v.alias(k) for k, v in made.items()]))))
+    x = once(takes.select(key, F.col(samples).alias("raw"), floor.alias("floor")), x=signal.centred(F.col("raw")))
+    x = once(x, levels=frame_levels(F.col("x"), width))
+    x = once(x, threshold=F.greatest(F.col("floor") * 4, F.array_max("levels") * 0.05))
+    loud = F.filter("levels", lambda v: v >= F.col("threshold"))
     active = F.sqrt(F.try_divide(F.aggregate(loud, F.lit(0.0), lambda a, v: a + v * v), F.nullif(F.size(loud), F.lit(0)).cast("double")))
     m = x.select(
         key, (F.size("raw") / rate).alias("seconds"), signal.dbfs(F.array_max(F.transform("x", lambda v: F.abs(v)))).alias("peak_dbfs"), F.coalesce(active, F.lit(0.0)).alias("active"),
