@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, local_forest, store
+from .similar import smallest_of_components
 
 WORDS, SEED, RADIUS = 4, 42, 4
 BLOCKS, BLOCK_BITS = 4, 16
@@ -235,6 +236,6 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, shard_points: int = SHA
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents of which none with a smaller doc_id is a near duplicate; of rows with one doc_id, all stay together."""
-    found = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """The documents of which none with a smaller doc_id is a near copy by the pipeline's own rule (similar.py), not by op10's; of rows with one doc_id, all stay together."""
+    found = smallest_of_components(docs)
     return docs.join(found, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
