@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..schemas import struct
+
 
 def normalise_transcript(text: Column) -> Column:
     """Lower case, no marks, single blanks, trimmed; letters and digits of any script stay."""
@@ -38,35 +44,33 @@ def leakage_similarity(a: Column, b: Column) -> Column:
     return F.greatest(jaccard(F.array_distinct(a), F.array_distinct(b)), jaccard(ngrams(a, 2), ngrams(b, 2)))
 
 
-def word_edits(reference: Column, hypothesis: Column) -> Column:
-    """struct(sub, del, ins) of a least-cost word alignment; of equal costs a substitution is taken before a deletion before an insertion.
+def edit_counts(reference: Sequence[str], hypothesis: Sequence[str]) -> tuple[int, int, int]:
+    """Substitutions, deletions and insertions of a least-cost alignment, from two rows of its table.
 
-    One fold over the reference carries a row of the alignment table; a second fold over the
-    hypothesis builds the next row from it.
+    A cell that no substitution or deletion reaches as cheaply is an insertion after the nearest
+    earlier cell of its row that isn't one, so a row takes a few array operations.
     """
-    cell = "struct<c:int,s:int,d:int,i:int>"
-    make = lambda c, s, d, i: F.struct(c.alias("c"), s.alias("s"), d.alias("d"), i.alias("i")).cast(cell)
-    zero = F.lit(0)
-    first = F.transform(F.sequence(zero, F.size(hypothesis)), lambda j: make(j, zero, zero, j))
-
-    def next_row(row: Column, word: Column) -> Column:
-        top = F.get(row, zero)
-        start = F.array(make(top["c"] + 1, top["s"], top["d"] + 1, top["i"]))
-
-        def step(acc: Column, j: Column) -> Column:
-            diagonal, above, left = F.get(row, j), F.get(row, j + 1), F.element_at(acc, -1)
-            same = F.get(hypothesis, j) == word
-            sub = make(diagonal["c"] + 1, diagonal["s"] + 1, diagonal["d"], diagonal["i"])
-            dele = make(above["c"] + 1, above["s"], above["d"] + 1, above["i"])
-            ins = make(left["c"] + 1, left["s"], left["d"], left["i"] + 1)
-            best = F.when((sub["c"] <= dele["c"]) & (sub["c"] <= ins["c"]), sub).when(dele["c"] <= ins["c"], dele).otherwise(ins)
-            return F.concat(acc, F.array(F.when(same, diagonal).otherwise(best).cast(cell)))
-
-        inner = F.aggregate(F.filter(F.sequence(zero, F.greatest(F.size(hypothesis) - 1, zero)), lambda j: j < F.size(hypothesis)), start.cast(f"array<{cell}>"), step)
-        return inner
-
-    last = F.element_at(F.aggregate(reference, first.cast(f"array<{cell}>"), next_row), -1)
-    return F.struct(last["s"].alias("sub"), last["d"].alias("del"), last["i"].alias("ins"))
+    codes: dict[str, int] = {}
+    ref, hyp = (np.array([codes.setdefault(w, len(codes)) for w in x], np.int64) for x in (reference, hypothesis))
+    at = np.arange(len(hyp) + 1)
+    # rows: cost, substitutions, deletions, insertions
+    row = np.stack([at, 0 * at, 0 * at, at])
+    add_sub, add_del, add_ins = (np.array(x)[:, None] for x in ((1, 1, 0, 0), (1, 0, 1, 0), (1, 0, 0, 1)))
+    for word in ref:
+        down = row + add_del
+        diagonal = row[:, :-1] + add_sub * (hyp != word)
+        down[:, 1:] = np.where(diagonal[0] <= down[0, 1:], diagonal, down[:, 1:])
+        least = np.minimum.accumulate(down[0] - at) + at
+        origin = np.maximum.accumulate(np.where(least < down[0], 0, at))
+        row = down[:, origin] + add_ins * (at - origin)
+    return int(row[1, -1]), int(row[2, -1]), int(row[3, -1])
+
+
+@F.pandas_udf(struct(**{"sub": "integer", "del": "integer", "ins": "integer"}))
+def word_edits(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
+    """struct(sub, del, ins) of a least-cost word alignment; of equal costs a substitution is taken before a deletion before an insertion. Null if a side is null."""
+    rows = [(None,) * 3 if a is None or b is None else edit_counts(a, b) for a, b in zip(reference, hypothesis, strict=True)]
+    return pd.DataFrame(rows, columns=["sub", "del", "ins"], dtype="Int32")
 
 
 def first_outside_parens(text: Column) -> Column:

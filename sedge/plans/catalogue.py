@@ -198,9 +198,8 @@ def pooled_rate_by_bucket(spark, d):
 
 @query()
 def word_edit_counts(spark, d):
-    """Substitutions, deletions and insertions between the first 40 words of adjacent turns (the alignment table is quadratic, so utterance length is the operator's domain)."""
-    p = _turn_pairs(spark, d).select("conv_id", "turn", F.slice("w1", 1, 40).alias("w1"), F.slice("w2", 1, 40).alias("w2"))
-    return p.select("conv_id", "turn", text.word_edits(F.col("w1"), F.col("w2")).alias("e"), F.size("w1").alias("ref_words")).select("conv_id", "turn", "e.*", "ref_words")
+    """Substitutions, deletions and insertions between the whole texts of adjacent turns."""
+    return _turn_pairs(spark, d).select("conv_id", "turn", text.word_edits(F.col("w1"), F.col("w2")).alias("e"), F.size("w1").alias("ref_words")).select("conv_id", "turn", "e.*", "ref_words")
 
 
 _PAIRS = "p AS (SELECT doc_id, lang, quality = 1 AS x, toxic = 1 AS y FROM labels JOIN documents USING (doc_id))"
