@@ -7,9 +7,10 @@ elements) and whether it lies in an article or main element. Boilerplate goes; i
 or main element holds text, the lines of those elements remain, else all.
 
 On what remains, text lengths outside links are summed over a sliding window of `WINDOW` lines.
-A surge is where the sum rises to the page's threshold, a dive where it falls to nothing; the
-region between them with most text is kept. In pages that mark their article, markup has already
-cut the menus away, so any text is a surge and the last text the dive: short paragraphs stay.
+A surge is where the sum rises to a fixed threshold, a dive where it falls to nothing; every
+region from a surge to the dive after it is kept. The threshold is absolute, so no long paragraph
+raises it for the others. Where markup names the article it is one character, so that short
+paragraphs stay, and runs of links without text go.
 
 Nulls and pages without text give "" with n_chars 0. Repeated rows give a row each; extra columns
 are ignored; unclosed tags, comments and quotes end at the page's end.
@@ -26,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
-#: Without article markup: characters outside links that WINDOW lines must hold to be a surge, and the share of the page's highest sum.
-SURGE_CHARS, SURGE_SHARE = 60, 0.08
+#: Characters outside links that WINDOW lines must hold to be a surge: without article markup, and inside it.
+SURGE_CHARS, SURGE_IN_ARTICLE = 60, 1
 
 #: HTML elements by meaning.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark picture q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr".split())
@@ -146,40 +147,34 @@ def main_text(html: str | None) -> str:
     blocks = blocks_of(html) if html else []
     marked = [b for b in blocks if b[2]]
     lines = marked or blocks
-    if not lines:
-        return ""
-    if marked:
-        first, last = 0, len(lines)
-    else:
-        first, last = surge_and_dive([b[1] for b in lines], [len(b[0]) for b in lines])
-    return "\n".join(b[0] for b in lines[first:last])
+    kept = surges_to_dives([b[1] for b in lines], SURGE_IN_ARTICLE if marked else SURGE_CHARS)
+    return "\n".join(b[0] for first, last in kept for b in lines[first:last])
 
 
-def surge_and_dive(plain: list[int], lengths: list[int]) -> tuple[int, int]:
-    """The region of lines with most text between a surge and the dive after it."""
+def surges_to_dives(plain: list[int], surge: int) -> list[tuple[int, int]]:
+    """The regions of lines between a surge and the dive after it, in order."""
     n = len(plain)
     window = [sum(plain[i : i + WINDOW]) for i in range(n)]
-    surge = max(SURGE_CHARS, SURGE_SHARE * max(window, default=0))
-    best, at = (0, 0, 0), 0
+    out, at = [], 0
     while at < n:
         if window[at] < surge:
             at += 1
             continue
         first = at
-        while first < n and not plain[first]:
+        while not plain[first]:
             first += 1
         end = at
         while end < n and window[end] > 0:
             end += 1
         last = end
-        while last > first and not plain[last - 1]:
+        while not plain[last - 1]:
             last -= 1
-        best = max(best, (sum(lengths[first:last]), -first, -last))
-        at = max(end, at + 1)
-    if not best[0]:  # no surge: the page's few lines outside links
+        out.append((first, last))
+        at = end
+    if not out:  # no surge: the page's few lines outside links
         kept = [i for i in range(n) if plain[i]]
-        return (kept[0], kept[-1] + 1) if kept else (0, 0)
-    return -best[1], -best[2]
+        return [(kept[0], kept[-1] + 1)] if kept else []
+    return out
 
 
 def extract(pages: DataFrame) -> DataFrame:

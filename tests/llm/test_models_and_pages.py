@@ -100,6 +100,23 @@ def test_page_without_article_markup():
     assert len(lines) == 8 and all(line.startswith("Paragraph") for line in lines)
 
 
+def test_one_long_paragraph_hides_no_other():
+    from sedge.llm.html_text import main_text
+
+    lead = "".join(f"<div>Lead {i:3d} {'word ' * 28}</div>" for i in range(10))
+    links = "".join(f"<div><a href='/{i}'>Link number {i} in the menu</a></div>" for i in range(5))
+    page = f"<body>{links}{lead}<div>Long {'word ' * 4000}</div>{links}<div>Second {'part ' * 30}</div>{links}</body>"
+    assert [line.split()[0] for line in main_text(page).split("\n")] == ["Lead"] * 10 + ["Long", "Second"]
+
+
+def test_surge_and_dive_decide_inside_an_article():
+    from sedge.llm.html_text import main_text
+
+    links = "".join(f"<li><a href='/{i}'>Another story of the day {i}</a></li>" for i in range(4))
+    page = f"<article><ul>{links}</ul><h1>Title</h1><p>short</p><ul>{links}</ul><p>end</p><p><a href='/x'>more</a></p></article>"
+    assert main_text(page) == "Title\nshort\nend"
+
+
 def test_long_page_in_linear_time():
     from sedge.llm.html_text import main_text
 
