@@ -259,7 +259,7 @@ def position_in_distribution(spark, d):
 @query()
 def bootstrap_interval(spark, d):
     g = read(spark, d, "events").groupBy("event_type", "user_id").agg(F.sum("value").alias("num"), F.count("*").alias("den"))
-    return metrics.bootstrap(g, "event_type", "num", "den", seed=SEED, resamples=1000)
+    return metrics.bootstrap(g, "event_type", "num", "den", seed=SEED)
 
 
 @query()
@@ -621,7 +621,7 @@ def frame_rms_active_level(spark, d):
 
 @query()
 def swarm_trials(spark, d):
-    return swarm.trials(spark, ["circle", "line", "wedge"], 4, seconds=20.0)
+    return swarm.trials(spark, ["circle", "line", "wedge"], 50)
 
 
 @query()
