@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -156,24 +158,55 @@ def poisson_ci(count: pd.Series, hours: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([poisson_rate_ci(int(a), float(b)) for a, b in zip(count, hours, strict=True)], columns=["lo", "hi"])
 
 
-def nearest_rank(values: np.ndarray, percentile: float) -> float:
-    ordered = np.sort(values)
-    return float(ordered[min(len(ordered), max(1, math.ceil(percentile / 100 * len(ordered)))) - 1])
-
-
-def bootstrap_ratio(numerators: np.ndarray, denominators: np.ndarray, confidence: float = 95.0, resamples: int = 10_000, seed: int = 0, block: int = 500) -> tuple[float, float]:
-    """Percentile interval of sum over sum under seeded resampling of pairs; NaN for fewer than two pairs. Resamples are drawn in blocks, so memory stays bounded."""
-    keep = denominators > 0
-    top, bottom = numerators[keep], denominators[keep]
-    if len(top) < 2:
-        return math.nan, math.nan
-    rng = np.random.default_rng(seed)
-    ratios = []
-    for at in range(0, resamples, block):
-        pick = rng.integers(0, len(top), size=(min(block, resamples - at), len(top)))
-        ratios.append(top[pick].sum(1) / bottom[pick].sum(1))
-    all_ratios, half = np.concatenate(ratios), (100 - confidence) / 2
-    return nearest_rank(all_ratios, half), nearest_rank(all_ratios, 100 - half)
+@F.pandas_udf(T.DoubleType())
+def range_p(q: pd.Series, k: pd.Series, df: pd.Series) -> pd.Series:
+    """p of a studentised range q over k groups."""
+    return pd.Series([None if pd.isna(a) else studentised_range_sf(float(a), int(b), float(c)) for a, b, c in zip(q, k, df, strict=True)], dtype="float64")
+
+
+#: Cumulative shares of a Poisson variable of mean 1, as bounds of a 64-bit number.
+_POISSON = np.array([min((1 << 64) - 1, int(sum(math.exp(-1) / math.factorial(j) for j in range(n + 1)) * (1 << 64))) for n in range(15)], np.uint64)
+
+
+def poisson_counts(seeds: np.ndarray, resamples: int) -> np.ndarray:
+    """How often each row (a 64-bit seed) is in each resample: the same for a row wherever it is computed."""
+    x = seeds.astype(np.uint64)[:, None] + (np.arange(1, resamples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return np.searchsorted(_POISSON, x ^ (x >> np.uint64(31)), side="right")
+
+
+def poisson_bootstrap(df: DataFrame, keys: list[str], numerator: str, denominator: str, seed: int, resamples: int = 10_000, confidence: float = 0.95, unit: str | None = None) -> DataFrame:
+    """Per group: n, ratio of sums, and the nearest-rank percentile interval of that ratio over Poisson resamples (lo, hi; null for fewer than two rows).
+
+    Each row joins each resample a Poisson number of times (mean 1) that its unit and the seed fix, so a
+    resample's sums are plain partial sums: tasks send one pair of sums a group and resample, and no
+    group's rows meet. Without a unit rows are told apart by their content.
+    """
+    names = [*keys, "i", "a", "b"]
+    tell = F.xxhash64(F.lit(seed), *([unit] if unit else [*keys, numerator, denominator]))
+    rows = df.where(F.col(denominator) > 0).select(*keys, tell.alias("u"), F.col(numerator).cast("double").alias("a"), F.col(denominator).cast("double").alias("b"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keys)])
+
+    def resampled(it):
+        sums: dict[tuple, np.ndarray] = {}
+        for pdf in it:
+            for key, part in pdf.groupby(keys, dropna=False):
+                total = sums.setdefault(key, np.zeros((2, resamples)))
+                pairs = part[["a", "b"]].to_numpy().T
+                seeds = part["u"].to_numpy().view(np.uint64)
+                for at in range(0, len(seeds), 64):
+                    total += pairs[:, at : at + 64] @ poisson_counts(seeds[at : at + 64], resamples)
+        for key, total in sums.items():
+            yield pd.DataFrame(dict(zip(keys, key, strict=True)) | {"i": np.arange(resamples), "a": total[0], "b": total[1]})[names]
+
+    ratios = rows.select(*keys, "u", "a", "b").mapInPandas(resampled, f"{fields}, i bigint, a double, b double").groupBy(*keys, "i").agg((F.sum("a") / F.nullif(F.sum("b"), F.lit(0.0))).alias("x"))
+    half = (1 - confidence) / 2
+    ends = ratios.groupBy(*keys).agg(*[F.expr(f"percentile_disc({p}) within group (order by x)").alias(name) for name, p in (("lo", half), ("hi", 1 - half))])
+    whole = rows.groupBy(*keys).agg(F.count("*").alias("n"), (F.sum("a") / F.sum("b")).alias("ratio"))
+    same = [F.col(f"w.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys]
+    joined = whole.alias("w").join(ends.alias("e"), reduce(and_, same))
+    return joined.select(*[f"w.{k}" for k in keys], "n", "ratio", *[F.when(F.col("n") > 1, F.col(c)).alias(c) for c in ("lo", "hi")])
 
 
 def percentile(value: Column | str, p: float) -> Column:

@@ -13,9 +13,9 @@ from ..schemas import struct
 
 
 def normalise_transcript(text: Column) -> Column:
-    """Lower case, no marks, single blanks, trimmed; letters and digits of any script stay."""
-    bare = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s]", "")
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+    """Lower case, no marks, single blanks, trimmed; letters and digits of any script stay, and any script's white space is a blank."""
+    bare = F.regexp_replace(F.lower(text), r"(?U)[^\p{L}\p{N}_\s]", "")
+    return F.trim(F.regexp_replace(bare, r"(?U)\s+", " "))
 
 
 def tokens(text: Column) -> Column:

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import signal
 from ..functions.stats import percentile
+from ..sources.shared import stored
+from .sampling import placed
 
 SAFE = ("unknown", "hover")
-#: Causes of a failed item, in the order in which they are tried.
-CAUSES = ("parser wrong on text", "no segment", "split", "perfect transcript", "wrong intent", "wrong slot")
+#: Causes of a failed item, in the order in which they are tried.
+CAUSES = ("parser wrong on reference text", "no segment", "split by endpointer", "perfect transcript, parser wrong", "ASR error, wrong intent", "ASR error, right intent, wrong slot")
 
 
 # ---------------------------------------------------------------- items of segments
@@ -27,11 +29,10 @@ def outcome(segments: Column) -> Column:
 
 
 def failure_cause(segments: Column, text_correct: Column, errors: Column, gold_intent: Column, intent: Column) -> Column:
-    """Why a wrong item is wrong; the first cause that holds."""
-    return (
-        F.when(~text_correct, CAUSES[0]).when(F.size(segments) == 0, CAUSES[1]).when(F.size(segments) > 1, CAUSES[2])
-        .when(errors == 0, CAUSES[3]).when(~intent.eqNullSafe(gold_intent), CAUSES[4]).otherwise(CAUSES[5])
-    )
+    """Why a wrong item is wrong: the first of CAUSES that holds of it; the last one needs no evidence."""
+    holds = (~text_correct, F.size(segments) == 0, F.size(segments) > 1, errors == 0, ~intent.eqNullSafe(gold_intent), F.lit(True))
+    named = F.array(*[F.when(h, F.lit(cause)) for h, cause in zip(holds, CAUSES, strict=True)])
+    return F.element_at(F.filter(named, lambda c: c.isNotNull()), 1)
 
 
 def condition_summary(items: DataFrame, condition: str, segments: str, errors: str, words: str) -> DataFrame:
@@ -198,11 +199,37 @@ def concatenated(df: DataFrame, key: str, order: str, samples: str) -> DataFrame
 
 def by_fold(bank: DataFrame, key: str, order: str, share: float) -> DataFrame:
     """bank with `part`: the first share of each key's recordings train, the rest evaluate, so that none does both."""
-    w = Window.partitionBy(key)
-    place = F.row_number().over(w.orderBy(order))
-    return bank.withColumn("part", F.when(place <= F.floor(F.count("*").over(w) * share + 1e-9), "train").otherwise("eval"))
+    return placed(bank, key, [F.col(order)]).withColumn("part", F.when(F.col("place") <= F.floor(F.col("size") * share + 1e-9), "train").otherwise("eval")).drop("place", "size")
 
 
 def spoken_ids(ids: Column) -> Column:
     """Drone numbers as they are said, counted from one."""
     return F.array_join(F.transform(ids, lambda i: (i + 1).cast("string")), " and ")
+
+
+def draw_noise(items: DataFrame, bank: DataFrame, key: str, length: str, corpus: str, recording: str, samples: str, seed: int, silence: float = 1e-4, most: int = 24) -> DataFrame:
+    """items with `recording` and `noise`, an excerpt of as many samples as the item has.
+
+    The item's key draws a corpus, then a recording of it, so corpora are heard alike however many
+    recordings they have, then a place; short recordings are repeated. Silent excerpts are drawn
+    again, `most` times at most, then the item is an error. Each round is a join on the drawn number,
+    and only items that are still without noise go on.
+    """
+    names = bank.groupBy(corpus).agg(F.count("*").alias("_size")).withColumn("_c", F.row_number().over(Window.orderBy(corpus)) - 1)
+    numbered = placed(bank, corpus, [F.col(recording)]).join(F.broadcast(names), corpus).select("_c", (F.col("place") - 1).alias("_k"), F.col(recording).alias("recording"), F.col(samples).alias("_x"))
+    corpora = [(r["_c"], r["_size"]) for r in names.collect()]  # one row a corpus
+    sizes = F.create_map(*[F.lit(v) for c, n in corpora for v in (int(c), int(n))])
+    pending, done = items, None
+    for attempt in range(most):
+        unit = lambda what: F.pmod(F.xxhash64(F.lit(seed), F.lit(attempt), F.lit(what), F.col(key)), F.lit(1 << 52)) / float(1 << 52)  # noqa: B023, E731
+        drawn = pending.withColumn("_c", F.floor(unit("corpus") * len(corpora)).cast("int"))
+        drawn = drawn.withColumn("_k", F.floor(unit("recording") * F.element_at(sizes, F.col("_c"))).cast("int")).join(numbered, ["_c", "_k"])
+        reach = F.greatest(F.size("_x") - F.col(length), F.lit(0)) + 1
+        cut = drawn.withColumn("noise", signal.tiled(F.col("_x"), F.floor(unit("place") * reach), F.col(length))).drop("_c", "_k", "_x")
+        judged = stored(cut.withColumn("_ok", signal.rms(F.col("noise")) >= silence), "noise")
+        good = judged.where("_ok").drop("_ok")
+        done = good if done is None else done.unionByName(good)
+        pending = judged.where(~F.coalesce("_ok", F.lit(False))).select(*items.columns)
+        if pending.isEmpty():
+            return done
+    raise ValueError(f"no sound in {most} draws for some items")

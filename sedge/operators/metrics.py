@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import stats
+
 
 def rate(condition: Column) -> Column:
     """Share of rows where condition holds; null for no rows."""
@@ -107,19 +109,6 @@ def position(df: DataFrame, name: str, value: str, own: str) -> DataFrame:
     )
 
 
-def bootstrap(df: DataFrame, group: str, numerator: str, denominator: str, seed: int, resamples: int = 10_000) -> DataFrame:
-    """group, ratio, lo, hi: a group's ratio of sums with a seeded percentile interval. One group's rows meet in one task, which resampling a group needs."""
-    import numpy as np
-    import pandas as pd
-
-    from ..functions.stats import bootstrap_ratio
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["num", "den"])
-        top, bottom = pdf["num"].to_numpy(float), pdf["den"].to_numpy(float)
-        lo, hi = bootstrap_ratio(top, bottom, seed=seed, resamples=resamples)
-        keep = bottom > 0
-        ratio = top[keep].sum() / bottom[keep].sum() if keep.any() else np.nan
-        return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "ratio": [ratio], "lo": [lo], "hi": [hi]})
-
-    return df.select(F.col(group).cast("string").alias("grp"), F.col(numerator).cast("double").alias("num"), F.col(denominator).cast("double").alias("den")).groupBy("grp").applyInPandas(run, "grp string, ratio double, lo double, hi double").withColumnRenamed("grp", group)
+def bootstrap(df: DataFrame, group: str, numerator: str, denominator: str, seed: int, resamples: int = 10_000, unit: str | None = None) -> DataFrame:
+    """group, ratio, lo, hi: a group's ratio of sums with a seeded percentile interval over Poisson resamples; tasks send sums, never rows."""
+    return stats.poisson_bootstrap(df.withColumn(group, F.col(group).cast("string")), [group], numerator, denominator, seed, resamples, unit=unit).drop("n")

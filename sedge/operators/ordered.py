@@ -81,6 +81,13 @@ def endpoints(df: DataFrame, keys: list[str], index: str, prob: str, onset: floa
     return rows.withColumn("u", F.explode(F.aggregate("xs", first, step)["out"])).select(*keys, "u.*")
 
 
+def with_tail(df: DataFrame, keys: list[str], index: str, prob: str, windows: int) -> DataFrame:
+    """df (keys, index, prob) with so many silent windows after each key's last one, so that what is still open at the end of a recording ends."""
+    last = df.groupBy(*keys).agg(F.max(index).alias("_last"))
+    tail = last.select(*keys, F.explode(F.sequence(F.col("_last") + 1, F.col("_last") + windows)).alias(index), F.lit(0.0).alias(prob))
+    return df.select(*keys, index, F.col(prob).cast("double").alias(prob)).unionByName(tail)
+
+
 def first_of_kind(df: DataFrame, key: str, order: str, condition: Column) -> DataFrame:
     """The first row of each key that meets a condition."""
     row = F.struct(*df.columns)

@@ -75,14 +75,29 @@ def suppressed(utterances: DataFrame, reflexes: DataFrame, key: str, start: str,
 
 
 def closest_pair(df: DataFrame, name: str, family: str, size: str) -> DataFrame:
-    """The two members of different families with the least relative gap in size. In size order the best pair is a neighbour of another family, so each row looks back to the last row of another family."""
-    order = Window.orderBy(size, name)
-    run = df.select(name, family, size).withColumn("_prev", F.lag(F.struct(size, name, family)).over(order))
-    # the last row before this one whose family differs
-    change = run.withColumn("_other", F.when(F.col(f"_prev.{family}") != F.col(family), F.col("_prev")))
-    carried = change.withColumn("_other", F.last("_other", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    gap = (F.col(size) - F.col(f"_other.{size}")) / F.col(size)
-    return carried.where(F.col("_other").isNotNull()).select(F.col(f"_other.{name}").alias("a"), F.col(name).alias("b"), gap.alias("gap")).orderBy("gap", "a", "b").limit(1)
+    """The two members of different families with the least relative gap in size.
+
+    In size order the best partner of a row is the last row of another family before it. Ranges of
+    size are scanned each by itself; across ranges only each one's first row, last row and last
+    row of another family than that can be partners, so those few are scanned once more.
+    """
+    own = F.struct(F.col(size).alias("v"), F.col(name).alias("n"), F.col(family).alias("f"))
+    # where ranges are cut is decided by a sample, so it is decided once
+    parts = stored(df.select(own.alias("x")).repartitionByRange("x").select("x", F.spark_partition_id().alias("part")), "sizes")
+
+    def pairs(rows: DataFrame, within: list) -> DataFrame:
+        order = Window.partitionBy(*within).orderBy("x")
+        before = F.lag("x").over(order)
+        # the row before, if its family differs; carried on over rows of one family
+        other = F.when(before["f"] != F.col("x.f"), before)
+        carried = F.last("other", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+        found = rows.withColumn("other", other).withColumn("other", carried).where("other is not null")
+        return found.select(F.col("other.n").alias("a"), F.col("x.n").alias("b"), ((F.col("x.v") - F.col("other.v")) / F.col("x.v")).alias("gap"))
+
+    ends = parts.groupBy("part").agg(F.min("x").alias("first"), F.max("x").alias("last"))
+    last_other = parts.join(F.broadcast(ends), "part").where(F.col("x.f") != F.col("last.f")).groupBy("part").agg(F.max("x").alias("x"))
+    edges = ends.select("first").unionByName(ends.select(F.col("last").alias("first"))).unionByName(last_other.select(F.col("x").alias("first"))).select(F.col("first").alias("x")).distinct()
+    return pairs(parts, ["part"]).unionByName(pairs(edges, [F.lit(0)])).orderBy("gap", "a", "b").limit(1)
 
 
 def unordered_pairs(df: DataFrame, name: str) -> DataFrame:

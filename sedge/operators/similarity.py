@@ -2,7 +2,9 @@
 
 Candidates come from prefix filtering: with members in order of rarity, two sets of Jaccard
 similarity t or more share a member among the first size - ceil(t size) + 1 of each. Only those
-prefixes are joined, with a bound on sizes; each candidate pair is then verified. Texts that are
+prefixes are joined, with bounds on sizes and on what may still be shared after the places where
+they meet; each candidate pair is then verified. Members that one side alone has come first in
+the order and meet nothing, so they are counted and dropped before anything is joined. Texts that are
 equal are one class, so copies are not expanded into pairs.
 """
 
@@ -16,28 +18,32 @@ from ..sources.shared import stored
 
 
 def _prefixed(df: DataFrame, key: str, members: str, frequency: DataFrame, threshold: float) -> DataFrame:
-    """One row per prefix member: key, m, size."""
-    flat = df.select(key, F.size(members).alias("size"), F.explode(members).alias("m")).join(frequency, "m")
-    ordered = flat.groupBy(key, "size").agg(F.array_sort(F.collect_list(F.struct("f", "m"))).alias("xs"))
-    length = F.col("size") - F.ceil(F.round(F.col("size") * threshold, 9)).cast("int") + 1
-    return ordered.select(key, "size", F.explode(F.slice("xs", 1, F.greatest(length, F.lit(1)))).alias("x")).select(key, "size", F.col("x.m").alias("m"))
-
-
-def candidates(left: DataFrame, right: DataFrame, lkey: str, rkey: str, members: str, threshold: float) -> DataFrame:
-    """Pairs (lkey, rkey) that may reach threshold; each once."""
-    both = left.select(F.explode(members).alias("m")).unionByName(right.select(F.explode(members).alias("m")))
-    frequency = both.groupBy("m").agg(F.count("*").alias("f"))
-    a = _prefixed(left, lkey, members, frequency, threshold)
-    b = _prefixed(right, rkey, members, frequency, threshold).withColumnRenamed("size", "rsize")
+    """One row per prefix member that may meet another: key, m, size, place (in order of rarity)."""
+    n = F.size(members)
+    flat = df.select(key, F.explode(members).alias("m")).join(frequency, "m")
+    ordered = flat.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("f", "m"))).alias("xs"))
+    length = n - F.ceil(F.round(n * threshold, 9)).cast("int") + 1
+    rows = df.join(ordered, key).select(key, n.alias("size"), (n - F.size("xs")).alias("own"), length.alias("length"), "xs").where("own < length")
+    return rows.select(key, "size", "own", F.posexplode(F.slice("xs", 1, F.col("length") - F.col("own"))).alias("p", "x")).select(key, "size", (F.col("own") + F.col("p")).alias("place"), F.col("x.m").alias("m"))
+
+
+def candidates(left: DataFrame, right: DataFrame, lkey: str, rkey: str, members: str, threshold: float, same: bool = False) -> DataFrame:
+    """Pairs (lkey, rkey) that may reach threshold; each once. same: left and right are one table, where a member of one set alone occurs twice."""
+    both = left.select(F.explode(members).alias("m"), F.lit(0).alias("side")).unionByName(right.select(F.explode(members).alias("m"), F.lit(1).alias("side")))
+    frequency = both.groupBy("m").agg(F.count("*").alias("f"), F.min("side").alias("a"), F.max("side").alias("b")).where(f"a < b and f > {2 if same else 1}").select("m", "f")
+    one = _prefixed(left, lkey, members, frequency, threshold).withColumnRenamed("place", "lplace")
+    two = _prefixed(right, rkey, members, frequency, threshold).withColumnsRenamed({"size": "rsize", "place": "rplace"})
     fits = (F.col("rsize") >= F.col("size") * threshold - 1e-9) & (F.col("rsize") <= F.col("size") / threshold + 1e-9)
-    return a.join(b, "m").where(fits).select(lkey, rkey).distinct()
+    enough = F.ceil(threshold / (1 + threshold) * (F.col("size") + F.col("rsize")) - 1e-9)
+    room = F.least(F.col("size") - F.col("lplace"), F.col("rsize") - F.col("rplace")) >= enough
+    return one.join(two, "m").where(fits & room).select(lkey, rkey).distinct()
 
 
 def jaccard_self_join(df: DataFrame, key: str, members: str, threshold: float) -> DataFrame:
     """a < b with similarity of at least threshold."""
-    base = df.select(F.col(key).alias("a"), F.col(members).alias("xs")).where(F.size("xs") > 0)
+    base = df.select(F.col(key).alias("a"), F.array_distinct(members).alias("xs")).where(F.size("xs") > 0)
     other = base.select(F.col("a").alias("b"), "xs")
-    pairs = candidates(base, other, "a", "b", "xs", threshold).where("a < b")
+    pairs = candidates(base, other, "a", "b", "xs", threshold, same=True).where("a < b")
     scored = pairs.join(base.withColumnRenamed("xs", "xa"), "a").join(other.withColumnRenamed("xs", "xb"), "b")
     return scored.select("a", "b", jaccard(F.col("xa"), F.col("xb")).alias("similarity")).where(F.col("similarity") >= threshold)
 
@@ -69,9 +75,25 @@ def exact_matches(reference: DataFrame, held_out: DataFrame, key: str, text: str
     return held_out.withColumn("_n", norm).join(reference.select(norm.alias("_n")).where("_n <> ''").distinct(), "_n", "left_semi").select(F.col(key).alias("held"))
 
 
+#: n-grams of the items whose hashes are broadcast at most; more of them meet the documents' by a shuffle.
+BROADCAST_GRAMS = 1_000_000
+
+
 def ngram_overlap(items: DataFrame, docs: DataFrame, item: str, doc: str, text: str, n: int) -> DataFrame:
-    """Per item: how many of its n-grams occur in some document, and their share."""
-    grams = lambda df, k: df.select(F.col(k).alias("k"), F.explode(ngrams(tokens(normalise_transcript(F.col(text))), n)).alias("g")).where("g <> ''")
-    mine = grams(items, item)
-    seen = grams(docs, doc).join(mine.select("g").distinct(), "g", "left_semi").select("g").distinct()
+    """Per item: how many of its n-grams occur in some document, and their share.
+
+    Documents' n-grams are 64-bit hashes with their places; those whose hash is no item's end in the
+    task that reads them (a broadcast whose size is counted first), and only what is left is spelled
+    out and compared as text.
+    """
+    mine = stored(items.select(F.col(item).alias("k"), F.explode(ngrams(tokens(normalise_transcript(F.col(text))), n)).alias("g")).where("g <> ''"), "grams")
+    hashes = mine.select(F.xxhash64(F.split("g", " ")).alias("h")).distinct()
+    if hashes.count() <= BROADCAST_GRAMS:
+        hashes = F.broadcast(hashes)
+    # a generator of one row keeps the words from being worked out again for each place
+    words = docs.select(F.explode(F.array(tokens(normalise_transcript(F.col(text))))).alias("w")).where(F.size("w") > 0)
+    run = lambda i: F.slice("w", i, F.lit(n))
+    places = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.struct(F.xxhash64(run(i)).alias("h"), i.alias("i")))
+    hit = words.select("w", F.inline(places)).join(hashes, "h", "left_semi").select(F.array_join(run(F.col("i")), " ").alias("g")).distinct()
+    seen = hit.join(mine.select("g").distinct(), "g", "left_semi")
     return mine.join(seen.withColumn("hit", F.lit(1)), "g", "left").groupBy("k").agg(F.count("*").alias("n_grams"), F.coalesce(F.sum("hit"), F.lit(0)).alias("n_seen")).select(F.col("k").alias(item), "n_grams", "n_seen", (F.col("n_seen") / F.col("n_grams")).alias("share"))

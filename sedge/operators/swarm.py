@@ -6,7 +6,7 @@ shape and number alone, so the trials can be dealt to any number of tasks.
 
 from __future__ import annotations
 
-from itertools import combinations, permutations
+from itertools import permutations
 
 import numpy as np
 import pandas as pd
@@ -78,32 +78,30 @@ def distances(p: np.ndarray) -> np.ndarray:
 
 
 def separate(p: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Push pairs apart to CLEARANCE in place, pair by pair until none is closer; returns how many pairs of each trial were too close at first."""
-    first = None
-    pairs = list(combinations(range(p.shape[1]), 2))
+    """Push drones apart to CLEARANCE in place; returns how many pairs of each trial were too close at first.
+
+    A sweep works out what every close pair lacks along the line between its drones (drones in one
+    place part along an axis that the pair's numbers choose) and moves all drones together by the sum of
+    their halves; speeds lose what drives a pair together. Sweeps end when no pair is closer.
+    """
+    i, j = np.triu_indices(p.shape[1], 1)
+    ends = np.zeros((p.shape[1], len(i)))
+    ends[i, np.arange(len(i))], ends[j, np.arange(len(i))] = 1.0, -1.0
+    axes = np.eye(3)[(i + j) % 3]
+    at_first = None
     for _ in range(SWEEPS):
-        close = distances(p) < CLEARANCE - 1e-9
-        if first is None:
-            first = close.sum((1, 2)) // 2
+        gap = p[:, i] - p[:, j]
+        size = np.linalg.norm(gap, axis=-1)
+        close = size < CLEARANCE - 1e-9
+        at_first = close.sum(1) if at_first is None else at_first
         if not close.any():
             break
-        for i, j in pairs:
-            t = np.flatnonzero(close[:, i, j])
-            if not len(t):
-                continue
-            gap = p[t, i] - p[t, j]
-            size = np.linalg.norm(gap, axis=1, keepdims=True)
-            axis = np.zeros(3)
-            axis[(i + j) % 3] = 1.0
-            together = size < 1e-9
-            unit = np.where(together, axis, gap / np.where(together, 1.0, size))
-            push = 0.5 * (CLEARANCE - np.where(together, 1.0, size)) * unit
-            p[t, i] += push
-            p[t, j] -= push
-            closing = np.minimum(((v[t, i] - v[t, j]) * unit).sum(1, keepdims=True), 0.0)
-            v[t, i] -= unit * closing / 2
-            v[t, j] += unit * closing / 2
-    return first
+        unit = np.where((size < 1e-9)[..., None], axes, gap / np.maximum(size, 1e-9)[..., None])
+        lacks = np.where(close, CLEARANCE - size, 0.0)
+        closing = np.where(close, np.minimum(((v[:, i] - v[:, j]) * unit).sum(-1), 0.0), 0.0)
+        p += np.einsum("dk,tkx->tdx", ends, unit * lacks[..., None] / 2)
+        v -= np.einsum("dk,tkx->tdx", ends, unit * closing[..., None] / 2)
+    return at_first
 
 
 def steer(p: np.ndarray, v: np.ndarray, target: np.ndarray, integral: np.ndarray) -> np.ndarray:

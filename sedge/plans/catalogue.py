@@ -2,41 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import command, formats, hashing, numbers, signal, stats, text
 from ..operators import corpus, metrics, ordered, relational, sampling, similarity, swarm, trials
 from ..sources import readers
+from .registry import HASH, NORM, ORACLE, QUERIES, SEED, TOKENS, query, read
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
 
-SEED = 42
-#: Stable hash in DuckDB, as functions.hashing.stable_key.
-HASH = "substr(sha256(concat_ws(chr(31), '{seed}', '{salt}', {key}::VARCHAR)), 1, 16)"
-#: functions.text.normalise_transcript and tokens in DuckDB.
-NORM = r"trim(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g'))"
-TOKENS = "list_filter(string_split({0}, ' '), lambda t: t <> '')"
 NGRAMS = "list_distinct(list_transform(range(1, greatest(len({0}) - {1} + 1, 1) + 1), lambda i: array_to_string(list_slice({0}, i, i + {1} - 1), ' ')))"
 
 
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 BUDGETS = {"click": 90.0, "view": 50.0, "purchase": 120.0}
 
 
@@ -217,7 +194,15 @@ def mcnemar_cells(spark, d):
     return metrics.contingency(_label_pairs(spark, d), "x", "y", "lang")
 
 
-@query()
+#: The chi-square tail of one degree is erfc(sqrt(x / 2)) = 2 / sqrt(pi) e^(-x/2) times the integral of e^(-t^2 - 2 t sqrt(x/2)), by Simpson's rule; the exact p sums binomials by their logarithms.
+_MCNEMAR = f"""WITH {_PAIRS}, k AS (SELECT lang, {_CELLS} FROM p GROUP BY lang),
+s AS (SELECT *, CASE WHEN b + c = 0 THEN 0.0::DOUBLE ELSE greatest(0, abs(b - c) - 1) ** 2 / (b + c)::DOUBLE END AS statistic FROM k),
+e AS (SELECT *, CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2.0::DOUBLE))))) END AS p_exact,
+  CASE WHEN b + c = 0 THEN 1.0 ELSE 2 / sqrt(pi()) * exp(-statistic / 2) * 0.002 / 3 * list_sum(list_transform(range(0, 4001), lambda i: (CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-(i * 0.002::DOUBLE) ** 2 - 2 * i * 0.002 * sqrt(statistic / 2)))) END AS p_chi2 FROM s)
+SELECT lang, a, b, c, d, statistic, CASE WHEN b + c < 25 THEN p_exact ELSE p_chi2 END AS p_value, p_exact, p_chi2, CASE WHEN b + c < 25 THEN 'exact' ELSE 'chi2' END AS test, CASE WHEN b + c < 25 THEN p_exact ELSE p_chi2 END < 0.0125 AS significant FROM e"""
+
+
+@query(_MCNEMAR)
 def mcnemar_tests(spark, d):
     cells = metrics.contingency(_label_pairs(spark, d), "x", "y", "lang")
     return cells.withColumn("t", stats.mcnemar_test(F.col("b"), F.col("c"))).select("lang", "a", "b", "c", "d", "t.*", (F.col("t.p_value") < stats.bonferroni(0.05, 4)).alias("significant"))
@@ -229,7 +214,7 @@ def cochran_q_stat(spark, d):
     return metrics.cochran_q(r, ["a", "b", "c"])
 
 
-@query()
+@query(ORACLE["cochran_q_stat"].replace("SELECT CASE", "SELECT *, exp(-q / 2) AS p FROM (SELECT CASE", 1) + ")")
 def cochran_q_test(spark, d):
     return cochran_q_stat(spark, d).withColumn("p", stats.chi2_p(F.col("q"), F.col("dof")))
 
@@ -240,7 +225,7 @@ def anova_f(spark, d):
     return metrics.anova(read(spark, d, "events"), "event_type", "value")
 
 
-@query()
+@query("SELECT *, power(d2 / (d2 + 4 * f), d2 / 2.0) * (1 + d2 / 2.0 * (1 - d2 / (d2 + 4 * f))) AS p FROM (" + ORACLE["anova_f"] + ")")  # in closed form for d1 = 4
 def anova_test(spark, d):
     return anova_f(spark, d).withColumn("p", stats.f_p(F.col("f"), F.col("d1"), F.col("d2")))
 
@@ -603,10 +588,12 @@ def legality_table(spark, d):
     return one.select("intent", F.explode(F.array(*map(F.lit, command.STATES))).alias("state")).select("intent", "state", command.legal(F.col("intent"), F.col("state")).alias("legal"))
 
 
-@query()
+@query("""WITH n AS (SELECT DISTINCT p_size AS w, (p_partkey % 10)::INT AS t FROM part),
+o AS (SELECT string_split('zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen', ' ') AS ones, string_split('twenty thirty forty fifty sixty seventy eighty ninety', ' ') AS tens)
+SELECT w * 10 + t AS id, CASE WHEN w < 20 THEN ones[w + 1] WHEN w % 10 = 0 THEN tens[w // 10 - 1] ELSE tens[w // 10 - 1] || '-' || ones[w % 10 + 1] END || CASE WHEN t > 0 THEN ' point ' || ones[t + 1] ELSE '' END AS words, CASE WHEN t > 0 THEN w || '.' || t ELSE w::VARCHAR END AS digits FROM n, o""")
 def number_words(spark, d):
     """Numbers spelled out and read back."""
-    n = spark.range(0, 1000).withColumn("x", F.col("id") / 10.0)
+    n = read(spark, d, "part").select((F.col("p_size") * 10 + F.col("p_partkey") % 10).cast("int").alias("id")).distinct().withColumn("x", F.col("id") / 10.0)
     return n.withColumn("words", numbers.number_to_words(F.col("x"))).withColumn("digits", numbers.words_to_digits(F.col("words"))).select("id", "words", "digits")
 
 
@@ -643,11 +630,20 @@ def composed_records(spark, d):
     return corpus.compose(g, heard, 0.5).select("id", "variant", "action", "transcript", "asr_similarity")
 
 
-@query()
+_TARGETS = ['{"intent":"hover"}', '{"intent":"land","ids":[1]}', '{"intent":"land"}', '{"intent": "hover"}', '{"intent":"altitude","z":2.5}', '{"intent":"land","ids":[2,1]}']
+_GOLD = ["hover", "land", "hover", "hover", "altitude", "land"]
+
+
+@query(f"""WITH r AS (SELECT event_id, event_id % 6 AS k, ({_GOLD!r})[event_id % 6 + 1] AS gold_intent, CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN event_type || '.' WHEN 2 THEN upper(event_type) ELSE '  ' END AS transcript FROM events),
+b AS (SELECT event_id, list_filter([CASE WHEN k = 3 THEN 'grammar' END, CASE WHEN k IN (3, 5) THEN 'canonical' END, CASE WHEN k = 2 THEN 'intent' END, CASE WHEN trim(transcript) = '' THEN 'blank' END, CASE WHEN transcript <> lower(transcript) THEN 'case' END, CASE WHEN transcript LIKE '%.' THEN 'terminal' END], lambda x: x IS NOT NULL) AS broken FROM r)
+SELECT event_id, broken FROM b WHERE len(broken) > 0""")
 def invariant_violations(spark, d):
-    """Generated rows that break an invariant: none."""
-    g = corpus.generate(spark, 1000, SEED)
-    return corpus.row_violations(g, command.accepted(F.col("target")), corpus.canonical_ok(F.col("target")))
+    """Records that break an invariant, with the names of those broken."""
+    at = lambda xs, n: F.get(F.array(*map(F.lit, xs)), (F.col("event_id") % n).cast("int"))
+    kind = F.col("event_type")
+    said = F.get(F.array(kind, F.concat(kind, F.lit(".")), F.upper(kind), F.lit("  ")), (F.col("event_id") % 4).cast("int"))
+    g = read(spark, d, "events").select("event_id", at(_TARGETS, 6).alias("target"), at(_GOLD, 6).alias("gold_intent"), said.alias("transcript"))
+    return corpus.row_violations(g, command.accepted(F.col("target")), corpus.canonical_ok(F.col("target"))).select("event_id", "broken")
 
 
 @query("SELECT axis, value, count(*) AS n FROM (SELECT 'lang' AS axis, lang AS value FROM documents UNION ALL SELECT 'source', source FROM documents) GROUP BY ALL")
@@ -728,7 +724,7 @@ def stream_reflex_gate(spark, d):
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     kind = F.when(F.col("event_type") == "click", "reflex").when(F.col("event_type") == "view", "utterance")
     e = _event_stream(spark, d, [kind.alias("kind"), F.when(kind == "reflex", at).otherwise(at - 3600).alias("at")]).where("kind is not null")
-    return messages.run_available(stateful.reflex_gate(e, "user_id", "event_id"), "reflex")
+    return messages.run_available(stateful.reflex_gate(e, "user_id", "event_id", 7200.0), "reflex")
 
 
 @query("SELECT user_id, count(*) AS n, count(*) FILTER (branch = 'A') AS n_a FROM (SELECT user_id, CASE WHEN event_type = 'click' THEN 'A' WHEN event_type = 'view' THEN 'B' ELSE 'C' END AS branch FROM events) WHERE branch <> 'C' GROUP BY user_id")
@@ -770,10 +766,10 @@ def _keyword_trials(spark, d):
     e = read(spark, d, "events")
     ev = F.struct(F.col("event_id").alias("at"), F.col("event_type").alias("intent"), (F.col("event_id") % 50).cast("int").alias("frame_index"), F.col("value").alias("latency_offset_ms"),
                   (F.col("event_id") % 2 == 0).alias("in_flight"), (F.col("event_id") % 3 == 0).alias("aborted"), F.col("value").alias("abort_return_ms"), (F.col("value") * 2).alias("server_idle_ms"))
-    return e.where("event_id % 5 < 2").groupBy("user_id").agg(F.array_sort(F.collect_list(ev)).alias("events")).withColumn("truth", F.when(F.col("user_id") % 2 == 0, "click").otherwise("view")).withColumn("offset_s", F.lit(0.5))
+    return e.groupBy("user_id").agg(F.array_sort(F.collect_list(ev)).alias("events")).withColumn("truth", F.when(F.col("user_id") % 2 == 0, "click").otherwise("view")).withColumn("offset_s", F.lit(0.5))
 
 
-_TRIALS = "t AS (SELECT user_id, list({'i': event_type, 'f': event_id % 50, 'v': value, 'r': event_id % 2 = 0 AND event_id % 3 = 0} ORDER BY event_id) AS ev, CASE WHEN user_id % 2 = 0 THEN 'click' ELSE 'view' END AS truth FROM events WHERE event_id % 5 < 2 GROUP BY user_id)"
+_TRIALS = "t AS (SELECT user_id, list({'i': event_type, 'f': event_id % 50, 'v': value, 'r': event_id % 2 = 0 AND event_id % 3 = 0} ORDER BY event_id) AS ev, CASE WHEN user_id % 2 = 0 THEN 'click' ELSE 'view' END AS truth FROM events GROUP BY user_id)"
 
 
 @query(f"WITH {_TRIALS}, x AS (SELECT truth, list_transform(ev, lambda e: e.i) AS i FROM t) SELECT truth, count(*) AS n, count(*) FILTER (list_contains(i, 'click')) AS fired_click, count(*) FILTER (list_contains(i, 'view')) AS fired_view, count(*) FILTER (NOT list_contains(i, truth)) AS missed FROM x GROUP BY truth")
@@ -858,12 +854,12 @@ def nested_counts(spark, d):
     return out.select("lang", "n", "amount", F.size("by_source").cast("bigint").alias("n_sources"))
 
 
-@query("""WITH b AS (SELECT event_type AS text, 0 AS s, event_id AS o FROM events WHERE event_id < 3 UNION ALL SELECT n_name, 1, n_nationkey FROM nation), f AS (SELECT text, min(s * 1000000 + o) AS p FROM b GROUP BY text)
-SELECT text, CASE WHEN p < 1000000 THEN 'harvested' ELSE 'fallback' END AS provenance FROM f ORDER BY p LIMIT 10""")
+@query("""WITH b AS (SELECT event_type AS text, 0 AS s, event_id AS o FROM events UNION ALL SELECT n_name, 1, n_nationkey FROM nation), f AS (SELECT text, min(s * 1000000000000 + o) AS p FROM b GROUP BY text)
+SELECT text, CASE WHEN p < 1000000000000 THEN 'harvested' ELSE 'fallback' END AS provenance FROM f ORDER BY p LIMIT 10""")
 def distinct_then_fill(spark, d):
     from ..operators import experiments
 
-    rows = read(spark, d, "events").where("event_id < 3").select(F.col("event_type").alias("text"), F.col("event_id").cast("bigint").alias("o"))
+    rows = read(spark, d, "events").select(F.col("event_type").alias("text"), F.col("event_id").cast("bigint").alias("o"))
     fallback = read(spark, d, "nation").select(F.col("n_name").alias("text"), F.col("n_nationkey").cast("bigint").alias("o"))
     return experiments.distinct_then_fill(rows, fallback, "text", "o", 10)
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.command import grammar_regex
 from ..functions.signal import decode_wav
+from ..schemas import RELATIONS
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -21,6 +24,11 @@ def json_lines(spark: SparkSession, path: str, schema: str, missing_ok: bool = T
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def relation(spark: SparkSession, name: str, path: str, missing_ok: bool = True) -> DataFrame:
+    """A relation of schemas.RELATIONS from a JSON-lines file."""
+    return json_lines(spark, path, RELATIONS[name], missing_ok)
+
+
 def json_lines_keyed(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
     """Of records with one key the last in file order."""
     lines = spark.read.text(path).where(F.trim("value") != "").withColumn("_pos", F.monotonically_increasing_id())
@@ -45,6 +53,11 @@ def key_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.trim("value") != "").select(F.get(parts, F.lit(0)).alias("id"), F.get(parts, F.lit(1)).alias("text"))
 
 
+def class_labels(spark: SparkSession, path: str) -> DataFrame:
+    """id, text of a tab file with the class that the text names: its blanks as underscores."""
+    return key_text(spark, path).withColumn("class", F.regexp_replace(F.trim("text"), " ", "_"))
+
+
 def id_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("id")).where("id <> ''")
 
@@ -68,6 +81,25 @@ def manifest_clips(spark: SparkSession, path: str, clip_schema: str) -> DataFram
     return spark.read.schema(f"clips array<struct<{', '.join(f'{a}:{b}' for a, b in (c.split() for c in clip_schema.split(', ')))}>>").option("multiLine", True).json(path).select(F.explode("clips").alias("c")).select("c.*")
 
 
+def absolute(df: DataFrame, column: str, root: str) -> DataFrame:
+    """df with relative paths below root; those that are absolute already, by a slash or a scheme, stay."""
+    path = F.col(column)
+    return df.withColumn(column, F.when(path.rlike(r"^(/|[a-zA-Z][\w+.-]*:)"), path).otherwise(F.concat(F.lit(f"{root.rstrip('/')}/"), path)))
+
+
+def yaml_entries(spark: SparkSession, path: str, key: str, columns: list[str]) -> DataFrame:
+    """A row for each entry of a flat YAML list (`- key: value`, then `column: value` lines): key and columns as strings; an entry without one of them is an error."""
+    whole = spark.read.text(path, wholetext=True).select(F.explode(F.regexp_extract_all("value", F.lit(rf"(?m)^\s*-\s+({key}:.*(?:\n(?!\s*-\s).*)*)"), F.lit(1))).alias("entry"))
+    value = lambda c: F.nullif(F.trim(F.regexp_replace(F.regexp_extract("entry", rf"(?m)^\s*{c}:[ \t]*(.*?)[ \t]*(?:#.*)?$", 1), "[\"']", "")), F.lit(""))
+    needed = lambda c: F.coalesce(value(c), F.raise_error(F.concat(F.lit(f"no {c} in "), "entry")).cast("string"))
+    return whole.select(needed(key).alias(key), *[needed(c).alias(c) for c in columns])
+
+
+def grammar(spark: SparkSession, path: str) -> str:
+    """A grammar file as a regular expression of whole strings; one small file, read by the driver."""
+    return grammar_regex(spark.read.text(path, wholetext=True).first()[0])
+
+
 def take_seconds(spark: SparkSession, transcripts: DataFrame, path: str) -> DataFrame:
     """transcripts (id, text) with the seconds of each take in a JSON document's map `takes`; 0.0 for an unknown one."""
     takes = spark.read.schema("takes map<string,struct<seconds:double>>").option("multiLine", True).json(path).select(F.explode("takes").alias("id", "take"))
@@ -98,6 +130,46 @@ def audio(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", decode_wav(F.col("content")).alias("a")).select("path", "a.rate", "a.samples")
 
 
+def tar_members(spark: SparkSession, path: str, suffix: str = ".wav") -> DataFrame:
+    """path, member, rate, samples of the WAV members of tar archives; a task unpacks an archive member by member."""
+
+    def unpack(it):
+        import io
+        import tarfile
+
+        for pdf in it:
+            for where, content in zip(pdf["path"], pdf["content"], strict=True):
+                with tarfile.open(fileobj=io.BytesIO(content)) as archive:
+                    for m in archive:
+                        if m.isfile() and m.name.endswith(suffix):
+                            yield pd.DataFrame({"path": [where], "member": [m.name], "content": [archive.extractfile(m).read()]})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar*").load(path).select("path", "content")
+    members = files.mapInPandas(unpack, "path string, member string, content binary")
+    return members.select("path", "member", decode_wav(F.col("content")).alias("a")).select("path", "member", "a.rate", "a.samples")
+
+
+def packed_words(clips: DataFrame, speaker: str, order: str, samples: str, width: int) -> DataFrame:
+    """speaker, window, samples: the clips of a speaker in order, end to end, as many to a window as fit whole in `width` samples; longer ones stand alone, cut to it.
+
+    Each clip's window follows from the clips before it, so a speaker's sizes (not samples) are folded once.
+    """
+    sized = clips.select(speaker, F.col(order).alias("o"), F.least(F.size(samples), F.lit(width)).alias("n"))
+    acc = "struct<window:int,room:int,out:array<struct<o:{0},window:int>>>".format(dict(clips.dtypes)[order])
+    start = F.struct(F.lit(-1).alias("window"), F.lit(0).alias("room"), F.array().cast(acc[acc.index("out:") + 4 : -1]).alias("out")).cast(acc)
+
+    def step(a, x):
+        fits = a["room"] >= x["n"]
+        window = F.when(fits, a["window"]).otherwise(a["window"] + 1)
+        room = F.when(fits, a["room"]).otherwise(F.lit(width)) - x["n"]
+        return F.struct(window.alias("window"), room.alias("room"), F.concat(a["out"], F.array(F.struct(x["o"].alias("o"), window.alias("window")))).alias("out")).cast(acc)
+
+    places = sized.groupBy(speaker).agg(F.array_sort(F.collect_list(F.struct("o", "n"))).alias("xs")).select(speaker, F.inline(F.aggregate("xs", start, step)["out"]))
+    dealt = clips.join(places.withColumnRenamed("o", order), [speaker, order])
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.slice(samples, 1, width).alias("s")))), lambda x: x["s"])
+    return dealt.groupBy(speaker, "window").agg(F.flatten(parts).alias(samples))
+
+
 def windows(clips: DataFrame, seconds: float) -> DataFrame:
     """Consecutive windows of whole length of each clip's samples: path, window, rate, samples."""
     width = F.floor(F.col("rate") * seconds).cast("int")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.formats import csv_cell
@@ -30,10 +30,20 @@ def csv(df: DataFrame, path: str) -> None:
     df.select(*cells).write.option("header", True).option("emptyValue", "").mode("overwrite").csv(path)
 
 
-def append_batches(stream: DataFrame, path: str, checkpoint: str):
-    """Append each micro-batch of a stream to a CSV folder as it comes."""
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("append").option("header", True).csv(path)
+def append_batches(stream: DataFrame, path: str, checkpoint: str, guarded: dict[str, Column] | None = None):
+    """Append each micro-batch of a stream to a folder of CSV files as it comes; the header is one file's, the first.
+
+    guarded: columns to work out that may fail on a row, as try_ expressions (null where they do); such
+    a row stays, and its column `note` names what failed.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        made = guarded or {}
+        failed = F.filter(F.array(*[F.when(c.isNull(), F.lit(name)) for name, c in made.items()]).cast("array<string>"), lambda x: x.isNotNull())
+        out = batch.select("*", *[c.alias(name) for name, c in made.items()], F.concat_ws(", ", failed).alias("note")) if made else batch
+        if number == 0:
+            batch.sparkSession.createDataFrame([(",".join(out.columns),)], "value string").coalesce(1).write.mode("append").text(path)
+        out.write.mode("append").csv(path)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
 
@@ -62,6 +72,11 @@ def replace_block(text: str, block: str, begin: str, end: str) -> tuple[str, boo
     return f"{text[: a + len(begin)]}\n{block}\n{text[b:]}", True
 
 
+def compact(row: Column) -> Column:
+    """A struct as JSON without blanks, nulls written out."""
+    return F.to_json(row, {"ignoreNullFields": "false"})
+
+
 def log_records(df: DataFrame) -> DataFrame:
     """One JSON line a row, nulls included."""
     return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
