@@ -3,8 +3,9 @@
 A page is read once, left to right, into blocks (lines of text between block-level tags), each
 with its length of text outside links, whether its element is boilerplate by meaning (menus,
 headers, footers, sidebars, notices, adverts, forms, reader comments, scripts, styles, hidden
-elements) and whether it lies in an article or main element. Boilerplate goes; if some article
-or main element holds text, the lines of those elements remain, else all.
+elements) and which article or main element holds it. Boilerplate goes; if some article or main
+element holds text, the lines of those elements remain, without articles that are mostly links
+to other pages, else all.
 
 On what remains, text lengths outside links are summed over a sliding window of `WINDOW` lines.
 A surge is where the sum rises to a fixed threshold, a dive where it falls to nothing; every
@@ -31,34 +32,54 @@ WINDOW = 3
 SURGE_CHARS, SURGE_IN_ARTICLE = 60, 1
 
 #: HTML elements by meaning.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark picture q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("""a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark picture q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr
+    math mi mn mo ms mtext mrow msub msup msubsup mfrac msqrt mroot munder mover munderover mtable mtr mtd mspace mpadded menclose semantics""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select object canvas audio video noframes xmp".split())
+#: Skipped whole: up to the first end tag, and up to the end tag that closes the first start tag.
+RAW = frozenset("script style textarea title noscript iframe noframes xmp annotation".split())
+NESTED = frozenset("svg template select object canvas audio video".split())
 DROPPED = frozenset("nav footer aside form button dialog menu fieldset datalist head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
-#: Parts of class or id names that mark boilerplate.
-HINTS = frozenset(
-    """ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner adsbygoogle
-    nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toolbar topbar masthead skip
-    sidebar sidebars aside widget widgets related recommended recommendations trending popular
-    footer header copyright legal cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login paywall
-    comment comments commentlist disqus replies reply respond social share sharing sharebar form search hidden""".split()
+#: Elements whose class or id may mark them as boilerplate; words, headings, paragraphs and items never are.
+CONTAINERS = frozenset("div section ul ol dl table center details figure article".split())
+#: Class or id names that mark boilerplate when they are the whole name, or its first or last part.
+MARKS = frozenset(
+    """ad ads adv advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion banner
+    nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toolbar topbar masthead
+    sidebar sidebars widget widgets footer cookie cookies consent gdpr popup modal overlay newsletter
+    comment comments commentlist disqus sharing sharebar social""".split()
 )
+#: Names that mark it as the whole name or its last part, and only as the whole name.
+ENDS = frozenset("aside related recommended recommendations trending popular notice notices alert paywall form share subscribe subscription signup login replies respond".split())
+WHOLE = frozenset("copyright legal hidden search skip skiplink".split())
+#: First parts of names that speak of the text itself, whatever follows, and of its own header.
+OWN = frozenset("entry post article story content".split())
 
 _TOKEN = re.compile(r"""<!--|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|$)|<[a-zA-Z/][^>]*$""", re.S)
 _ATTR = re.compile(r"""([^\s=/"']+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
+def _marks(token: str, in_article: bool) -> bool:
+    """Whether a class or id name marks boilerplate."""
+    parts = [p.lower() for p in _PART.findall(token)]
+    if not parts:
+        return False
+    first, last, whole = parts[0], parts[-1], "".join(parts)
+    if last == "header":
+        return not in_article and first not in OWN
+    return whole in WHOLE or whole in MARKS or last in MARKS or last in ENDS or first in MARKS
+
+
 def _boilerplate(name: str, attrs: str, in_article: bool) -> bool:
     if name in DROPPED or name == "header" and not in_article:
         return True
-    if not attrs or attrs.isspace() or name in ("html", "body", "article", "main"):
+    if not attrs or attrs.isspace() or name in ("html", "body", "main"):
         return False
     for key, a, b, c in _ATTR.findall(attrs):
         key, value = key.lower(), a or b or c
         if key in ("class", "id"):
-            if any(p.lower() in HINTS for p in _PART.findall(value)):
+            if name in CONTAINERS and any(_marks(t, in_article) for t in value.split()):
                 return True
         elif key == "role":
             if value.lower() in ROLES:
@@ -68,11 +89,25 @@ def _boilerplate(name: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
-def blocks_of(html: str) -> list[tuple[str, int, bool]]:
-    """(text, characters outside links, in article or main) of each block that isn't boilerplate."""
-    out: list[tuple[str, int, bool]] = []
+def _end_of(html: str, name: str, at: int) -> int:
+    """Where an element that is skipped whole and started before `at` ends."""
+    if name in RAW:
+        close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
+        return len(html) if close is None else close.end()
+    depth = 1
+    for m in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*>", re.I).finditer(html, at):
+        depth += -1 if m[1] else 0 if m[0].endswith("/>") else 1
+        if not depth:
+            return m.end()
+    return len(html)
+
+
+def blocks_of(html: str) -> list[tuple[str, int, int | None]]:
+    """(text, characters outside links, number of the article or main that holds it) of each block that isn't boilerplate."""
+    out: list[tuple[str, int, int | None]] = []
     parts: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # element, whether it is dropped, whether it is an article
+    inside: list[int] = []  # numbers of the open articles
     dropped = articles = links = plain = at = 0
     size = len(html)
 
@@ -81,10 +116,17 @@ def blocks_of(html: str) -> list[tuple[str, int, bool]]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                out.append((text, plain, articles > 0))
+                out.append((text, plain, inside[-1] if inside else None))
             parts.clear()
         plain = 0
 
+    def leave(name: str, gone: bool, scope: bool) -> None:
+        nonlocal dropped, links
+        dropped -= gone
+        links -= name == "a"
+        if scope:
+            inside.pop()
+
     while at < size:
         m = _TOKEN.search(html, at)
         end = m.start() if m else size
@@ -103,50 +145,59 @@ def blocks_of(html: str) -> list[tuple[str, int, bool]]:
         name = (m[2] or m[5] or "").lower()
         if not name:
             continue
-        if name not in INLINE and name not in RAW:  # what is skipped whole doesn't break the line it stands in
+        whole = name in RAW or name in NESTED
+        if name not in INLINE and not whole:  # what is skipped whole doesn't break the line it stands in
             flush()
         elif name == "br" and not dropped:
             parts.append(" ")
         if m[1] or m[4]:
             if any(x[0] == name for x in stack):
                 while stack:
-                    top, gone, scope = stack.pop()
-                    dropped -= gone
-                    articles -= scope
-                    links -= top == "a"
-                    if top == name:
+                    top = stack.pop()
+                    leave(*top)
+                    if top[0] == name:
                         break
             continue
         attrs = m[3] or m[6] or ""
-        if name in RAW:
+        if whole:
             if not attrs.rstrip().endswith("/"):
-                close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
-                at = size if close is None else close.end()
+                at = _end_of(html, name, at)
             continue
         if name in VOID:
             continue
         if name == "p":  # a paragraph ends an open one; formatting left open in it ends with it
             depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p" or stack[k][0] not in INLINE), -1)
             if depth >= 0 and stack[depth][0] == "p":
-                for top, gone, scope in stack[depth:]:
-                    dropped -= gone
-                    articles -= scope
-                    links -= top == "a"
+                for top in stack[depth:]:
+                    leave(*top)
                 del stack[depth:]
-        gone = bool(dropped) or _boilerplate(name, attrs, articles > 0)
+        gone = bool(dropped) or _boilerplate(name, attrs, bool(inside))
         scope = name in ("article", "main")
         stack.append((name, gone, scope))
         dropped += gone
-        articles += scope
+        if scope:
+            inside.append(articles)
+            articles += 1
         links += name == "a"
     flush()
     return out
 
 
+def without_teasers(blocks: list[tuple[str, int, int | None]]) -> list[tuple[str, int, int | None]]:
+    """Blocks without the articles, other than the longest, that are links for the most part: they lead to other pages."""
+    plain: dict[int | None, int] = {}
+    total: dict[int | None, int] = {}
+    for text, n, article in blocks:
+        plain[article] = plain.get(article, 0) + n
+        total[article] = total.get(article, 0) + len(text)
+    longest = max(plain, key=plain.__getitem__, default=None)
+    return [b for b in blocks if b[2] == longest or 2 * plain[b[2]] >= total[b[2]]]
+
+
 def main_text(html: str | None) -> str:
     blocks = blocks_of(html) if html else []
-    marked = [b for b in blocks if b[2]]
-    lines = marked or blocks
+    marked = [b for b in blocks if b[2] is not None]
+    lines = without_teasers(marked) or blocks
     kept = surges_to_dives([b[1] for b in lines], SURGE_IN_ARTICLE if marked else SURGE_CHARS)
     return "\n".join(b[0] for first, last in kept for b in lines[first:last])
 
