@@ -6,14 +6,20 @@ informative Dirichlet prior (the features' shares in both together), and a featu
 if its likelihood ratio against equal shares is far beyond chance. A word scores as its best feature,
 and a word without one as OTHER, a little below zero, so that sums drift down in clean text.
 
-Score: one linear scan finds all maximal scoring segments of a document (Ruzzo and Tompa). The
+Score: one linear scan finds all maximal scoring segments of a document (Ruzzo and Tompa). A word
+below zero costs OTHER, so a passage ends where some 15 words without a telling feature follow a telling one, and 30 after three. The
 chance of a best segment this high in a clean text of that many words follows the extreme-value
 law 1 - exp(-K n exp(-lambda s)); lambda solves the scores' moment equation on clean documents
-that the fit did not see and K matches their best segments. The document's score is the posterior
+that the fit did not see and K matches their best segments. The chance of the r best together follows
+from the same law (Karlin and Altschul's sum statistic); the least of these chances counts, each
+divided by its share 1/2, 1/4, 1/8 and so on of the tries. The document's score is the posterior
 1 / (1 + p (1 - prior) / prior), so a text without evidence gets at most the prior.
 
-Null, empty and wordless texts have no segment: p = 1, the score is the prior. A table of labels
-without both classes gives a model without features, and every score is the prior.
+Null, empty and wordless texts have no segment: p = 1, the score is the prior; long texts are scanned
+whole. A table of labels without both classes gives a model without features, and every score is
+the prior. Repeated rows are scored each, and repeated labelled texts are counted once. Of features
+no two are tied: each counts by its own ratio. Only doc_id and text are read, so other columns may have
+any names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,15 +37,17 @@ from .common import crc_held_out, store
 from .labelled import training_rows
 
 PER_CLASS = 4000
-#: Features that a fitted model may hold (the most telling ones), which bounds what is broadcast.
-MAX_FEATURES = 20_000
+#: Features beyond which a model is refused as too large to broadcast; fewer labelled rows a class make it smaller. None is ever left out.
+MOST_FEATURES = 500_000
 #: Weight of the Dirichlet prior, in documents, and log-odds below which a feature tells nothing.
 PRIOR_DOCS, LEAST_ODDS = 20.0, 4.0
 #: Toxic documents that must show a feature. Its log likelihood ratio against equal shares must pass the log of the number of features tried, and this more.
 LEAST_DOCS, MARGIN = 4, 1.0
 MAX_SCORE = 8.0
 #: Score of a word without a telling feature: passages end where such words outweigh.
-OTHER = -0.02
+OTHER = -0.6
+#: Best segments that may count together.
+TOGETHER = 8
 PRIOR = 0.1
 CUTOFF = 0.7
 GRAMS = (4, 5)
@@ -63,11 +71,22 @@ class ToxicModel:
     def word_score(self, word: str) -> float:
         return max((self.weights[f] for f in features_of(word) if f in self.weights), default=self.other)
 
-    def score(self, best: float, n: int) -> float:
-        if n <= 0 or best <= 0:
+    def score(self, sums: list[float], n: int) -> float:
+        """Of a text of n words with segments of these sums."""
+        if n <= 0 or not sums:
             return PRIOR
-        p = -math.expm1(-self.scale * n * math.exp(-min(self.rate * best, 700)))
-        return 1 / (1 + p * (1 - PRIOR) / PRIOR)
+        least, total = 1.0, 0.0
+        for r, s in enumerate(sorted(sums, reverse=True)[:TOGETHER], 1):
+            x = self.rate * s - math.log(self.scale * n)
+            total += x
+            if r == 1:
+                p = -math.expm1(-math.exp(min(-x, 50)))
+            elif total > r:  # the tail's form holds beyond its mode
+                p = math.exp(-total + (r - 1) * math.log(total) - math.lgamma(r + 1) - math.lgamma(r))
+            else:
+                continue
+            least = min(least, p * 2**r)
+        return 1 / (1 + least * (1 - PRIOR) / PRIOR)
 
 
 class WordScores(dict):
@@ -85,25 +104,29 @@ class WordScores(dict):
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end, sum), left to right, in linear time."""
-    segments: list[tuple[int, int, float, float]] = []  # start, end, sum before it, sum through it
+    """All maximal scoring segments (start, end, sum), left to right, in linear time.
+
+    Each segment remembers the nearest one before it that starts lower, so a new segment passes over
+    those that start higher once: from then on its own link passes over them.
+    """
+    segments: list[tuple[int, int, float, float, int]] = []  # start, end, sum before it, sum through it, link
     total = 0.0
     for i, s in enumerate(scores):
         before, total = total, total + s
         if s <= 0:
             continue
-        start, low, high = i, before, total
+        start, low, at = i, before, len(segments) - 1
         while True:
-            # the nearest earlier segment that starts lower; those between start at least as high
-            j = len(segments) - 1
-            while j >= 0 and segments[j][2] >= low:
-                j -= 1
-            if j < 0 or segments[j][3] >= high:
+            while at >= 0 and segments[at][2] >= low:
+                at = segments[at][4]
+            if at < 0 or segments[at][3] >= total:
                 break
-            start, low = segments[j][0], segments[j][2]
-            del segments[j:]
-        segments.append((start, i + 1, low, high))
-    return [(a, b, hi - lo) for a, b, lo, hi in segments]
+            # together with what lies between, the two are one better segment
+            start, _, low, _, link = segments[at]
+            del segments[at:]
+            at = link
+        segments.append((start, i + 1, low, total, at))
+    return [(a, b, hi - lo) for a, b, lo, hi, _ in segments]
 
 
 def _scored(words: list[str], scores: WordScores) -> tuple[list[tuple[int, int, float]], int]:
@@ -166,7 +189,9 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class: in
     own = F.col("docs1") / both
     divergence = own * F.log(own / share) + F.when(own < 1, (1 - own) * F.log((1 - own) / (1 - share))).otherwise(0.0)
     tried = store(table.where((F.col("feature") != "") & (F.col("docs1") >= LEAST_DOCS)).select("feature", "docs0", "docs1", (both * divergence).alias("ratio"), own.alias("own")), "features")
-    best = tried.where(F.col("own") > share).where(F.col("ratio") >= math.log(max(1, tried.count())) + MARGIN).orderBy(F.desc("ratio"), "feature").limit(MAX_FEATURES)
+    best = tried.where(F.col("own") > share).where(F.col("ratio") >= math.log(max(1, tried.count())) + MARGIN)
+    if best.count() > MOST_FEATURES:
+        raise ValueError(f"more than {MOST_FEATURES} telling features; take fewer labelled rows a class")
     weights = {}
     for r in best.collect():
         # the prior holds both classes' documents in proportion, so a rare feature's odds shrink towards even
@@ -231,8 +256,8 @@ def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 segments, n = _scored((text or "").lower().split(), scores)
-                value = own.score(max((s for *_, s in segments), default=0.0), n)
-                telling = [{"start": a, "stop": b, "score": s} for a, b, s in segments if own.score(s, n) >= CUTOFF]
+                value = own.score([s for *_, s in segments], n)
+                telling = [{"start": a, "stop": b, "score": s} for a, b, s in segments if own.score([s], n) >= CUTOFF]
                 out.append((doc_id, doc_id is not None and crc_held_out(doc_id), value, int(value >= CUTOFF), telling))
             cols = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.bool_(), pa.float64(), pa.int32(), passage), strict=True)], ["doc_id", "held_out", "score", "predicted", "segments"])
