@@ -6,12 +6,15 @@ language), and of a few binned shares (distinct words, words repeated at once, r
 length). Counts are damped, weighted by rarity, scaled to length one per block, and projected on
 the leading singular vectors of a bounded sample of labelled documents: the latent-semantic
 space. Each document's cosines with all labelled vectors are exact, one block of documents at a
-time; its nearest labelled vectors vote, weighted by a power of their similarity.
+time; its nearest labelled vectors vote, weighted by a power of their similarity and so that both
+classes have equal voices in all. Equally near vectors are taken by doc_id.
 
 The labelled sample holds at most `per_class` documents a class, which bounds the two matrices
 that are broadcast whatever the input. Null, empty and wordless texts have the shape of an empty
-text and get their neighbours' vote like any other. Without labels of both classes every score
-is 1.0: nothing tells documents apart, so none is rejected.
+text and get their neighbours' vote like any other; long texts are counted whole. Without labels of
+both classes every score is 1.0: nothing tells documents apart, so none is rejected. Repeated rows
+are scored each, and repeated labelled texts vote once. score() reads doc_id and text alone,
+keep_good() returns all columns as they are, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,6 +47,15 @@ _KIND[65:91], _KIND[97:123], _KIND[48:58] = 0, 1, 2
 _KIND[[32, *range(9, 14)]] = 3
 
 
+def nearest(cosines: np.ndarray, k: int) -> np.ndarray:
+    """Columns of each row's k largest numbers; of equal ones (to five places) the first columns, that is the smallest doc_ids."""
+    cosines = np.round(cosines, 5)
+    least = np.partition(cosines, -k, axis=1)[:, -k]
+    above, level = cosines > least[:, None], cosines == least[:, None]
+    level &= np.cumsum(level, axis=1) <= (k - above.sum(1))[:, None]
+    return np.nonzero(above | level)[1].reshape(len(cosines), k)
+
+
 def counts_of(text: str | None, out: np.ndarray) -> None:
     """Fills out (WIDTH float32 numbers) with a text's damped counts."""
     raw = (text or "").encode(errors="replace")
@@ -98,6 +110,7 @@ class QualityModel:
     basis: np.ndarray  # WIDTH x RANK
     vectors: np.ndarray  # labelled documents, length one
     labels: np.ndarray
+    voices: np.ndarray  # of each labelled document, so that both classes have the same number together
 
     def latent(self, texts: list[str | None]) -> np.ndarray:
         out = weighted(counts_matrix(texts), self.rarity) @ self.basis
@@ -110,8 +123,8 @@ class QualityModel:
         k = min(NEIGHBOURS, len(self.labels))
         for at in range(0, len(texts), BLOCK):
             cosines = self.latent(texts[at : at + BLOCK]) @ self.vectors.T
-            near = np.argpartition(cosines, -k, axis=1)[:, -k:]
-            weight = np.maximum(np.take_along_axis(cosines, near, 1), 0).astype(np.float64) ** SHARPNESS
+            near = nearest(cosines, k)
+            weight = np.maximum(np.take_along_axis(cosines, near, 1), 0).astype(np.float64) ** SHARPNESS * self.voices[near]
             votes = self.labels[near]
             # a half vote for each side keeps the score defined where nothing is near
             out[at : at + BLOCK] = ((weight * votes).sum(1) + 1e-3) / (weight.sum(1) + 2e-3)
@@ -128,18 +141,16 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", per_class:
     sample = training_rows(docs, labels, column, per_class).select(F.col("doc_id").cast("bigint"), "text", "label").mapInArrow(count, "doc_id bigint, label int, counts binary").toArrow()
     label = np.array(sample.column("label").to_pylist(), np.float64)
     if len(set(label.tolist())) < 2:
-        return QualityModel(np.ones(WIDTH, np.float32), np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
+        return QualityModel(np.ones(WIDTH, np.float32), np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), np.zeros(0))
     order = np.argsort(np.array(sample.column("doc_id").to_pylist()), kind="stable")
     counts = np.stack([np.frombuffer(b, np.float16) for b in sample.column("counts").to_pylist()])[order].astype(np.float32)
     label = label[order]
-    # both classes get the same number of voices
-    least = int(min((label == 0).sum(), (label == 1).sum()))
-    keep = np.sort(np.concatenate([np.flatnonzero(label == y)[np.linspace(0, (label == y).sum() - 1, least).astype(int)] for y in (0, 1)])) if least >= 50 else np.arange(len(label))
-    counts, label = counts[keep], label[keep]
+    share = label.mean()
+    voices = np.where(label == 1, 0.5 / share, 0.5 / (1 - share))
     rarity = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))).astype(np.float32) + 0.2
     rarity[TRIGRAMS + CLASSES :] = 1
     basis = leading(weighted(counts, rarity), RANK)
-    model = QualityModel(rarity, basis, np.zeros((0, 1), np.float32), label)
+    model = QualityModel(rarity, basis, np.zeros((0, 1), np.float32), label, voices)
     vectors = weighted(counts, rarity) @ basis
     model.vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).astype(np.float32)
     return model
