@@ -1,14 +1,16 @@
 """Best-fit packing of tokenized documents into fixed-length sequences, with swap-based local search.
 
 A document's ids (its own, then an end id) are cut into pieces of at most `capacity` tokens.
-Pieces are dealt into groups of bounded size by a hash, so that no group depends on a key's
-frequency. Each group is packed best fit, longest first; then a local search exchanges pieces
-between underfull bins (move, one-for-one, two-for-one) as long as the sum of squared fills
-grows, until bins empty. A group is one task's work; the only loss against packing all pieces
-at once is the last, partly filled bins of each group.
+Pieces are dealt into groups of bounded size by a hash of their row number in the stored table, so
+that no group depends on what the pieces hold. Each group is packed best fit, longest first; then a
+local search exchanges pieces between underfull bins (move, one-for-one, two-for-one) as long as the
+sum of squared fills grows, until bins empty. A group is one task's work; the only loss against
+packing all pieces at once is the last, partly filled bins of each group.
 
 Nulls: a null text is an empty one (its only token is the end id); a null doc_id is carried.
-Repeated rows are packed once each. An empty table gives an empty result.
+Repeated rows are packed once each. A text of any length is encoded whole and cut into pieces. Ties go
+by row number. Only doc_id and text are read, so other columns may have any names. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from .common import store
 
 CAPACITY = 2048
 GROUP_PIECES = 20_000
+#: Donors in a row that may fail before the local search of a group ends.
+PATIENCE = 40
 #: Entries that a worker's two caches hold before they are emptied; results don't depend on it.
 CACHE_ENTRIES = 400_000
 
@@ -140,72 +144,86 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, patience: int = 40) -> list[list[int]]:
+def _exchange(mine: np.ndarray, size: np.ndarray, room: np.ndarray) -> tuple[tuple[int, ...], int, int] | None:
+    """(pieces out of the donor, piece into it or -1, a piece of the bin they go to): the exchange that leaves the least room there.
+
+    mine: the donor's pieces; room: of each piece's bin, what it can take besides, below zero where
+    it may take nothing. A piece moves where it fits; else one or two pieces go against a shorter one.
+    """
+    theirs = np.flatnonzero(room >= 0)
+    if not len(theirs):
+        return None
+    mine = mine[np.argsort(size[mine], kind="stable")]
+    own = size[mine]
+    best: tuple[int, tuple[int, ...], int, int] | None = None
+
+    def offer(sums: np.ndarray, back: np.ndarray | int, pieces, swapped: bool) -> None:
+        """sums: ascending sizes that may leave; back: sizes that come instead."""
+        nonlocal best
+        most = back + room[theirs]
+        k = np.searchsorted(sums, most, "right") - 1
+        waste = np.where((k >= 0) & (sums[np.maximum(k, 0)] > back), most - sums[np.maximum(k, 0)], np.iinfo(np.int64).max)
+        at = int(np.argmin(waste))
+        if waste[at] < (np.iinfo(np.int64).max if best is None else best[0]):
+            there = int(theirs[at])
+            best = (int(waste[at]), pieces(int(k[at])), there if swapped else -1, there)
+
+    offer(own, 0, lambda k: (int(mine[k]),), False)
+    if best is None:
+        offer(own, size[theirs], lambda k: (int(mine[k]),), True)
+        if len(mine) > 1:
+            a, b = np.triu_indices(len(mine), 1)
+            order = np.argsort(own[a] + own[b], kind="stable")
+            a, b = a[order], b[order]
+            offer(own[a] + own[b], size[theirs], lambda k: (int(mine[a[k]]), int(mine[b[k]])), True)
+    return None if best is None else best[1:]
+
+
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, patience: int = PATIENCE) -> list[list[int]]:
     """Empty the least filled bins by exchanges that each increase the sum of squared fills.
 
-    The donor is the emptiest bin. Its pieces move into another bin with room, or go one-for-one
-    against a shorter piece, or two-for-one against a piece shorter than both together, always
-    into a bin that ends up fuller than the donor was. It stops after `patience` donors in a row that
+    The donor is the emptiest bin not tried yet. Its pieces move into another bin with room, or go
+    one-for-one against a shorter piece, or two-for-one against a piece shorter than both together,
+    always into a bin at least as full as the donor; so the donor's fill falls with every exchange, and
+    each donor comes to an end. The search ends when the other bins' room together can't take the
+    emptiest donor, so that no bin can be emptied any more, or after `patience` donors in a row that
     could not be emptied.
     """
-    full = [b for b in bins if sum(int(lengths[i]) for i in b) == capacity]
-    loose = [list(b) for b in bins if sum(int(lengths[i]) for i in b) < capacity]
+    fills = [sum(int(lengths[i]) for i in b) for b in bins]
+    full = [b for b, f in zip(bins, fills, strict=True) if f == capacity]
+    loose = [list(b) for b, f in zip(bins, fills, strict=True) if f < capacity]
     if len(loose) < 2:
         return bins
-    fill = np.array([int(lengths[b].sum()) for b in loose])
+    fill = np.array([f for f in fills if f < capacity])
     item = np.array([i for b in loose for i in b])
     home = np.array([k for k, b in enumerate(loose) for _ in b])
     size = lengths[item].astype(np.int64)
-    live = np.ones(len(loose), bool)
+    live, tried = np.ones(len(loose), bool), np.zeros(len(loose), bool)
     failed = 0
-    tried = np.zeros(len(loose), bool)
     while failed < patience:
         left = np.flatnonzero(live & ~tried)
-        if not len(left) or live.sum() < 2:
+        if not len(left):
             break
         donor = int(left[np.argmin(fill[left])])
-        steps = 0
-        while True:
-            mine = np.flatnonzero(home == donor)
-            if not len(mine):
-                live[donor] = False
-                break
-            room = capacity - fill
+        if fill[donor] > (capacity - fill[live]).sum() - (capacity - fill[donor]):
+            break
+        while len(mine := np.flatnonzero(home == donor)):
+            room = np.where(live & (fill >= fill[donor]), capacity - fill, -1)
             room[donor] = -1
-            room[~live] = -1
-            best = None  # (wasted room, pieces out of the donor, piece into it or -1, bin)
-            for a in mine[np.argsort(-size[mine])].tolist():
-                ok = np.flatnonzero(room >= size[a])
-                if len(ok):
-                    b = int(ok[np.argmin(room[ok])])
-                    best = (int(room[b] - size[a]), (a,), -1, b)
-                    break
-            groups = [(a,) for a in mine.tolist()] + ([(a, b) for x, a in enumerate(mine.tolist()) for b in mine.tolist()[x + 1 :]] if len(mine) <= 8 else [])
-            if best is None and steps < 64:
-                their_room = room[home]
-                for out in groups:
-                    total = int(size[list(out)].sum())
-                    gain = total - size  # what the other bin gains
-                    ok = np.flatnonzero((their_room >= gain) & (gain > 0) & (their_room >= 0) & (fill[home] + gain > fill[donor]))
-                    if len(ok):
-                        k = int(ok[np.argmin(their_room[ok] - gain[ok])])
-                        waste = int(their_room[k] - gain[k])
-                        if best is None or waste < best[0]:
-                            best = (waste, out, k, int(home[k]))
-            if best is None:
+            found = _exchange(mine, size, room[home])
+            if found is None:
                 break
-            _, out, back, b = best
-            steps += 1
-            moved = int(size[list(out)].sum())
+            out, back, there = found
+            b = int(home[there])
+            gain = int(size[list(out)].sum()) - (int(size[back]) if back >= 0 else 0)
             home[list(out)] = b
-            returned = 0
             if back >= 0:
                 home[back] = donor
-                returned = int(size[back])
-            fill[b] += moved - returned
-            fill[donor] -= moved - returned
+            fill[b] += gain
+            fill[donor] -= gain
+        live[donor] = fill[donor] > 0
         tried[donor] = True
-        failed = 0 if not live[donor] else failed + 1
+        failed = failed + 1 if live[donor] else 0
     packed: dict[int, list[int]] = {}
     for i, h in zip(item.tolist(), home.tolist(), strict=True):
         packed.setdefault(h, []).append(i)
@@ -226,7 +244,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIE
             offset[members] = np.cumsum(lengths[members]) - lengths[members]
         return pdf.drop(columns="grp").assign(sequence_id=sequence, offset=offset)
 
-    dealt = cut.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(groups)))
+    dealt = cut.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("grp").applyInPandas(fit, f"{_PIECES}, sequence_id bigint, offset bigint")
 
 
