@@ -1,8 +1,10 @@
 """Licence scan: texts against licence templates by the Dice coefficient of their word bigrams.
 
 A text is lower-cased, and every run of other characters than letters, digits and line breaks
-becomes one blank. Its lines, its paragraphs (between blank lines) and the whole of it are held
-against the templates. With a least coefficient t, a template of b distinct bigrams can only match
+becomes one blank. Its lines, its paragraphs (between blank lines), runs of its lines and the whole of
+it are held against the templates. Runs are consecutive lines that aren't blank, of a size that some
+long template (LONG bigrams or more) may match, so a licence of several paragraphs is found inside
+a longer text, and a header with code directly below it. With a least coefficient t, a template of b distinct bigrams can only match
 a unit of a distinct bigrams if b t / (2 - t) <= a <= b (2 - t) / t; this bound is an equi-join on
 the unit's size against a table that lists each template under all sizes it may match (a few
 hundred rows, fixed by the templates and not by the data). The same bound says that a match holds
@@ -10,7 +12,10 @@ more than b t / (2 - t) of the template's bigrams; so some words can be named fo
 of which a match must hold one, and texts and units with none of them end at a substring search.
 All of it is DataFrame functions.
 
-Null, empty and one-word texts match nothing. Rows that share a doc_id are reported together.
+Null, empty and one-word texts match nothing. Rows that share a doc_id are reported together, equal
+units of one row once. Long texts are read whole; only their lines near a telling word make runs. Of a
+template's units the greatest coefficient is given, ties are one. Only doc_id and text are read, so
+other columns may have any names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -63,7 +68,45 @@ TEMPLATES = {
     ),
     "Unlicense": (
         "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this "
-        "software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+        "software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. "
+        "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public "
+        "domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an "
+        "overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN "
+        "ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+        "and/or other materials provided with the distribution. "
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE "
+        "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE "
+        "FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; "
+        "LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT "
+        "(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+        "and/or other materials provided with the distribution. "
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without "
+        "specific prior written permission. "
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE "
+        "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE "
+        "FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; "
+        "LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT "
+        "(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of "
+        "this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it "
+        "freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original "
+        "software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+        "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. "
+        "3. This notice may not be removed or altered from any source distribution."
     ),
 }
 
@@ -102,18 +145,57 @@ def _words(unit: Column) -> Column:
     return F.filter(F.split(unit, " "), lambda w: w != "")
 
 
+#: Bigrams from which a template is long: only long ones are looked for in runs of lines.
+LONG = 40
+
+
+def _known(templates: dict[str, str] | None) -> dict[str, list[str]]:
+    return {k: g for k, v in (TEMPLATES if templates is None else templates).items() if (g := _template_bigrams(v))}
+
+
+def run_words(known: dict[str, list[str]], least: float = LEAST) -> tuple[int, int]:
+    """Fewest and most words of a run of lines that may match a long template. A run with repeated bigrams has more words than distinct bigrams; it may have as many again as half of the most."""
+    sizes = [bounds(len(g), least) for g in known.values() if len(g) >= LONG]
+    return (min(lo for lo, _ in sizes) + 1, max(hi for _, hi in sizes) * 3 // 2) if sizes else (1, 0)
+
+
+def _upto(values: Column, most: Column) -> Column:
+    """Sums of the first 0, 1, ... `most` numbers."""
+    return F.transform(F.sequence(F.lit(0), most), lambda i: F.aggregate(F.slice(values, 1, i), F.lit(0), lambda a, x: a + x))
+
+
+def _runs(fewest: int, most: int) -> Column:
+    """Runs of lines, of so many words, that hold a telling line; from the columns lines, words (before each line) and told (telling lines before it)."""
+
+    def from_line(i: Column) -> Column:
+        within = lambda c, j: F.element_at(c, j + 1) - F.element_at(c, i)
+        ends = F.filter(F.sequence(i, F.least(F.size("lines"), i + most)), lambda j: (j > i) & within("words", j).between(fewest, most) & (within("told", j) > 0))
+        return F.transform(ends, lambda j: F.array_join(F.slice("lines", i, j - i + 1), " "))
+
+    return F.when(F.size("told") > 1, F.flatten(F.transform(F.sequence(F.lit(1), F.size("lines")), from_line))).otherwise(F.array().cast("array<string>"))
+
+
 def licences(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
     """One row per (document, template found): doc_id, license, dice (of its best unit), n_units (units that matched)."""
     spark = docs.sparkSession
-    known = {k: _template_bigrams(v) for k, v in (TEMPLATES if templates is None else templates).items()}
-    sized = [(n, k, g) for k, g in known.items() if g for n in range(bounds(len(g), least)[0], bounds(len(g), least)[1] + 1)]
+    known = _known(templates)
+    sized = [(n, k, g) for k, g in known.items() for n in range(bounds(len(g), least)[0], bounds(len(g), least)[1] + 1)]
     sizes = spark.createDataFrame(sized, "a int, license string, grams array<string>")
-    telling = telling_words([g for g in known.values() if g], least)
-    tells = lambda text: reduce(or_, [F.contains(text, F.lit(w)) for w in telling], F.lit(False))
+    any_of = lambda words: lambda text: reduce(or_, [F.contains(text, F.lit(w)) for w in words], F.lit(False))
+    tells = any_of(telling_words(list(known.values()), least))
+    long_tells = any_of(telling_words([g for g in known.values() if len(g) >= LONG], least))
+    clean = lambda u: F.trim(F.regexp_replace(u, "[\n ]+", " "))
+    # a generator of one row keeps what it makes from being worked out again inside each later lambda
+    once = lambda df, **made: df.select("doc_id", *[c for c in df.columns if c != "doc_id"], F.inline(F.array(F.struct(*[v.alias(k) for k, v in made.items()]))))
     plain = F.regexp_replace(F.lower("text"), _OTHER, " ")
+    cut = once(docs.where(tells(F.lower("text"))).select("doc_id", "text"), plain=plain).drop("text")
+    cut = once(cut, lines=F.filter(F.transform(F.split("plain", "\n"), lambda x: F.trim(x)), lambda x: x != ""))
+    looked = F.when(long_tells(F.col("plain")), F.col("lines")).otherwise(F.array().cast("array<string>"))
+    cut = once(cut, sizes=F.transform(looked, lambda x: F.size(F.split(x, " "))), tells=F.transform(looked, lambda x: long_tells(x).cast("int")))
+    cut = once(cut, words=_upto(F.col("sizes"), F.size("sizes")), told=_upto(F.col("tells"), F.size("tells")))
+    runs = _runs(*run_words(known, least))
     units = F.concat(F.split("plain", "\n"), F.split("plain", r"\n *\n"), F.array("plain"))
-    units = F.array_distinct(F.transform(F.filter(units, tells), lambda u: F.trim(F.regexp_replace(u, "[\n ]+", " "))))
-    cut = docs.where(tells(F.lower("text"))).select("doc_id", plain.alias("plain"))
+    units = F.array_distinct(F.concat(F.transform(F.filter(units, tells), clean), runs))
     cut = cut.select("doc_id", F.explode(units).alias("unit"))
     w = _words(F.col("unit"))
     # the arrays of both sides are computed once for each unit, not once for each bigram
@@ -124,13 +206,22 @@ def licences(docs: DataFrame, templates: dict[str, str] | None = None, least: fl
 
 
 def licences_sql(least: float = LEAST) -> str:
-    """The same in DuckDB's SQL, over documents."""
-    values = ", ".join(f"('{k}', [{', '.join(repr(g) for g in _template_bigrams(v))}], {bounds(len(_template_bigrams(v)), least)[0]}, {bounds(len(_template_bigrams(v)), least)[1]})" for k, v in TEMPLATES.items())
+    """The same in DuckDB's SQL, over documents; every run of lines is made there, of texts without a long template's word too."""
+    known = _known(None)
+    fewest, most = run_words(known, least)
+    values = ", ".join(f"('{k}', [{', '.join(repr(x) for x in g)}], {bounds(len(g), least)[0]}, {bounds(len(g), least)[1]})" for k, g in known.items())
+    telling = " OR ".join(f"contains(x, '{w}')" for w in telling_words([g for g in known.values() if len(g) >= LONG], least))
     return f"""
     WITH t(license, grams, lo, hi) AS (VALUES {values}),
     p AS (SELECT doc_id, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g') AS plain FROM documents),
-    u AS (SELECT doc_id, unnest(list_distinct(list_transform(list_concat(list_concat(string_split(plain, chr(10)), regexp_split_to_array(plain, '\\n *\\n')), [plain]),
-          lambda x: trim(regexp_replace(x, '[\\n ]+', ' ', 'g'))))) AS unit FROM p WHERE plain <> ''),
+    l AS (SELECT doc_id, list_filter(list_transform(string_split(plain, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM p),
+    n AS (SELECT doc_id, lines, list_transform(lines, lambda x: len(string_split(x, ' '))) AS n, list_transform(lines, lambda x: {telling}) AS told FROM l),
+    i AS (SELECT doc_id, lines, n, told, unnest(range(1, len(lines) + 1)) AS i FROM n WHERE list_bool_or(told)),
+    j AS (SELECT doc_id, lines, n, told, i, unnest(range(i + 1, len(lines) + 1)) AS j FROM i),
+    r AS (SELECT doc_id, array_to_string(lines[i:j], ' ') AS unit FROM j WHERE list_sum(n[i:j]) BETWEEN {fewest} AND {most} AND list_bool_or(told[i:j])),
+    s AS (SELECT doc_id, unnest(list_transform(list_concat(list_concat(string_split(plain, chr(10)), regexp_split_to_array(plain, '\\n *\\n')), [plain]),
+          lambda x: trim(regexp_replace(x, '[\\n ]+', ' ', 'g')))) AS unit FROM p WHERE plain <> ''),
+    u AS (SELECT DISTINCT doc_id, unit FROM (SELECT * FROM r UNION ALL SELECT * FROM s)),
     w AS (SELECT doc_id, string_split(unit, ' ') AS w FROM u WHERE unit LIKE '% %'),
     g AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w),
     d AS (SELECT doc_id, license, 2.0::DOUBLE * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice FROM g JOIN t ON len(g) BETWEEN lo AND hi)
