@@ -7,7 +7,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Java's form of the word separator: blank and U+0009 to U+000D.
@@ -34,20 +35,44 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+#: Folders that store() has written and nothing has removed yet, oldest first.
+_stored: list[str] = []
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _stored.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _stored.remove(path)
+
+
 def drop_stored(df: DataFrame) -> None:
     """Remove what store() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    files = df.inputFiles()[:1]
+    for path in [p for p in _stored if any(p.rpartition("/")[2] in f for f in files)]:
+        _remove(df.sparkSession, path)
+
+
+def drop_stored_before(spark: SparkSession, last: int = 1) -> None:
+    """Remove all that store() wrote but the last few folders: what a stage needed on the way to its stored result."""
+    for path in _stored[: len(_stored) - last]:
+        _remove(spark, path)
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """name, with as many underscores before it as make it a name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def words_of(text: Column) -> Column:
@@ -74,7 +99,9 @@ def join_counted(rows: DataFrame, keys: DataFrame, on: list[str], total: int) ->
     Keys with more than total / HOT_KEYS rows number less than HOT_KEYS: those are broadcast and
     their rows stay where they are; the rest meet by a shuffle in which no key is large. n is dropped.
     """
-    bound = max(1000, total // HOT_KEYS)
+    bound = max(100, total // HOT_KEYS)
+    if total <= bound:
+        return rows.join(keys.drop("n"), on)
     hot = F.broadcast(keys.where(F.col("n") > bound).drop("n"))
     cold = rows.join(hot.select(*on), on, "left_anti").join(keys.where(F.col("n") <= bound).drop("n"), on)
     return rows.join(hot, on).unionByName(cold)
@@ -152,38 +179,86 @@ def crc_held_out(doc_id: int) -> bool:
 # ---------------------------------------------------------------- connected components
 
 
-def _same(a: DataFrame, b: DataFrame) -> bool:
-    sums = [x.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first() for x in (a, b)]
-    return sums[0] == sums[1]
+#: Nodes of a graph whose minima (two numbers each) are broadcast; larger graphs shuffle them.
+BROADCAST_NODES = 200_000
+#: Edges that a task of the graph's steps should hold.
+TASK_EDGES = 50_000
+
+
+def _measured(edges: DataFrame) -> tuple[int, int, int, tuple]:
+    """Number of edges and of nodes, the most edges that a node has, and what only an equal set of edges gives."""
+    ends = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    degree = ends.groupBy("u").agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"))
+    twice, nodes, most, total = degree.agg(F.sum("n"), F.count("*"), F.max("n"), F.sum("s")).first()
+    return (twice or 0) // 2, nodes, most or 0, (twice, total)
+
+
+def _forests(edges: DataFrame) -> DataFrame:
+    """Edges (u, v), u > v, that connect what the edges of each task connect, as far as it holds TASK_EDGES at a time: fewer edges, and shorter paths."""
+
+    def shrink(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = np.zeros((2, 0), np.int64)
+        for batch in it:
+            ends = np.concatenate([ends, [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)]], axis=1)
+            nodes, at = np.unique(ends, return_inverse=True)
+            at = at.reshape(2, -1)
+            root = local_forest(len(nodes), at[0], at[1])
+            linked = np.flatnonzero(root != np.arange(len(root)))
+            ends = np.stack([nodes[linked], nodes[root[linked]]])
+            if ends.shape[1] > TASK_EDGES:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in ends], ["u", "v"])
+                ends = np.zeros((2, 0), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in ends], ["u", "v"])
+
+    return edges.mapInArrow(shrink, "u bigint, v bigint")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root (the smallest node reachable) of every node that an edge (u, v) names.
 
-    Alternating large-star and small-star steps: no step holds a component in one task, the
-    edge set never outgrows its start, and rounds grow as the logarithm of the longest path.
+    Alternating large-star and small-star steps on what the tasks' own forests leave: no step holds a
+    component in one task (the minima of at most BROADCAST_NODES nodes are broadcast; beyond, a hub's
+    goes to its neighbours by join_counted), the edge set never outgrows its start, and rounds grow
+    as the logarithm of the longest path.
     """
-    now = store(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    raw = store(edges.where("u <> v").select(F.col("u").cast("bigint"), F.col("v").cast("bigint")), "edges")
+    tasks = lambda n: n // TASK_EDGES + 1
+    now = store(_forests(raw.coalesce(tasks(raw.count()))), "edges")
+    drop_stored(raw)
+    n, nodes, most, seen = _measured(now)
     for _ in range(rounds):
+
+        def with_least(rows: DataFrame, n: int = n, nodes: int = nodes, most: int = most) -> DataFrame:
+            """rows (u, v) with m, the least v of their u."""
+            least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+            if nodes <= BROADCAST_NODES:
+                return rows.join(F.broadcast(least.drop("n")), "u")
+            if most > max(100, 2 * n // HOT_KEYS):
+                return join_counted(rows, least, ["u"], 2 * n)
+            return rows.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+
+        # large star: every neighbour above a node goes to the least of the node and its neighbours
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-            .unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        )
-        after = store(small, "edges")
-        settled = _same(now, after)
+        large = with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        # small star: a node's lower neighbours, and the node, go to the least of them
+        stars = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        after = store(with_least(large).select(F.explode(stars).alias("e")).select("e.*").where("u <> v").distinct().coalesce(tasks(n)), "edges")
         drop_stored(now)
-        now = after
-        if settled:
+        now, before = after, seen
+        n, nodes, most, seen = _measured(now)
+        if seen == before:
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def by_root(rows: DataFrame, key: str, low: str, total: int, out: str) -> DataFrame:
+    """rows with `out`, the least `low` of all rows with their key; a key of any number of rows stays spread."""
+    least = rows.groupBy(key).agg(F.min(low).alias(out), F.count("*").alias("n"))
+    return join_counted(rows, least, [key], total)
+
+
 def local_forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest member's index of each of n nodes' components under edges a-b."""
     root = np.arange(n)
