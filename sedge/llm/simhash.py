@@ -7,22 +7,29 @@ the connected components of those links.
 Search: fingerprints are compared once per distinct value. Of two that differ in at most 4 bits,
 some 16-bit block of the four differs in at most 1. For each block a vantage-point tree splits
 the block's values by their Hamming distance from a vantage value at the median; its leaves are
-shards. A fingerprint lives in its own leaf and also visits every leaf that a ball of radius 1
-round its block may reach (triangle bounds). Inside a shard the tree goes on in memory down to
-small leaves, where whole fingerprints are compared. So every link is found, none is guessed;
-shards grow in number, not in size, as the input grows.
+shards. A fingerprint lives in its own leaf and also visits every other leaf that holds a value of
+the ball of radius 1 round its block: branches are pruned by triangle bounds, and what reaches a
+leaf must have one of the ball's 17 values there, so no fingerprint is sent to more than 17 leaves of
+a block however deep the tree. Inside a shard the tree goes on in memory down to small leaves,
+where whole fingerprints are compared; fingerprints of one block value go on by the other blocks,
+of which one differs in at most RADIUS // (blocks left) bits. So every link is found, none is
+guessed. Shards grow in number as the input grows, up to 16,384 a block; beyond some 3e8 distinct
+fingerprints they grow in size, a shard of 1e10 then holds about 600,000 and their visitors.
 
 A shard doesn't emit all its pairs, only a forest that connects the same fingerprints, so a
 thousand near copies give a thousand edges. Components come from star contraction.
 
 Null and wordless texts have fingerprint zero and link like any other. Fewer words than a shingle
 count as one shingle. Null doc_ids are carried and never name a component unless all its ids are null.
+Repeated rows give a row each and share a component. Long texts are hashed in parts of bounded size.
+Only doc_id and text are read, so other columns may have any names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -30,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, local_forest, store
+from .common import by_root, components, local_forest, store
 from .similar import smallest_of_components
 
 WORDS, SEED, RADIUS = 4, 42, 4
@@ -92,6 +99,7 @@ class Shards:
 
     def __init__(self, depth: int, bits: int = BLOCK_BITS, radius: int = BLOCK_RADIUS):
         self.radius, self.leaves = radius, 0
+        self.ball = [np.uint32(sum(1 << b for b in some)) for n in range(1, radius + 1) for some in combinations(range(bits), n)]
         size = 1 << bits
         self.home = np.zeros(size, np.int32)
         self._seen: list[tuple[np.ndarray, int]] = []
@@ -106,7 +114,7 @@ class Shards:
     def _grow(self, points: np.ndarray, queries: np.ndarray, depth: int, rng: np.random.Generator) -> None:
         if depth and len(points) > 1:
             vantage = points[rng.integers(len(points))]
-            far = np.bitwise_count(points ^ vantage)
+            far = np.bitwise_count(points ^ vantage).astype(np.int32)
             cut = int(np.median(far))
             inner = far <= cut
             if inner.all():
@@ -117,8 +125,14 @@ class Shards:
                 self._grow(points[inner], queries[reach - self.radius <= cut], depth - 1, rng)
                 self._grow(points[~inner], queries[reach + self.radius > cut], depth - 1, rng)
                 return
+        # of the queries that the bounds let through, those with a value of their ball here
+        here = np.zeros(len(self.home), bool)
+        here[points] = True
+        near = np.zeros(len(queries), bool)
+        for offset in self.ball:
+            near |= here[queries ^ offset]
         self.home[points] = self.leaves
-        self._seen.append((queries[self.home[queries] != self.leaves] if self.leaves else np.setdiff1d(queries, points), self.leaves))
+        self._seen.append((queries[near & ~here[queries]], self.leaves))
         self.leaves += 1
 
 
@@ -158,11 +172,11 @@ def _leaf_edges(points: np.ndarray, visitors: np.ndarray, prints: np.ndarray, ou
             out.append(np.stack([part[pair // len(points)], points[pair % len(points)]]))
 
 
-def shard_edges(prints: np.ndarray, lives: np.ndarray, block: int, leaf: int = LEAF) -> np.ndarray:
-    """2 x n indexes of prints whose edges connect all links of one shard: between those that live in it, and with its visitors."""
-    value = block_of(prints, block)
-    out: list[np.ndarray] = []
-    todo = [(np.flatnonzero(lives), np.flatnonzero(~lives))]
+def _search(points: np.ndarray, visitors: np.ndarray, prints: np.ndarray, blocks: tuple[int, ...], leaf: int, out: list[np.ndarray]) -> None:
+    """Edges that connect all links among points and between them and visitors whose first block of `blocks` differs in at most RADIUS // len(blocks) bits."""
+    radius = RADIUS // len(blocks)
+    value = block_of(prints, blocks[0])
+    todo = [(points, visitors)]
     while todo:
         points, visitors = todo.pop()
         if not len(points):
@@ -179,11 +193,21 @@ def shard_edges(prints: np.ndarray, lives: np.ndarray, block: int, leaf: int = L
                 reach = np.bitwise_count(value[visitors] ^ vantage).astype(np.int32)
                 ins, outs = points[inner], points[~inner]
                 # points near the boundary visit the other side; once is enough for a pair
-                over = ins[far[inner] + BLOCK_RADIUS > cut]
-                todo.append((ins, visitors[reach - BLOCK_RADIUS <= cut]))
-                todo.append((outs, np.concatenate([visitors[reach + BLOCK_RADIUS > cut], over])))
+                over = ins[far[inner] + radius > cut]
+                todo.append((ins, visitors[reach - radius <= cut]))
+                todo.append((outs, np.concatenate([visitors[reach + radius > cut], over])))
+                continue
+            if len(blocks) > 1 and not far.any():  # one value: the other blocks tell them apart
+                for k in range(1, len(blocks)):
+                    _search(points, visitors, prints, (*blocks[k:], *blocks[1:k]), leaf, out)
                 continue
         _leaf_edges(points, visitors, prints, out)
+
+
+def shard_edges(prints: np.ndarray, lives: np.ndarray, block: int, leaf: int = LEAF) -> np.ndarray:
+    """2 x n indexes of prints whose edges connect all links of one shard: between those that live in it, and with its visitors."""
+    out: list[np.ndarray] = []
+    _search(np.flatnonzero(lives), np.flatnonzero(~lives), prints, (block, *(b for b in range(BLOCKS) if b != block)), leaf, out)
     if not out:
         return np.zeros((2, 0), np.int64)
     edges = np.concatenate(out, axis=1)
@@ -228,10 +252,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, shard_points: int = SHA
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links) of every row."""
     prints = store(fingerprints(docs, words), "fingerprints")
     distinct = store(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    roots = components(links(distinct, distinct.count(), shard_points))
+    n = distinct.count()
+    roots = components(links(distinct, n, shard_points))
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    named = by_root(rooted, "root", "low", n, "component_id").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
