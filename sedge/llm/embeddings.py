@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, join_counted, local_forest, store
+from .common import by_root, components, join_counted, local_forest, store
 
 COSINE = 0.98
 TABLES = 6
@@ -127,7 +127,7 @@ def near_vectors(vectors: DataFrame, least: float = COSINE) -> DataFrame:
     e = F.col("embedding")
     finite = ~F.exists(e, lambda v: v.isNull() | F.isnan(v) | (F.abs(v.cast("double")) == float("inf")))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & e.isNotNull() & (F.size(e) > 0) & finite & F.exists(e, lambda v: v != 0)
-    base = vectors.select(F.col("vec_id").cast("bigint"), F.col("label").cast("bigint").alias("label"), e, F.coalesce(usable, F.lit(False)).alias("usable"))
+    base = vectors.select(F.col("vec_id").cast("bigint"), F.col("label"), e, F.coalesce(usable, F.lit(False)).alias("usable"))
     base = base.withColumn("k1", F.xxhash64("label", "embedding")).withColumn("k2", F.hash("embedding", "label"))
     classes = store(
         base.where("usable").groupBy("label", F.size("embedding").alias("dim"), "k1", "k2").agg(F.first("embedding").alias("embedding"), F.min("vec_id").alias("low"), F.count("*").alias("n"))
@@ -158,7 +158,7 @@ def near_vectors(vectors: DataFrame, least: float = COSINE) -> DataFrame:
     rows = rows.withColumn("c1", F.least("cell", "other")).withColumn("c2", F.greatest("cell", "other"))
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = pdf[[*bucket, "c1", "c2"]].to_numpy(np.int64)
+        keys = pdf[[*bucket, "c1", "c2"]].assign(label=pd.factorize(pdf["label"])[0]).to_numpy(np.int64)
         order = np.lexsort(keys.T[::-1])
         cuts = np.flatnonzero((np.diff(keys[order], axis=0) != 0).any(1)) + 1
         cell, cid, counts = pdf["cell"].to_numpy(), pdf["cid"].to_numpy(), pdf["n"].to_numpy()
@@ -186,9 +186,8 @@ def near_vectors(vectors: DataFrame, least: float = COSINE) -> DataFrame:
     met = store(dealt.groupBy("task").applyInPandas(join, "cid bigint, gain bigint, root bigint"), "met")
     gains = met.groupBy("cid").agg(F.sum("gain").alias("gain"))
     roots = components(met.where("cid <> root").select(F.col("cid").alias("u"), F.col("root").alias("v")))
-    rooted = classes.select("label", "dim", "k1", "k2", "cid", "low", "n").join(gains, "cid", "left").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    least_id = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(least_id, "root").select("label", "dim", "k1", "k2", (F.col("n") - 1 + F.coalesce("gain", F.lit(0))).alias("n_links"), "component_id").withColumn("usable", F.lit(True))
+    rooted = classes.select("label", "dim", "k1", "k2", "cid", "low", F.col("n").alias("size")).join(gains, "cid", "left").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    named = by_root(rooted, "root", "low", n_classes, "component_id").select("label", "dim", "k1", "k2", (F.col("size") - 1 + F.coalesce("gain", F.lit(0))).alias("n_links"), "component_id").withColumn("usable", F.lit(True))
     slim = base.select("vec_id", "label", F.coalesce(F.size("embedding"), F.lit(-1)).alias("dim"), "k1", "k2", "usable")
     out = slim.join(named, ["label", "dim", "k1", "k2", "usable"], "left")
     component = F.coalesce("component_id", "vec_id")
