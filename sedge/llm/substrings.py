@@ -1,14 +1,17 @@
 """Exact removal of word passages that an earlier document already holds, by level-wise doubling.
 
-A window of `size` words repeats only if each shorter window in it repeats. So the levels go up
-by doubling, from size / 2 to size, and only what repeats at one level is looked at in the next:
-
-1. Half windows. Of the half windows inside one full window only the one with the least hash (its
-   mark) can stand for it: two equal windows have equal marks. So a document needs to give only
-   its few marks (about 2 in 27 of its positions for 50 words), and the marks that only one
-   document has end here.
-2. Full windows with a surviving mark are hashed with 96 bits; those whose hash is also in a
-   document of smaller doc_id are removed, and their words with them.
+A window of `size` words repeats only if each shorter window in it repeats. So the levels go up by
+doubling (13, 25 and 50 words for a size of 50), and each level looks only at the places that the one
+before it left, until none are left or full windows are reached:
+
+1. At a level of L words a place, that is the start of a full window, is stood for by its mark: the
+   least hash of the windows of L words inside its full window. Equal full windows have equal
+   marks, and neighbouring places mostly share one, so a document gives few marks (about 2 in 39
+   of its places at the first level for 50 words). Places whose mark no other document has end here.
+2. The rest is extended to twice the length, and so on.
+3. At the last level a place's window is compared by a 128-bit cryptographic digest of its words;
+   windows that are also in a document of smaller doc_id are removed, and their words with them. Two
+   different windows among 10**13 have equal digests with a probability below 10**-12.
 
 Documents of equal word sequences are compared once: all windows of the later ones repeat. Hashes
 are counted by partial aggregation and joined back, the few most frequent ones by a broadcast of
@@ -16,7 +19,8 @@ bounded size, so a passage that a third of all documents hold is no single task'
 
 Null text: no words. A null doc_id has no place in the order: such rows lose nothing and take
 nothing from others. Rows with one doc_id don't take from each other. Texts shorter than a window
-stay whole. Empty tables give empty results.
+stay whole; long ones are held once by the task that reads them. Columns besides doc_id and text
+may have any names; remove_repeats returns them unchanged. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -29,9 +33,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, WINDOW_BASES, join_counted, span_hashes, store, window_hashes, word_spans
+from .common import BASES, WINDOW_BASES, drop_stored, join_counted, span_hashes, store, window_hashes, word_spans
 
 SIZE = 50
+#: Words of the shortest level: phrases below it repeat in any two texts.
+SHORTEST = 10
+
+
+def levels(size: int) -> list[int]:
+    """Lengths from the shortest one up to size, each about twice the one before."""
+    out = [size]
+    while -(-out[0] // 2) >= SHORTEST:
+        out.insert(0, -(-out[0] // 2))
+    return out
 
 
 def _low(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -44,18 +58,32 @@ def _low(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[:-rest], out[rest:]) if rest else out
 
 
-def window_marks(words: np.ndarray, size: int) -> np.ndarray:
-    """The mark of each window of size words: the least hash of the half windows in it."""
+def window_marks(words: np.ndarray, size: int, level: int) -> np.ndarray:
+    """The mark of each window of size words: the least hash of the windows of level words in it."""
     if len(words) < size:
         return np.zeros(0, np.uint64)
-    half = size // 2
-    return _low(window_hashes(words, half, WINDOW_BASES[0]), size - half + 1)
+    return _low(window_hashes(words, level, WINDOW_BASES[0]), size - level + 1)
+
+
+def mark_runs(marks: np.ndarray, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mark, first place, last place) of each run of neighbouring places in `alive` with one mark."""
+    if not len(alive):
+        return np.zeros(0, np.uint64), alive, alive
+    own = marks[alive]
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(alive) != 1) | (own[1:] != own[:-1])]))
+    last = np.concatenate([first[1:], [len(alive)]]) - 1
+    return own[first], alive[first], alive[last]
+
 
+def places_of(runs: list[dict]) -> np.ndarray:
+    """The places that runs of first and last places cover, in order."""
+    return np.unique(np.concatenate([np.arange(r["lo"], r["hi"] + 1) for r in runs])) if runs else np.zeros(0, np.int64)
 
-def _words(text: bytes, base: int = BASES[0]) -> np.ndarray:
+
+def _words(text: bytes) -> np.ndarray:
     raw = np.frombuffer(text, np.uint8)
     starts, ends = word_spans(raw)
-    return span_hashes(raw, starts, ends, base) if len(starts) else np.zeros(0, np.uint64)
+    return span_hashes(raw, starts, ends, BASES[0]) if len(starts) else np.zeros(0, np.uint64)
 
 
 def covered(n: int, starts: np.ndarray, size: int) -> np.ndarray:
@@ -67,52 +95,74 @@ def covered(n: int, starts: np.ndarray, size: int) -> np.ndarray:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
+
+
+_RUNS = "array<struct<mark:bigint,lo:int,hi:int>>"
+
+
+def _run_lists(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(m) for m, _, _ in found])]).astype(np.int32)
+    mark, lo, hi = (np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in range(3))
+    flat = pa.StructArray.from_arrays([pa.array(mark.astype(np.uint64).view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["mark", "lo", "hi"])
+    return pa.ListArray.from_arrays(pa.array(offsets), flat)
 
 
 def profiles(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, th, n_words, sha (of the words joined by blanks), marks."""
+    """doc_id, th, n_words, sha (of the words joined by blanks), runs of the first level."""
+    level = levels(size)[0]
 
     def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            counts, shas, marks = [], [], []
+            counts, shas, found = [], [], []
             for text in batch.column(2).to_pylist():
                 words = (text or b"").split()
                 line = b" ".join(words)
                 counts.append(len(words))
                 shas.append(hashlib.sha256(line).hexdigest())
-                marks.append(np.unique(window_marks(_words(line), size)).view(np.int64) if len(words) >= size else np.zeros(0, np.int64))
-            offsets = np.concatenate([[0], np.cumsum([len(m) for m in marks])]).astype(np.int32)
-            flat = np.concatenate(marks) if marks else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "th", "n_words", "sha", "marks"])
+                marks = window_marks(_words(line), size, level) if len(words) >= size else np.zeros(0, np.uint64)
+                found.append(mark_runs(marks, np.arange(len(marks))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), _run_lists(found)], ["doc_id", "th", "n_words", "sha", "runs"])
+
+    return _keyed(docs).mapInArrow(read, f"doc_id bigint, th bigint, n_words bigint, sha string, runs {_RUNS}")
 
-    return _keyed(docs).mapInArrow(read, "doc_id bigint, th bigint, n_words bigint, sha string, marks array<bigint>")
+
+def _extended(texts: DataFrame, size: int, level: int) -> DataFrame:
+    """doc_id, th, runs of the level, of the places in the column places."""
+
+    def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            found = [mark_runs(window_marks(_words(text), size, level), places_of(runs)) for text, runs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _run_lists(found)], ["doc_id", "th", "runs"])
+
+    return texts.select("doc_id", "th", "text", "places").mapInArrow(read, f"doc_id bigint, th bigint, runs {_RUNS}")
 
 
 def _windows(texts: DataFrame, size: int) -> DataFrame:
-    """Windows (pos, h1, h2) of each text whose mark is in its column marks, and one row with the text itself (pos -1)."""
+    """Windows (pos, h1, h2: their words' digest) of each text at the places in the column places, and one row with the text itself (pos -1)."""
     names = ["doc_id", "th", "pos", "h1", "h2", "text"]
 
     def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            ids, ths, texts_, kept = (batch.column(i).to_pylist() if i != 3 else batch.column(3) for i in range(4))
             rows: list[tuple] = []
             total = 0
 
             def flush() -> Iterator[pa.RecordBatch]:
                 if rows:
                     n = [len(r[2]) for r in rows]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat([r[0] for r in rows], n).astype(np.int64)), pa.array(np.repeat([r[1] for r in rows], n).astype(np.int64)), *(pa.array(np.concatenate([r[k] for r in rows])) for k in (2, 3, 4)), pa.nulls(sum(n), pa.binary())], names)
+                    digest = np.frombuffer(b"".join([r[3] for r in rows]), np.int64).reshape(-1, 2)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat([r[0] for r in rows], n).astype(np.int64)), pa.array(np.repeat([r[1] for r in rows], n).astype(np.int64)), pa.array(np.concatenate([r[2] for r in rows])), *(pa.array(digest[:, k]) for k in (0, 1)), pa.nulls(sum(n), pa.binary())], names)
                     m = len(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(np.full(m, -1, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.array([r[5] for r in rows], pa.binary())], names)
-
-            for i, (doc_id, th, text) in enumerate(zip(ids, ths, texts_, strict=True)):
-                words = _words(text)
-                live = np.isin(window_marks(words, size), kept[i].values.to_numpy(zero_copy_only=False).view(np.uint64))
-                pos = np.flatnonzero(live)
-                h1 = window_hashes(words, size, WINDOW_BASES[0])[pos]
-                h2 = (window_hashes(_words(text, BASES[1]), size, WINDOW_BASES[1])[pos] >> np.uint64(32)).astype(np.uint32)
-                rows.append((doc_id, th, pos.astype(np.int32), h1.view(np.int64), h2.view(np.int32), text))
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(np.full(m, -1, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([r[4] for r in rows], pa.binary())], names)
+
+            for doc_id, th, text, runs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                words = text.split()
+                line = b" ".join(words)
+                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+                starts = np.concatenate([[0], ends[:-1] + 1])
+                pos = places_of(runs)
+                digests = b"".join([hashlib.blake2b(line[a:b], digest_size=16).digest() for a, b in zip(starts[pos].tolist(), ends[pos + size - 1].tolist(), strict=True)])
+                rows.append((doc_id, th, pos.astype(np.int32), digests, text))
                 total += len(pos) + len(text) // 16
                 if total > 500_000:
                     yield from flush()
@@ -120,24 +170,37 @@ def _windows(texts: DataFrame, size: int) -> DataFrame:
                     total = 0
             yield from flush()
 
-    return texts.select("doc_id", "th", "text", "marks").mapInArrow(read, "doc_id bigint, th bigint, pos int, h1 bigint, h2 int, text binary")
+    return texts.select("doc_id", "th", "text", "places").mapInArrow(read, "doc_id bigint, th bigint, pos int, h1 bigint, h2 bigint, text binary")
+
+
+def surviving(runs: DataFrame) -> DataFrame:
+    """doc_id, th, places (runs): of one level's marks (doc_id, th, runs) those that several documents have."""
+    marks = runs.select("doc_id", "th", F.explode("runs").alias("r")).select("doc_id", "th", "r.*")
+    shared = marks.groupBy("mark").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).where("a < b").select("mark", "n")
+    total = runs.agg(F.sum(F.size("runs"))).first()[0] or 0
+    return join_counted(marks, shared, ["mark"], total).groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("places"))
 
 
 def repeats(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(profiles without marks; first: sha, doc_id, th of the first document of each word sequence; texts of first documents with the starts of their repeated windows)."""
+    """(profiles without runs; first: sha, doc_id, th of the first document of each word sequence; texts of first documents with the starts of their repeated windows)."""
     profile = store(profiles(docs, size), "profiles")
     first = profile.where("doc_id is not null").groupBy("sha").agg(F.min(F.struct("doc_id", "th")).alias("r")).select("sha", "r.*")
-    one = profile.join(first.select("doc_id", "th"), ["doc_id", "th"], "left_semi").where(F.size("marks") > 0)
-    marks = one.select("doc_id", "th", F.explode("marks").alias("mark"))
-    shared = marks.groupBy("mark").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).where("a < b").select("mark", "n")
-    n_marks = profile.agg(F.sum(F.size("marks"))).first()[0] or 0
-    live = join_counted(marks, shared, ["mark"], n_marks).groupBy("doc_id", "th").agg(F.collect_set("mark").alias("marks"))
-    found = store(_windows(_keyed(docs).join(live, ["doc_id", "th"]), size), "windows")
+    runs = profile.join(first.select("doc_id", "th"), ["doc_id", "th"], "left_semi").where(F.size("runs") > 0).select("doc_id", "th", "runs")
+    texts = _keyed(docs)
+    stored = None
+    for level in levels(size)[1:-1]:
+        after = store(_extended(texts.join(surviving(runs), ["doc_id", "th"]), size, level), f"level{level}")
+        if stored is not None:
+            drop_stored(stored)
+        runs = stored = after
+        if runs.isEmpty():
+            break
+    found = store(_windows(texts.join(surviving(runs), ["doc_id", "th"]), size), "windows")
     windows = found.where("pos >= 0").select("doc_id", "th", "pos", "h1", "h2")
     low = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high").drop("high")
-    gone = join_counted(windows, low, ["h1", "h2"], windows.count()).where("doc_id > low").groupBy("doc_id", "th").agg(F.collect_set("pos").alias("starts"))
+    gone = join_counted(windows, low, ["h1", "h2"], windows.count()).where("doc_id > low").groupBy("doc_id", "th").agg(F.collect_list("pos").alias("starts"))
     cut = found.where("pos = -1").select("doc_id", "th", "text").join(gone, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
-    return profile.drop("marks"), first, cut
+    return profile.drop("runs"), first, cut
 
 
 def substring_dedup(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -183,8 +246,9 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     changed = cut.select("doc_id", "th", "text", "starts").mapInArrow(read, "doc_id bigint, th bigint, kept string")
     later = profile.where(F.col("n_words") >= size).join(first.select("sha", F.col("doc_id").alias("first")), "sha").where("doc_id > first").select("doc_id", "th", F.lit("").alias("kept")).distinct()
     edits = changed.unionByName(later)
-    joined = docs.withColumn("th", F.xxhash64("text")).join(edits, ["doc_id", "th"], "left")
-    out = joined.where("kept is null or kept <> ''").withColumn("text", F.coalesce("kept", "text"))
+    # the row's own columns travel in a struct, so that none of their names can meet one used here
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    row = F.col("row").withField("text", F.coalesce("kept", "row.text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("kept").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        row = row.withField("n_chars", F.when(F.col("kept").isNotNull(), F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")))
+    return rows.join(edits, ["doc_id", "th"], "left").where("kept is null or kept <> ''").select(row.alias("row")).select("row.*")
