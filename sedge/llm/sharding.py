@@ -3,17 +3,20 @@
 Arrivals are appended as runs: folders of small immutable Parquet shards, each written by the
 task that read the rows, without a shuffle. A manifest version lists the live runs with their
 rows, bytes and tier; a version is one file, renamed into place, and a rename onto an existing
-version fails, so of two writers one starts again. Readers take the newest version, so they see
-all of a commit or nothing.
+version fails. The writer that lost then works its change out again on the newest version: an append
+is made again, a merge is dropped if another writer has merged one of its runs. Readers take the
+newest version, so they see all of a commit or nothing.
 
 Compaction takes runs of similar size (within a factor of their mean, as many as `fan_in` at
 least) and merges them into one run of files of about the target size: the scan packs the small
 shards into partitions of that size and every partition writes one file, again without a shuffle.
-Each merge is a commit of its own; superseded runs are deleted after it. What a lost executor was
-writing is written again by its task's next attempt; an uncommitted run is no version's run.
+Each merge is a commit of its own. Superseded runs stay readable for `keep` versions more and are
+deleted by the commit after that. What a lost executor was writing is written again by its task's next
+attempt; an uncommitted run is no version's run.
 
-Only runs are handled on the driver (one per arrival), never files or rows. Nulls, repeated rows
-and extra columns are stored as they are; an empty table gives runs without rows.
+Only runs are handled on the driver (one per arrival), never files or rows. Nulls, repeated rows and
+extra columns of any name are stored as they are; texts of any length are one value; rows of one size
+tie by path; an empty table gives no runs.
 """
 
 from __future__ import annotations
@@ -21,18 +24,26 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, unused
 
 TARGET_BYTES = 128 << 20
 FAN_IN = 4
 #: Runs whose bytes lie within these factors of their group's mean are of similar size.
 LOW, HIGH = 0.5, 1.5
 ARRIVALS = 8
+#: Versions for which superseded runs stay readable, and commits tried before giving up.
+KEEP, ATTEMPTS = 2, 20
+
+
+class LostCommit(RuntimeError):
+    """Another writer has made the version."""
 
 
 @dataclass
@@ -47,8 +58,8 @@ class Run:
 class ShardStore:
     """Runs and manifest versions below one folder of a store that all executors reach."""
 
-    def __init__(self, spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN):
-        self.spark, self.root, self.target_bytes, self.fan_in = spark, root, target_bytes, fan_in
+    def __init__(self, spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN, keep: int = KEEP):
+        self.spark, self.root, self.target_bytes, self.fan_in, self.keep = spark, root, target_bytes, fan_in, keep
         self._jvm = spark._jvm
         self._fs = self._path(root).getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -63,27 +74,54 @@ class ShardStore:
             return 0
         return max((int(s.getPath().getName()[1:-5]) for s in self._fs.listStatus(folder) if s.getPath().getName().startswith("v")), default=0)
 
-    def runs(self, version: int | None = None) -> list[Run]:
+    def _manifest(self, version: int | None = None) -> dict:
         version = self.version() if version is None else version
         if not version:
-            return []
-        text = self.spark.read.text(f"{self.root}/manifest/v{version:08d}.json", wholetext=True).first()
-        return [Run(**r) for r in json.loads(text[0])["runs"]]
+            return {"version": 0, "runs": [], "retired": []}
+        return json.loads(self.spark.read.text(f"{self.root}/manifest/v{version:08d}.json", wholetext=True).first()[0])
+
+    def runs(self, version: int | None = None) -> list[Run]:
+        return [Run(**r) for r in self._manifest(version)["runs"]]
 
     def commit(self, runs: list[Run], base: int) -> int:
-        """Make runs the version after base; fails if another writer has made that version."""
+        """Make runs the version after base; LostCommit if another writer has made that version."""
+        before = self._manifest(base)
+        live = {r.path for r in runs}
+        retired = [*before["retired"], *({"path": r["path"], "version": base + 1} for r in before["runs"] if r["path"] not in live)]
+        over = [r for r in retired if r["version"] <= base + 1 - self.keep]
         target = f"{self.root}/manifest/v{base + 1:08d}.json"
         temporary = f"{self.root}/manifest/.{uuid.uuid4().hex}"
         out = self._fs.create(self._path(temporary), False)
         try:
-            out.write(bytearray(json.dumps({"version": base + 1, "runs": [asdict(r) for r in runs]}).encode()))
+            out.write(bytearray(json.dumps({"version": base + 1, "runs": [asdict(r) for r in runs], "retired": [r for r in retired if r not in over]}).encode()))
         finally:
             out.close()
         options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.root).toUri(), self.spark._jsc.hadoopConfiguration())
-        context.rename(self._path(temporary), self._path(target), options)  # throws if target exists
+        try:
+            context.rename(self._path(temporary), self._path(target), options)
+        except Py4JJavaError as e:
+            self._fs.delete(self._path(temporary), False)
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                raise LostCommit(target) from None
+            raise
+        for r in over:
+            self._fs.delete(self._path(r["path"]), True)
         return base + 1
 
+    def _changed(self, change: Callable[[list[Run]], list[Run] | None]) -> int | None:
+        """Commit change(runs of the newest version), again on a newer one if another writer was first; None if change gives None."""
+        for _ in range(ATTEMPTS):
+            base = self.version()
+            runs = change(self.runs(base))
+            if runs is None:
+                return None
+            try:
+                return self.commit(runs, base)
+            except LostCommit:
+                continue
+        raise LostCommit(f"{ATTEMPTS} commits were lost in a row")
+
     # ---- data
 
     def _measured(self, path: str, schema, tier: int) -> Run:
@@ -95,15 +133,15 @@ class ShardStore:
     def append(self, df: DataFrame, arrival: Column, arrivals: int) -> list[Run]:
         """Write each arrival (a number below `arrivals`) as a run of small shards and commit them in order."""
         stage = f"{self.root}/data/{uuid.uuid4().hex}"
-        column = "_arrival"
+        column = unused("arrival", df)
         df.withColumn(column, arrival).write.partitionBy(column).option("compression", "zstd").parquet(stage)
         runs = []
         for k in range(arrivals):
             path = f"{stage}/{column}={k}"
             if self._fs.exists(self._path(path)):
-                runs.append(self._measured(path, df.schema, 0))
-                base = self.version()
-                self.commit([*self.runs(base), runs[-1]], base)
+                run = self._measured(path, df.schema, 0)
+                self._changed(lambda now, run=run: [*now, run])
+                runs.append(run)
         return runs
 
     def similar(self, runs: list[Run]) -> list[Run]:
@@ -121,7 +159,6 @@ class ShardStore:
     def compact(self, schema) -> int:
         """Merge similar runs until no group is large enough; returns the newest version."""
         while group := self.similar(self.runs()):
-            base = self.version()
             # a session of its own: its scan settings are nobody else's
             own = self.spark.newSession()
             for key, value in (("spark.sql.files.maxPartitionBytes", str(self.target_bytes)), ("spark.sql.files.openCostInBytes", "0"), ("spark.sql.files.minPartitionNum", "1")):
@@ -134,17 +171,25 @@ class ShardStore:
             if merged.rows != sum(r.rows for r in group):
                 raise RuntimeError(f"merge of {len(group)} runs kept {merged.rows} rows")
             gone = {r.path for r in group}
-            self.commit([*(r for r in self.runs(base) if r.path not in gone), merged], base)
-            for p in gone:
-                self._fs.delete(self._path(p), True)
+
+            def replaced(now: list[Run], gone=gone, merged=merged) -> list[Run] | None:
+                return [*(r for r in now if r.path not in gone), merged] if gone <= {r.path for r in now} else None
+
+            if self._changed(replaced) is None:  # another writer has merged some of them
+                self._fs.delete(self._path(path), True)
         return self.version()
 
-    def read(self, schema, version: int | None = None) -> DataFrame:
-        """The rows of a version with the tier of their run."""
-        out = self.spark.createDataFrame([], schema).withColumn("tier", F.lit(0))
+    def read(self, schema, version: int | None = None, tier: str | None = None) -> DataFrame:
+        """The rows of a version, with the tier of their run in a column of that name if one is given."""
+        if version is not None and version < self.version() - self.keep:
+            raise ValueError(f"version {version} is no longer kept")
+        if tier is not None and tier.lower() in map(str.lower, schema.names):
+            raise ValueError(f"the rows have a column {tier} of their own")
+        with_tier = lambda df, t: df if tier is None else df.withColumn(tier, F.lit(t))
+        out = with_tier(self.spark.createDataFrame([], schema), 0)
         runs = self.runs(version)
-        for tier in sorted({r.tier for r in runs}):
-            out = out.unionByName(self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*[r.path for r in runs if r.tier == tier]).withColumn("tier", F.lit(tier)))
+        for t in sorted({r.tier for r in runs}):
+            out = out.unionByName(with_tier(self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*[r.path for r in runs if r.tier == t]), t))
         return out
 
 
@@ -157,7 +202,8 @@ def shard(docs: DataFrame, arrivals: int = ARRIVALS, target_bytes: int = TARGET_
     store = ShardStore(docs.sparkSession, f"{shared_dir(docs.sparkSession)}/shards-{uuid.uuid4().hex}", target_bytes)
     store.append(docs, arrival_of(F.col("doc_id"), arrivals), arrivals)
     store.compact(docs.schema)
-    return store.read(docs.schema).select("doc_id", "tier", F.md5("text").alias("text_md5"))
+    tier = unused("tier", docs)
+    return store.read(docs.schema, tier=tier).select("doc_id", F.col(tier).alias("tier"), F.md5("text").alias("text_md5"))
 
 
 SHARD_SQL = "SELECT doc_id, 1::INTEGER AS tier, md5(text) AS text_md5 FROM documents"
