@@ -12,7 +12,7 @@ def docs_of(spark):
         if extra:
             from pyspark.sql import functions as F
 
-            for name in ("label", "th", "marks", "fp", "score", "piece", "cells", "w", "h"):
+            for name in ("label", "th", "marks", "fp", "score", "piece", "cells", "w", "h", "kept", "tier", "arrival", "_arrival", "starts", "first", "sha", "u", "v", "component_id", "row", "node", "band", "plain", "lines", "unit", "toxic", "quality"):
                 df = df.withColumn(name, F.lit("x"))
         return df
 

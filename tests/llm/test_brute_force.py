@@ -296,6 +296,22 @@ def test_licenses(docs_of):
     assert got[1, "MIT-notice"] == 1.0 and got[2, "MIT"] >= 0.98 and 0.8 <= got[3, "MIT"] < 1
 
 
+def test_licences_of_several_paragraphs_inside_long_texts(docs_of):
+    from sedge.llm.licenses import TEMPLATES, licences
+
+    mit, apache, gpl = (TEMPLATES[k] for k in ("MIT", "Apache-2.0-header", "GPL-3.0-header"))
+    cut = lambda t, *at: "\n\n".join(t[a:b] for a, b in zip((0, *at), (*at, len(t))))
+    code = "\n".join(f"def function_{i}(value): return value + {i}" for i in range(120))
+    wrapped = "\n".join(f"# {x}" for x in re.findall(r".{1,70}(?:\s|$)", apache))
+    rows = [
+        (1, code + "\n\n" + cut(mit, mit.index("The above"), mit.index("THE SOFTWARE IS")) + "\n\n" + code),
+        (2, "#!/usr/bin/env python\n" + wrapped + "\n" + code),  # code directly below the header
+        (3, cut(gpl, gpl.index("This program is distributed")) + "\n" + code + "\n" + code),
+        (4, code + "\nwarranties and merchantability of nothing\n" + code),
+    ]
+    assert {(r["doc_id"], r["license"]) for r in licences(docs_of(rows)).collect()} == {(1, "MIT"), (2, "Apache-2.0-header"), (2, "Apache-2.0-notice"), (3, "GPL-3.0-header")}  # the header's first line is the notice
+
+
 def test_components(spark):
     from sedge.llm.common import components
 
@@ -307,3 +323,122 @@ def test_components(spark):
     touched = {x for a, b in edges if a != b for x in (a, b)}
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
     assert got == {x: nodes[root[place[x]]] for x in touched}
+
+
+def test_levels_look_only_at_what_the_one_before_left(docs_of, monkeypatch):
+    from sedge.llm import substrings
+
+    assert substrings.levels(50) == [13, 25, 50] and substrings.levels(8) == [8]
+    seen = {}
+    whole = substrings.surviving
+
+    def counted(runs):
+        out = whole(runs)
+        level = len(seen)
+        places = lambda df, c: {(r["doc_id"], p) for r in df.collect() for x in r[c] for p in range(x["lo"], x["hi"] + 1)}
+        seen[level] = places(runs, "runs"), places(out, "places")
+        return out
+
+    monkeypatch.setattr(substrings, "surviving", counted)
+    # 13 words in common, 30 words in common, 60 words in common, nothing in common
+    word = iter(range(10**6))
+    fresh = lambda n: [f"w{next(word)}" for _ in range(n)]
+    shared = [fresh(n) for n in (40, 44, 60)]
+    rows = [(k, " ".join(fresh(80) + shared[k % 3] + fresh(80))) for k in range(6)] + [(9, " ".join(fresh(200)))]
+    got = {r["doc_id"]: r["n_removed"] for r in substrings.substring_dedup(docs_of(rows)).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 60, 9: 0}
+    (all_places, first), (second_in, second_out) = seen[0], seen[1]
+    assert second_in == first and len(second_out) < len(first) < len(all_places)
+    assert {(5, p) for p in range(80, 91)} <= second_out and not any(d == 9 for d, _ in first)
+
+
+def test_stars_of_very_many_edges(spark, monkeypatch):
+    """Hubs by broadcast, by counted keys and by windows give the same components."""
+    from sedge.llm import common
+
+    edges = spark.createDataFrame([(5, k) for k in range(10, 700)] + [(k, 5000 - k) for k in range(600, 900)] + [(7, 8)], "u bigint, v bigint").repartition(6)
+    want = sorted(map(tuple, common.components(edges).collect()))
+    assert len({r for _, r in want}) > 100
+    monkeypatch.setattr(common, "BROADCAST_NODES", 0)
+    assert sorted(map(tuple, common.components(edges).collect())) == want
+    monkeypatch.setattr(common, "HOT_KEYS", 1)
+    assert sorted(map(tuple, common.components(edges).collect())) == want
+
+
+def test_equal_blocks_are_searched_by_the_others():
+    from sedge.llm.common import local_forest
+    from sedge.llm.simhash import BLOCKS, Shards, shard_edges
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**48, 200, dtype=np.uint64) << np.uint64(16) | np.uint64(77)
+    near = [int(b) ^ sum(1 << int(k) for k in rng.choice(48, rng.integers(0, 7), replace=False) + 16) for b in base for _ in range(5)]
+    p = np.unique(np.array(near, np.uint64))
+    a, b = np.nonzero(np.bitwise_count(p[:, None] ^ p[None]) <= 4)
+    edges = shard_edges(p, np.ones(len(p), bool), 0, leaf=8)
+    assert np.array_equal(local_forest(len(p), *edges), local_forest(len(p), a, b))
+    lives = rng.random(len(p)) < 0.5
+    ok = lives[a] | lives[b]
+    assert np.array_equal(local_forest(len(p), *shard_edges(p, lives, 0, leaf=8)), local_forest(len(p), a[ok], b[ok]))
+    # no value visits more leaves than its ball has values
+    top = Shards(10)
+    assert np.diff(top.starts).max() <= 16 and BLOCKS == 4
+
+
+def test_lost_commits_start_again(spark, tmp_path):
+    from sedge.llm.sharding import LostCommit, ShardStore, arrival_of
+
+    one, two = (ShardStore(spark, f"file://{tmp_path}/s", fan_in=2, keep=1) for _ in range(2))
+    rows = spark.range(300).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    one.append(rows, F.lit(0), 1)
+    stale, true_version = [0], two.version
+    two.version = lambda: stale.pop() if stale else true_version()  # at first it hasn't seen the other's commit
+    two.append(rows, F.lit(0), 1)
+    two.version = true_version
+    assert one.version() == 2 and one.read(rows.schema).count() == 600
+    with pytest.raises(LostCommit):
+        one.commit([], 1)
+    before = one.read(rows.schema, 2)
+    one.compact(rows.schema)
+    assert one.version() == 3 and before.count() == 600  # a reader of the version before still finds its runs
+    one.append(rows, F.lit(0), 1)
+    assert one.read(rows.schema).count() == 900
+    with pytest.raises(ValueError, match="no longer kept"):
+        one.read(rows.schema, 2)
+    files = [f for r in one.runs() for f in __import__("glob").glob(r.path.removeprefix("file:") + "/part-*")]
+    assert len(files) == sum(r.files for r in one.runs()) and sum(r.bytes for r in one.runs()) >= sum(__import__("os").path.getsize(f) for f in files)
+
+
+def test_tilings_equal_a_direct_search(docs_of, spark):
+    """Coverage by greedy string tiling worked out by looking for the longest unmarked match again and again."""
+    from sedge.llm.decontaminate import contaminated
+
+    rng = random.Random(6)
+    items = [[f"i{k}w{j}" for j in range(n)] for k, n in enumerate((12, 20, 33, 7))]
+    rows = []
+    for d in range(40):
+        item = rng.choice(items)
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            at = rng.randrange(len(item))
+            parts += item[at : at + rng.randint(3, 20)] + [f"x{rng.randrange(50)}" for _ in range(rng.randint(1, 5))]
+        rows.append((d, " ".join(parts)))
+
+    def coverage(item, words):
+        mine, theirs = [True] * len(item), [True] * len(words)
+        while True:
+            best = (0, 0, 0)
+            for i in range(len(item)):
+                for j in range(len(words)):
+                    n = 0
+                    while i + n < len(item) and j + n < len(words) and mine[i + n] and theirs[j + n] and item[i + n] == words[j + n]:
+                        n += 1
+                    best = max(best, (n, -i, -j))
+            n, i, j = best[0], -best[1], -best[2]
+            if n < 5:
+                return 1 - sum(mine) / len(item)
+            mine[i : i + n] = theirs[j : j + n] = [False] * n
+
+    want = {(d, k): round(c, 9) for d, t in rows for k, item in enumerate(items) if (c := coverage(item, t.split())) >= 0.6}
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): round(r["coverage"], 9) for r in contaminated(docs_of(rows), bench).collect()}
+    assert got == want and len(want) > 5
