@@ -24,10 +24,10 @@ def binomial_two_sided(k: int, n: int) -> float:
     return min(1.0, 2 * tail / 2**n)
 
 
-def _gamma_lower_share(a: float, x: float) -> float:
-    """Regularised lower incomplete gamma function: a series below a + 1, a continued fraction above."""
+def _gamma_shares(a: float, x: float) -> tuple[float, float]:
+    """Regularised lower and upper incomplete gamma functions: a series below a + 1, a continued fraction above, so that the small one of the two is exact."""
     if x <= 0:
-        return 0.0
+        return 0.0, 1.0
     scale = math.exp(a * math.log(x) - x - math.lgamma(a))
     if x < a + 1:
         term = total = 1 / a
@@ -36,7 +36,7 @@ def _gamma_lower_share(a: float, x: float) -> float:
             n += 1
             term *= x / n
             total += term
-        return total * scale
+        return total * scale, 1 - total * scale
     tiny = 1e-300
     b = x + 1 - a
     c, d = 1 / tiny, 1 / b
@@ -49,11 +49,15 @@ def _gamma_lower_share(a: float, x: float) -> float:
         h *= d * c
         if abs(d * c - 1) < 1e-15:
             break
-    return 1 - scale * h
+    return 1 - scale * h, scale * h
+
+
+def _gamma_lower_share(a: float, x: float) -> float:
+    return _gamma_shares(a, x)[0]
 
 
 def chi2_sf(x: float, df: int) -> float:
-    return math.erfc(math.sqrt(x / 2)) if df == 1 else 1 - _gamma_lower_share(df / 2, x / 2)
+    return math.erfc(math.sqrt(x / 2)) if df == 1 else _gamma_shares(df / 2, x / 2)[1]
 
 
 def beta_share(a: float, b: float, x: float) -> float:
@@ -176,37 +180,43 @@ def poisson_counts(seeds: np.ndarray, resamples: int) -> np.ndarray:
     return np.searchsorted(_POISSON, x ^ (x >> np.uint64(31)), side="right")
 
 
-def poisson_bootstrap(df: DataFrame, keys: list[str], numerator: str, denominator: str, seed: int, resamples: int = 10_000, confidence: float = 0.95, unit: str | None = None) -> DataFrame:
-    """Per group: n, ratio of sums, and the nearest-rank percentile interval of that ratio over Poisson resamples (lo, hi; null for fewer than two rows).
+def poisson_bootstrap(df: DataFrame, keys: list[str], ratios: dict[str, tuple[Column, Column]], seed: int, unit: str, resamples: int = 10_000, confidence: float = 0.95) -> DataFrame:
+    """Per group and measure: n, ratio of sums, and the nearest-rank percentile interval of that ratio over Poisson resamples (lo, hi; null for fewer than two rows).
 
-    Each row joins each resample a Poisson number of times (mean 1) that its unit and the seed fix, so a
-    resample's sums are plain partial sums: tasks send one pair of sums a group and resample, and no
-    group's rows meet. Without a unit rows are told apart by their content.
+    ratios: measure to (numerator, denominator); a row whose denominator isn't positive drops out of that
+    measure. Each row joins each resample a Poisson number of times (mean 1) that its unit (an id; rows
+    with one id are drawn together) and the seed fix, the same for all measures, so a resample's sums
+    are plain partial sums: tasks send one pair of sums a group, measure and resample, and no group's rows meet.
     """
-    names = [*keys, "i", "a", "b"]
-    tell = F.xxhash64(F.lit(seed), *([unit] if unit else [*keys, numerator, denominator]))
-    rows = df.where(F.col(denominator) > 0).select(*keys, tell.alias("u"), F.col(numerator).cast("double").alias("a"), F.col(denominator).cast("double").alias("b"))
+    measures = list(ratios)
+    cells = [x for a, b in ratios.values() for x in (F.when(b > 0, a).otherwise(0).cast("double"), F.when(b > 0, b).otherwise(0).cast("double"))]
+    rows = df.select(*keys, F.xxhash64(F.lit(seed), F.col(unit)).alias("u"), *[F.coalesce(c, F.lit(0.0)).alias(f"_x{k}") for k, c in enumerate(cells)])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keys)])
+    columns = [f"_x{k}" for k in range(len(cells))]
 
     def resampled(it):
         sums: dict[tuple, np.ndarray] = {}
         for pdf in it:
             for key, part in pdf.groupby(keys, dropna=False):
-                total = sums.setdefault(key, np.zeros((2, resamples)))
-                pairs = part[["a", "b"]].to_numpy().T
+                total = sums.setdefault(key, np.zeros((len(columns), resamples)))
+                values = part[columns].to_numpy().T
                 seeds = part["u"].to_numpy().view(np.uint64)
                 for at in range(0, len(seeds), 64):
-                    total += pairs[:, at : at + 64] @ poisson_counts(seeds[at : at + 64], resamples)
+                    total += values[:, at : at + 64] @ poisson_counts(seeds[at : at + 64], resamples).astype(float)
         for key, total in sums.items():
-            yield pd.DataFrame(dict(zip(keys, key, strict=True)) | {"i": np.arange(resamples), "a": total[0], "b": total[1]})[names]
+            for k, name in enumerate(measures):
+                yield pd.DataFrame(dict(zip(keys, key, strict=True)) | {"measure": name, "i": np.arange(resamples), "a": total[2 * k], "b": total[2 * k + 1]})
 
-    ratios = rows.select(*keys, "u", "a", "b").mapInPandas(resampled, f"{fields}, i bigint, a double, b double").groupBy(*keys, "i").agg((F.sum("a") / F.nullif(F.sum("b"), F.lit(0.0))).alias("x"))
+    drawn = rows.repartition("u").mapInPandas(resampled, f"{fields}, measure string, i bigint, a double, b double")
+    group = [*keys, "measure"]
+    each = drawn.groupBy(*group, "i").agg((F.sum("a") / F.nullif(F.sum("b"), F.lit(0.0))).alias("x"))
     half = (1 - confidence) / 2
-    ends = ratios.groupBy(*keys).agg(*[F.expr(f"percentile_disc({p}) within group (order by x)").alias(name) for name, p in (("lo", half), ("hi", 1 - half))])
-    whole = rows.groupBy(*keys).agg(F.count("*").alias("n"), (F.sum("a") / F.sum("b")).alias("ratio"))
-    same = [F.col(f"w.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys]
+    ends = each.groupBy(*group).agg(*[F.expr(f"percentile_disc({p}) within group (order by x)").alias(name) for name, p in (("lo", half), ("hi", 1 - half))])
+    whole = rows.select(*keys, F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"_x{2 * k}").alias("a"), F.col(f"_x{2 * k + 1}").alias("b")) for k, m in enumerate(measures)]))).where("b > 0")
+    whole = whole.groupBy(*group).agg(F.count("*").alias("n"), (F.sum("a") / F.sum("b")).alias("value"))
+    same = [F.col(f"w.{k}").eqNullSafe(F.col(f"e.{k}")) for k in group]
     joined = whole.alias("w").join(ends.alias("e"), reduce(and_, same))
-    return joined.select(*[f"w.{k}" for k in keys], "n", "ratio", *[F.when(F.col("n") > 1, F.col(c)).alias(c) for c in ("lo", "hi")])
+    return joined.select(*[f"w.{k}" for k in group], "n", F.col("value").alias("ratio"), *[F.when(F.col("n") > 1, F.col(c)).alias(c) for c in ("lo", "hi")])
 
 
 def percentile(value: Column | str, p: float) -> Column:

@@ -96,15 +96,9 @@ def tukey(df: DataFrame, group: str, value: str) -> DataFrame:
 # ---------------------------------------------------------------- conditions
 
 
-def ratio_intervals(df: DataFrame, key: str, ratios: dict[str, tuple[Column, Column]], seed: int, resamples: int = 10_000, confidence: float = 0.95) -> DataFrame:
-    """Per key and measure: ratio of sums, and its percentile bootstrap interval under Poisson resampling.
-
-    ratios: measure to (numerator, denominator). Every row draws its own count for each resample from a
-    generator seeded by the row's place and the resample, so sums are partial aggregates and no group
-    meets in one task. Rows whose denominator isn't positive drop out.
-    """
-    long = df.select(F.col(key).cast("string").alias("key"), F.explode(F.array(*[F.struct(F.lit(name).alias("measure"), a.cast("double").alias("num"), b.cast("double").alias("den")) for name, (a, b) in ratios.items()])).alias("r")).select("key", "r.*").where("den > 0")
-    return stats.poisson_bootstrap(long, ["key", "measure"], "num", "den", seed, resamples, confidence).withColumnRenamed("key", key)
+def ratio_intervals(df: DataFrame, key: str, unit: str, ratios: dict[str, tuple[Column, Column]], seed: int, resamples: int = 10_000, confidence: float = 0.95) -> DataFrame:
+    """Per key and measure: ratio of sums, and its percentile bootstrap interval under Poisson resampling of units, the same draws for all measures, so that differences are paired."""
+    return stats.poisson_bootstrap(df, [key], ratios, seed, unit, resamples, confidence)
 
 
 # ---------------------------------------------------------------- trials

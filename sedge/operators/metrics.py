@@ -109,6 +109,7 @@ def position(df: DataFrame, name: str, value: str, own: str) -> DataFrame:
     )
 
 
-def bootstrap(df: DataFrame, group: str, numerator: str, denominator: str, seed: int, resamples: int = 10_000, unit: str | None = None) -> DataFrame:
+def bootstrap(df: DataFrame, group: str, numerator: str, denominator: str, seed: int, unit: str, resamples: int = 10_000) -> DataFrame:
     """group, ratio, lo, hi: a group's ratio of sums with a seeded percentile interval over Poisson resamples; tasks send sums, never rows."""
-    return stats.poisson_bootstrap(df.withColumn(group, F.col(group).cast("string")), [group], numerator, denominator, seed, resamples, unit=unit).drop("n")
+    rows = df.withColumn(group, F.col(group).cast("string"))
+    return stats.poisson_bootstrap(rows, [group], {"ratio": (F.col(numerator), F.col(denominator))}, seed, unit, resamples).drop("measure", "n")

@@ -20,11 +20,11 @@ from ..sources.shared import stored
 def _prefixed(df: DataFrame, key: str, members: str, frequency: DataFrame, threshold: float) -> DataFrame:
     """One row per prefix member that may meet another: key, m, size, place (in order of rarity)."""
     n = F.size(members)
+    sized = df.select(key, n.alias("size"), (n - F.ceil(F.round(n * threshold, 9)).cast("int") + 1).alias("length"))
     flat = df.select(key, F.explode(members).alias("m")).join(frequency, "m")
-    ordered = flat.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("f", "m"))).alias("xs"))
-    length = n - F.ceil(F.round(n * threshold, 9)).cast("int") + 1
-    rows = df.join(ordered, key).select(key, n.alias("size"), (n - F.size("xs")).alias("own"), length.alias("length"), "xs").where("own < length")
-    return rows.select(key, "size", "own", F.posexplode(F.slice("xs", 1, F.col("length") - F.col("own"))).alias("p", "x")).select(key, "size", (F.col("own") + F.col("p")).alias("place"), F.col("x.m").alias("m"))
+    ordered = flat.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("f", "m"))).alias("met"))
+    rows = sized.join(ordered, key).withColumn("own", F.col("size") - F.size("met")).where("own < length")
+    return rows.select(key, "size", "own", F.posexplode(F.slice("met", 1, F.col("length") - F.col("own"))).alias("p", "x")).select(key, "size", (F.col("own") + F.col("p")).alias("place"), F.col("x.m").alias("m"))
 
 
 def candidates(left: DataFrame, right: DataFrame, lkey: str, rkey: str, members: str, threshold: float, same: bool = False) -> DataFrame:

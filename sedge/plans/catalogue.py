@@ -198,7 +198,7 @@ def mcnemar_cells(spark, d):
 _MCNEMAR = f"""WITH {_PAIRS}, k AS (SELECT lang, {_CELLS} FROM p GROUP BY lang),
 s AS (SELECT *, CASE WHEN b + c = 0 THEN 0.0::DOUBLE ELSE greatest(0, abs(b - c) - 1) ** 2 / (b + c)::DOUBLE END AS statistic FROM k),
 e AS (SELECT *, CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2.0::DOUBLE))))) END AS p_exact,
-  CASE WHEN b + c = 0 THEN 1.0 ELSE 2 / sqrt(pi()) * exp(-statistic / 2) * 0.002 / 3 * list_sum(list_transform(range(0, 4001), lambda i: (CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-(i * 0.002::DOUBLE) ** 2 - 2 * i * 0.002 * sqrt(statistic / 2)))) END AS p_chi2 FROM s)
+  CASE WHEN b + c = 0 THEN 1.0 ELSE 2 / sqrt(pi()) * exp(-statistic / 2) * 0.002 / 3 * list_sum(list_transform(range(0, 4001), lambda i: (CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(0 - pow(i * 0.002::DOUBLE, 2) - 2 * i * 0.002 * sqrt(statistic / 2)))) END AS p_chi2 FROM s)
 SELECT lang, a, b, c, d, statistic, CASE WHEN b + c < 25 THEN p_exact ELSE p_chi2 END AS p_value, p_exact, p_chi2, CASE WHEN b + c < 25 THEN 'exact' ELSE 'chi2' END AS test, CASE WHEN b + c < 25 THEN p_exact ELSE p_chi2 END < 0.0125 AS significant FROM e"""
 
 
@@ -244,7 +244,7 @@ def position_in_distribution(spark, d):
 @query()
 def bootstrap_interval(spark, d):
     g = read(spark, d, "events").groupBy("event_type", "user_id").agg(F.sum("value").alias("num"), F.count("*").alias("den"))
-    return metrics.bootstrap(g, "event_type", "num", "den", seed=SEED)
+    return metrics.bootstrap(g, "event_type", "num", "den", seed=SEED, unit="user_id")
 
 
 @query()

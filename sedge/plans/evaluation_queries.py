@@ -104,7 +104,7 @@ def condition_intervals(spark, d):
     o = read(spark, d, "orders").withColumn("ok", (F.col("o_orderstatus") == "F").cast("int")).withColumn("em", (F.col("o_orderkey") % 3 == 0).cast("int"))
     one = F.lit(1)
     ratios = {"crr": (F.col("ok"), one), "wer": (F.col("o_orderkey") % 4, F.col("o_orderkey") % 9), "em_minus_crr": (F.col("em") - F.col("ok"), one), "safe_failure_rate": (((F.col("ok") == 0) & (F.col("em") == 1)).cast("int"), 1 - F.col("ok"))}
-    return evaluation.ratio_intervals(o, "o_orderpriority", ratios, SEED, 1000)
+    return evaluation.ratio_intervals(o, "o_orderpriority", "o_orderkey", ratios, SEED)
 
 
 # ---------------------------------------------------------------- trials

@@ -37,9 +37,11 @@ def test_ratio_intervals_cover(spark):
     rng = np.random.default_rng(1)
     rows = [(k, "c", float(x)) for k, x in enumerate(rng.integers(0, 2, 300))]
     df = spark.createDataFrame(rows, "id int, g string, ok double").withColumn("w", F.col("id") % 5)
-    got = {r["measure"]: r for r in evaluation.ratio_intervals(df, "g", {"crr": (F.col("ok"), F.lit(1)), "wer": (F.col("ok"), F.col("w"))}, 3, 2000).collect()}
+    got = {r["measure"]: r for r in evaluation.ratio_intervals(df, "g", "id", {"crr": (F.col("ok"), F.lit(1)), "wer": (F.col("ok"), F.col("w"))}, 3, 2000).collect()}
     share = sum(r[2] for r in rows) / 300
     assert got["crr"]["ratio"] == pytest.approx(share) and got["crr"]["lo"] < share < got["crr"]["hi"]
+    half = 1.96 * (share * (1 - share) / 300) ** 0.5
+    assert got["crr"]["hi"] - got["crr"]["lo"] == pytest.approx(2 * half, rel=0.15)
     assert got["wer"]["n"] == 240
 
 

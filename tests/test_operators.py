@@ -285,5 +285,5 @@ def test_registered_trials_and_resamples_are_the_whole_protocol(spark, small):
     got = {(r["shape"], r["n"]) for r in QUERIES["swarm_trials"](spark, small).groupBy("shape").agg(F.count("*").alias("n")).collect()}
     assert got == {("circle", 50), ("line", 50), ("wedge", 50)}
     g = spark.read.parquet(f"{small}/events.parquet").groupBy("event_type", "user_id").agg(F.sum("value").alias("num"), F.count("*").alias("den"))
-    want = metrics.bootstrap(g, "event_type", "num", "den", seed=SEED, resamples=10_000).collect()
+    want = metrics.bootstrap(g, "event_type", "num", "den", seed=SEED, unit="user_id", resamples=10_000).collect()
     assert sorted(map(tuple, QUERIES["bootstrap_interval"](spark, small).collect())) == sorted(map(tuple, want))
