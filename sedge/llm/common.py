@@ -61,9 +61,14 @@ def drop_stored(df: DataFrame) -> None:
         _remove(df.sparkSession, path)
 
 
-def drop_stored_before(spark: SparkSession, last: int = 1) -> None:
-    """Remove all that store() wrote but the last few folders: what a stage needed on the way to its stored result."""
-    for path in _stored[: len(_stored) - last]:
+def stored_folders() -> list[str]:
+    """What store() has written so far and nothing has removed."""
+    return list(_stored)
+
+
+def drop_stored_since(spark: SparkSession, before: list[str]) -> None:
+    """Remove all that store() has written since `before`, but for the last folder: what a stage needed on the way to its stored result."""
+    for path in [p for p in _stored[:-1] if p not in before]:
         _remove(spark, path)
 
 
