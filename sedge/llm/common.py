@@ -112,6 +112,16 @@ def join_counted(rows: DataFrame, keys: DataFrame, on: list[str], total: int) ->
     return rows.join(hot, on).unionByName(cold)
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out = {b: chr(b) for b in own}
+    for b in range(256):
+        if b not in out:
+            out[b] = chr(256 + len(out) - len(own))
+    return out
+
+
 # ---------------------------------------------------------------- hashing in numpy
 
 _ODD = 0x9E3779B97F4A7C15

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import byte_letters, store
 
 CAPACITY = 2048
 GROUP_PIECES = 20_000
@@ -41,16 +41,6 @@ _SIMPLE = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
-def _byte_letters() -> dict[int, str]:
-    """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    out = {b: chr(b) for b in own}
-    for b in range(256):
-        if b not in out:
-            out[b] = chr(256 + len(out) - len(own))
-    return out
-
-
 class ChunkEncoder(dict):
     """Ids (little-endian bytes) of text chunks between white space, encoded once each.
 
@@ -63,7 +53,7 @@ class ChunkEncoder(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenize = self.tokenizer.model.tokenize
-        self.letters = _byte_letters()
+        self.letters = byte_letters()
         self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size() + 1)]
         self.parts: dict[str, bytes] = {}
 
