@@ -120,11 +120,101 @@ def test_one_long_paragraph_hides_no_other():
 
 
 def test_surge_and_dive_decide_inside_an_article():
+    """Runs of links before the first surge and after the last dive go; a list of links between paragraphs, or below a heading, stays."""
     from sedge.llm.html_text import main_text
 
     links = "".join(f"<li><a href='/{i}'>Another story of the day {i}</a></li>" for i in range(4))
-    page = f"<article><ul>{links}</ul><h1>Title</h1><p>short</p><ul>{links}</ul><p>end</p><p><a href='/x'>more</a></p></article>"
-    assert main_text(page) == "Title\nshort\nend"
+    stories = "\n".join(f"Another story of the day {i}" for i in range(4))
+    page = f"<article><ul>{links}</ul><h1>Title</h1><p>short</p>%s<p>end</p>%s</article>"
+    assert main_text(page % ("", f"<p><a href='/x'>more</a></p><ul>{links}</ul>")) == "Title\nshort\nend"
+    assert main_text(page % (f"<ul>{links}</ul>", "<p><a href='/x'>more</a></p>")) == f"Title\nshort\n{stories}\nend"
+    assert main_text(page % ("", f"<h2>References</h2><ul>{links}</ul>")) == f"Title\nshort\nend\nReferences\n{stories}"
+
+
+@pytest.mark.parametrize("name", ["market-share", "social-impact", "ad-hoc-networks", "comment-syntax", "most-popular", "related", "login-form"])
+@pytest.mark.parametrize("element", ["section", "article", "figure", "div"])
+@pytest.mark.parametrize("outer", ["article", "main"])
+def test_headings_anchors_are_no_boilerplate(name, element, outer):
+    from sedge.llm.html_text import main_text
+
+    title = name.replace("-", " ").capitalize()
+    page = f"<{outer}><h1>T</h1><p>before</p><{element} id='{name}'><h2>{title}</h2><p>inside</p></{element}><p>after</p></{outer}>"
+    assert main_text(page) == f"T\nbefore\n{title}\ninside\nafter"
+
+
+@pytest.mark.parametrize("name", ["social-impact", "ad-hoc-networks", "comment-syntax", "share-price", "bannerman", "formula", "adverbs", "sharecroppers", "cookie-recipes"])
+def test_names_that_only_hold_a_mark_stay(name):
+    from sedge.llm.html_text import main_text
+
+    assert main_text(f"<article><p>a</p><div class='{name}'>b</div></article>") == "a\nb"
+
+
+@pytest.mark.parametrize(
+    "markup", ["div class='comments-area'", "div id=comments", "section class=comments", "div class='social share-buttons'", "div class='c-ad__slot'", "div class='acme-footer'", "ul class='site-nav'", "div class='wp-block-newsletter'", "div class='most-popular'", "div class='cookie-consent-banner'"]
+)
+def test_marked_boilerplate_goes(markup):
+    from sedge.llm.html_text import main_text
+
+    assert main_text(f"<article><p>a</p><{markup}>b <p>c</p></{markup.split()[0]}><p>d</p></article>") == "a\nd"
+
+
+def test_short_lines_beside_a_surge_and_long_links_stay():
+    from sedge.llm.html_text import main_text
+
+    long = "word " * 60
+    menu = "".join(f"<div><a href='/{i}'>Link {i}</a></div>" for i in range(5))
+    assert main_text(f"<body>{menu}<h1>Title</h1><p>short</p><p>{long}</p>{menu}<div>(c) us</div></body>") == f"Title\nshort\n{long.strip()}"
+    linked = f"<article><h2>B</h2><p><a href=x>{long}</a></p><p>end</p></article>"
+    assert main_text(f"<main><article><h1>A</h1><p>{long}</p></article>{linked}</main>") == f"A\n{long.strip()}\nB\n{long.strip()}\nend"
+
+
+def kept_by_definition(weights, surge):
+    """Lines between a surge and the dives around it, line by line: those with fewer than three weightless lines at a stretch between them and a line of a window that reaches the threshold."""
+    n = len(weights)
+    full = [i for i in range(n) if weights[i]]
+    groups = []
+    for i in full:
+        if groups and i - groups[-1][-1] <= 3:
+            groups[-1].append(i)
+        else:
+            groups.append([i])
+    return [(g[0], g[-1] + 1) for g in groups if max(sum(weights[i : i + 3]) for i in range(max(0, g[0] - 2), g[-1] + 1)) >= surge]
+
+
+def test_regions_equal_the_definition():
+    from sedge.llm.html_text import surges_to_dives
+
+    rng = random.Random(8)
+    for _ in range(3000):
+        weights = [rng.choice((0, 0, 0, 1, 5, 40, 300)) for _ in range(rng.randint(0, 25))]
+        surge = rng.choice((1, 5, 30, 60, 200))
+        assert surges_to_dives(weights, surge) == kept_by_definition(weights, surge)
+
+
+def unmarked_pages(count, seed=6):
+    """Pages without a tag that names anything: (html, the text between menus), lengths drawn at random."""
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(300)]
+    for _ in range(count):
+        link = lambda: f"<div><a href='/x'>{' '.join(rng.choices(words, k=rng.randint(1, 4)))}</a></div>"
+        menu = lambda: "".join(link() for _ in range(rng.randint(3, 9)))
+        bodies = [[" ".join(rng.choices(words, k=rng.choice((2, 5, 30, 200)))) for _ in range(rng.randint(2, 8))] + [" ".join(rng.choices(words, k=40))] for _ in range(rng.randint(1, 3))]
+        html = "<body><div>x y</div>" + "".join(menu() + "".join(f"<div>{t}</div>" for t in body) for body in bodies) + menu() + "<div>z 1</div></body>"
+        yield html, "\n".join(t for body in bodies for t in body)
+
+
+def test_lengths_alone_tell_text_from_menus(monkeypatch):
+    """200 pages without markup: text is what lies between menus; without surges and dives every page would differ, and marked pages with link lists too."""
+    from sedge.llm import html_text
+
+    pages = list(unmarked_pages(200))
+    for html, text in pages:
+        assert html_text.main_text(html) == text
+    marked = ["<article><ul>" + "<li><a href=x>one story</a></li>" * k + "</ul><h1>T</h1><p>body text</p></article>" for k in range(3, 20)]
+    with_regions = [html_text.main_text(h) for h in marked]
+    monkeypatch.setattr(html_text, "surges_to_dives", lambda weights, surge: [(0, len(weights))])
+    assert all(html_text.main_text(html) != text for html, text in pages)
+    assert all(html_text.main_text(h) != t for h, t in zip(marked, with_regions, strict=True))
 
 
 def test_long_page_in_linear_time():
@@ -231,16 +321,6 @@ def test_page_markup(html, text):
     assert main_text(html) == text
 
 
-def test_surge_and_dive_run_on_every_marked_page(monkeypatch):
-    from sedge.llm import html_text
-
-    asked = []
-    whole = html_text.surges_to_dives
-    monkeypatch.setattr(html_text, "surges_to_dives", lambda plain, surge: asked.append(plain) or whole(plain, surge))
-    assert html_text.main_text("<article><p>one</p><p>two</p></article>") == "one\ntwo"
-    assert asked == [[3, 3]]
-
-
 def test_pages_equal_an_independent_reader(spark):
     """The template's pages by the standard library's parser: what stands in the article, block by block."""
     from html.parser import HTMLParser
