@@ -2,26 +2,35 @@
 
 A text is lower-cased, and every run of other characters than letters, digits and line breaks
 becomes one blank. Its lines, its paragraphs (between blank lines), runs of its lines and the whole of
-it are held against the templates. Runs are consecutive lines that aren't blank, of a size that some
-long template (LONG bigrams or more) may match, so a licence of several paragraphs is found inside
-a longer text, and a header with code directly below it. With a least coefficient t, a template of b distinct bigrams can only match
-a unit of a distinct bigrams if b t / (2 - t) <= a <= b (2 - t) / t; this bound is an equi-join on
+it are held against the templates. With a least coefficient t, a template of b distinct bigrams can only
+match a unit of a distinct bigrams if b t / (2 - t) <= a <= b (2 - t) / t; this bound is an equi-join on
 the unit's size against a table that lists each template under all sizes it may match (a few
 hundred rows, fixed by the templates and not by the data). The same bound says that a match holds
 more than b t / (2 - t) of the template's bigrams; so some words can be named for each template
 of which a match must hold one, and texts and units with none of them end at a substring search.
+
+Runs of lines (that aren't blank) are looked for with long templates, LONG bigrams or more, so a licence of
+several paragraphs is found inside a longer text, and a header with code directly below it. A text
+whose bigrams hold too few of a template's has no run that matches it. In others one fold over the lines
+keeps, for each of the template's bigrams, the run's start that its last occurrence allows. The best
+run that ends at a line starts at one of those, as any line before it without a new bigram of the
+template only adds others; so a line has few runs to be tried, and none whose shared bigrams alone
+can't beat the best one so far. Work grows with lines times the template's size, whatever the lines repeat.
 All of it is DataFrame functions.
 
 Null, empty and one-word texts match nothing. Rows that share a doc_id are reported together, equal
-units of one row once. Long texts are read whole; only their lines near a telling word make runs. Of a
-template's units the greatest coefficient is given, ties are one. Only doc_id and text are read, so
-other columns may have any names. An empty table gives an empty result.
+units of one row once. Long texts and runs are read whole. Of a template's units the greatest coefficient is
+given, ties are one. n_units counts lines, paragraphs and whole texts that match: 0 where only a run
+of lines does. Only doc_id and text are read, so other columns may have any names. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -154,55 +163,107 @@ def _known(templates: dict[str, str] | None) -> dict[str, list[str]]:
 
 
 def run_words(known: dict[str, list[str]], least: float = LEAST) -> tuple[int, int]:
-    """Fewest and most words of a run of lines that may match a long template. A run with repeated bigrams has more words than distinct bigrams; it may have as many again as half of the most."""
+    """Fewest words of a run of lines that may match a long template, and half as many again as the most distinct bigrams: what the SQL form tries."""
     sizes = [bounds(len(g), least) for g in known.values() if len(g) >= LONG]
     return (min(lo for lo, _ in sizes) + 1, max(hi for _, hi in sizes) * 3 // 2) if sizes else (1, 0)
 
 
-def _upto(values: Column, most: Column) -> Column:
-    """Sums of the first 0, 1, ... `most` numbers."""
-    return F.transform(F.sequence(F.lit(0), most), lambda i: F.aggregate(F.slice(values, 1, i), F.lit(0), lambda a, x: a + x))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once: inside lambdas nothing else keeps it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _bigrams(w: Column) -> Column:
+    """The bigrams of an array of words, in order, repeats included."""
+    return F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+def _best_run(lines: Column, grams: Column, all_bigrams: Column, least: float) -> Column:
+    """The greatest coefficient of a run of `lines` (arrays of words) against `grams`, or 0; all_bigrams: those of all lines' words in order.
+
+    The fold's state: words before this line, and before the line above; that line's last word; for each
+    of grams the words before the latest line at which a run may start and still hold it, -1 for none.
+    """
+    b = F.size(grams)
+    need = F.ceil(b * F.lit(least / (2 - least)) - 1e-9)
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("above"), F.lit("").alias("word"), F.transform(grams, lambda g: F.lit(-1)).alias("last"), F.lit(0.0).cast("double").alias("best"))
+
+    def step(state: Column, words: Column) -> Column:
+        at, over = state["at"], F.concat(state["word"], F.lit(" "), F.element_at(words, 1))
+        end = at + F.size(words)
+
+        def moved(own: Column, crossed: Column) -> Column:
+            return F.transform(F.arrays_zip(grams.alias("g"), state["last"].alias("x")), lambda z: F.when(F.array_contains(own, z["g"]), at).when(crossed & (z["g"] == over), F.greatest(z["x"], state["above"])).otherwise(z["x"]))
+
+        def tried(last: Column) -> Column:
+            def coefficient(best: Column, start: Column) -> Column:
+                """The better of best and the run of the words from start to end."""
+
+                def better(shared: Column) -> Column:
+                    unit = F.size(F.array_distinct(F.slice(all_bigrams, start + 1, end - start - 1)))
+                    return F.when((shared >= need) & (2.0 * shared / (b + shared) > best), F.greatest(best, 2.0 * shared / (b + unit))).otherwise(best)
+
+                return _let(F.size(F.filter(last, lambda x: x >= start)), better)
+
+            held = F.filter(last, lambda x: x >= 0)
+            return F.when(F.size(held) >= need, F.aggregate(F.array_distinct(held), state["best"], coefficient)).otherwise(state["best"])
+
+        def after(last: Column, best: Column) -> Column:
+            return F.struct(end.alias("at"), at.alias("above"), F.element_at(words, -1).alias("word"), last.alias("last"), best.alias("best"))
+
+        def with_own(own: Column) -> Column:
+            def with_crossed(crossed: Column) -> Column:
+                return F.when((F.size(own) > 0) | crossed, _let(moved(own, crossed), lambda last: after(last, tried(last)))).otherwise(after(state["last"], state["best"]))
+
+            return _let(F.array_contains(grams, over), with_crossed)
+
+        return _let(F.array_intersect(_bigrams(words), grams), with_own)
+
+    return F.aggregate(lines, zero, step, lambda state: state["best"])
 
 
-def _runs(fewest: int, most: int) -> Column:
-    """Runs of lines, of so many words, that hold a telling line; from the columns lines, words (before each line) and told (telling lines before it)."""
+def _once(df: DataFrame, **made: Column) -> DataFrame:
+    """df with further columns: a generator of one row keeps what it makes from being worked out again inside each later lambda."""
+    return df.select(*df.columns, F.inline(F.array(F.struct(*[v.alias(k) for k, v in made.items()]))))
 
-    def from_line(i: Column) -> Column:
-        within = lambda c, j: F.element_at(c, j + 1) - F.element_at(c, i)
-        ends = F.filter(F.sequence(i, F.least(F.size("lines"), i + most)), lambda j: (j > i) & within("words", j).between(fewest, most) & (within("told", j) > 0))
-        return F.transform(ends, lambda j: F.array_join(F.slice("lines", i, j - i + 1), " "))
 
-    return F.when(F.size("told") > 1, F.flatten(F.transform(F.sequence(F.lit(1), F.size("lines")), from_line))).otherwise(F.array().cast("array<string>"))
+def run_matches(cut: DataFrame, known: dict[str, list[str]], least: float = LEAST) -> DataFrame:
+    """doc_id, license, dice of the best run of lines for each long template; cut: doc_id and the cleaned text `plain`."""
+    long = {k: g for k, g in known.items() if len(g) >= LONG}
+    if not long:
+        return cut.select("doc_id", F.lit("").alias("license"), F.lit(0.0).alias("dice")).where("false")
+    words = F.filter(F.transform(F.split("plain", "\n"), lambda x: F.filter(F.split(x, " "), lambda w: w != "")), lambda x: F.size(x) > 0)
+    lines = _once(cut, lines=words)
+    lines = _once(lines, bigrams=_bigrams(F.flatten("lines")))
+    lines = _once(lines, different=F.array_distinct("bigrams"))
+    table = F.from_json(F.lit(json.dumps([{"license": k, "grams": g} for k, g in long.items()])), "array<struct<license:string,grams:array<string>>>")
+    held = F.filter(table, lambda t: F.size(F.array_intersect("different", t["grams"])) >= F.ceil(F.size(t["grams"]) * F.lit(least / (2 - least)) - 1e-9))
+    each = lines.select("doc_id", "lines", "bigrams", F.explode(held).alias("t")).select("doc_id", "lines", "bigrams", "t.license", "t.grams")
+    return _once(each, dice=_best_run(F.col("lines"), F.col("grams"), F.col("bigrams"), least)).select("doc_id", "license", "dice").where(F.col("dice") >= least)
 
 
 def licences(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
-    """One row per (document, template found): doc_id, license, dice (of its best unit), n_units (units that matched)."""
+    """One row per (document, template found): doc_id, license, dice (of its best unit), n_units (lines, paragraphs and whole texts that matched)."""
     spark = docs.sparkSession
     known = _known(templates)
     sized = [(n, k, g) for k, g in known.items() for n in range(bounds(len(g), least)[0], bounds(len(g), least)[1] + 1)]
     sizes = spark.createDataFrame(sized, "a int, license string, grams array<string>")
-    any_of = lambda words: lambda text: reduce(or_, [F.contains(text, F.lit(w)) for w in words], F.lit(False))
-    tells = any_of(telling_words(list(known.values()), least))
-    long_tells = any_of(telling_words([g for g in known.values() if len(g) >= LONG], least))
+    words = telling_words(list(known.values()), least)
+    long_words = telling_words([g for g in known.values() if len(g) >= LONG], least)
+    any_of = lambda parts, text: reduce(or_, [F.contains(text, F.lit(w)) for w in parts], F.lit(False))
+    spaced = lambda ws: [f" {w} " for w in ws]
     clean = lambda u: F.trim(F.regexp_replace(u, "[\n ]+", " "))
-    # a generator of one row keeps what it makes from being worked out again inside each later lambda
-    once = lambda df, **made: df.select("doc_id", *[c for c in df.columns if c != "doc_id"], F.inline(F.array(F.struct(*[v.alias(k) for k, v in made.items()]))))
-    plain = F.regexp_replace(F.lower("text"), _OTHER, " ")
-    cut = once(docs.where(tells(F.lower("text"))).select("doc_id", "text"), plain=plain).drop("text")
-    cut = once(cut, lines=F.filter(F.transform(F.split("plain", "\n"), lambda x: F.trim(x)), lambda x: x != ""))
-    looked = F.when(long_tells(F.col("plain")), F.col("lines")).otherwise(F.array().cast("array<string>"))
-    cut = once(cut, sizes=F.transform(looked, lambda x: F.size(F.split(x, " "))), tells=F.transform(looked, lambda x: long_tells(x).cast("int")))
-    cut = once(cut, words=_upto(F.col("sizes"), F.size("sizes")), told=_upto(F.col("tells"), F.size("tells")))
-    runs = _runs(*run_words(known, least))
+    low = _once(docs.select("doc_id", F.lower("text").alias("low")), text=F.col("low")).drop("low")
+    cut = _once(low.where(any_of(words, F.col("text"))), plain=F.regexp_replace("text", _OTHER, " ")).drop("text")
+    cut = _once(cut, flat=F.concat(F.lit(" "), F.translate("plain", "\n", " "), F.lit(" "))).where(any_of(spaced(words), F.col("flat")))
     units = F.concat(F.split("plain", "\n"), F.split("plain", r"\n *\n"), F.array("plain"))
-    units = F.array_distinct(F.concat(F.transform(F.filter(units, tells), clean), runs))
-    cut = cut.select("doc_id", F.explode(units).alias("unit"))
-    w = _words(F.col("unit"))
-    # the arrays of both sides are computed once for each unit, not once for each bigram
-    grams = cut.select("doc_id", F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).alias("g")).where("size(g) > 0")
+    each = cut.select("doc_id", F.explode(F.array_distinct(F.transform(units, clean))).alias("unit")).where(any_of(spaced(words), F.concat(F.lit(" "), "unit", F.lit(" "))))
+    grams = each.select("doc_id", F.array_distinct(_bigrams(_words(F.col("unit")))).alias("g")).where("size(g) > 0")
     near = grams.select("doc_id", "g", F.size("g").alias("a")).join(F.broadcast(sizes), "a")
     dice = F.lit(2.0) * F.size(F.array_intersect("g", "grams")) / (F.size("g") + F.size("grams"))
-    return near.select("doc_id", "license", dice.alias("dice")).where(F.col("dice") >= least).groupBy("doc_id", "license").agg(F.max("dice").alias("dice"), F.count("*").alias("n_units"))
+    found = near.select("doc_id", "license", dice.alias("dice"), F.lit(1).alias("unit")).where(F.col("dice") >= least)
+    runs = run_matches(cut.where(any_of(spaced(long_words), F.col("flat"))), known, least).withColumn("unit", F.lit(0))
+    return found.unionByName(runs).groupBy("doc_id", "license").agg(F.max("dice").alias("dice"), F.sum("unit").alias("n_units"))
 
 
 def licences_sql(least: float = LEAST) -> str:
@@ -221,8 +282,8 @@ def licences_sql(least: float = LEAST) -> str:
     r AS (SELECT doc_id, array_to_string(lines[i:j], ' ') AS unit FROM j WHERE list_sum(n[i:j]) BETWEEN {fewest} AND {most} AND list_bool_or(told[i:j])),
     s AS (SELECT doc_id, unnest(list_transform(list_concat(list_concat(string_split(plain, chr(10)), regexp_split_to_array(plain, '\\n *\\n')), [plain]),
           lambda x: trim(regexp_replace(x, '[\\n ]+', ' ', 'g')))) AS unit FROM p WHERE plain <> ''),
-    u AS (SELECT DISTINCT doc_id, unit FROM (SELECT * FROM r UNION ALL SELECT * FROM s)),
-    w AS (SELECT doc_id, string_split(unit, ' ') AS w FROM u WHERE unit LIKE '% %'),
-    g AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w),
-    d AS (SELECT doc_id, license, 2.0::DOUBLE * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice FROM g JOIN t ON len(g) BETWEEN lo AND hi)
-    SELECT doc_id, license, max(dice) AS dice, count(*) AS n_units FROM d WHERE dice >= {least} GROUP BY doc_id, license"""
+    u AS (SELECT doc_id, unit, max(n) AS n FROM (SELECT doc_id, unit, 0 AS n FROM r UNION ALL SELECT doc_id, unit, 1 AS n FROM s) GROUP BY doc_id, unit),
+    w AS (SELECT doc_id, n, string_split(unit, ' ') AS w FROM u WHERE unit LIKE '% %'),
+    g AS (SELECT doc_id, n, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w),
+    d AS (SELECT doc_id, n, license, 2.0::DOUBLE * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice FROM g JOIN t ON len(g) BETWEEN lo AND hi)
+    SELECT doc_id, license, max(dice) AS dice, sum(n)::BIGINT AS n_units FROM d WHERE dice >= {least} GROUP BY doc_id, license"""
