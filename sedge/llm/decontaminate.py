@@ -5,18 +5,23 @@ runs of `SEED_WORDS` words of the benchmark's items are hashed into a table of s
 rolling (Karp-Rabin) hashes of such runs are looked up in it, which joins documents and items on
 shared seeds. For each item whose seeds could cover enough of it, tiling then marks the longest
 match between unmarked words of item and document, again and again, until no match of SEED_WORDS
-words is left. The share of the item's words under tiles is its coverage: tiles may lie anywhere
+words is left (of equally long ones the first in the item, then the first in the document). The length of
+the longest is found by bisection over rolling hashes of all unmarked words on both sides: no pairs of
+equal seeds are made, so memory stays in proportion to the texts, however often their words repeat. The share of the item's words under tiles is its coverage: tiles may lie anywhere
 in the document in any order, so reordered passages count as well. From `COVERAGE` up the
 document leaks the item. Items shorter than SEED_WORDS words must occur whole.
 
 The benchmark is read in blocks of bounded size; each is broadcast and held against all documents
 in one scan without a shuffle, so documents of any number, length or repetition cost one task's
-stream. Null texts, null and wordless items match nothing; repeated rows give repeated results.
+stream. Null texts, null and wordless items match nothing; a null doc_id or item_id is carried; repeated
+rows of documents or items give repeated results. Ties between tiles go as said above, so results don't
+depend on the rows' order. An empty table on either side gives an empty result (keep_clean: all
+documents). Very long and repetitive texts are tiled whole. Of documents only doc_id and text are read,
+so other columns may have any names; keep_clean returns them as they are.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -89,54 +94,90 @@ class Items:
         where = np.flatnonzero(self.maybe[(rolling & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)])
         if not len(where):
             return out
-        first, last = np.searchsorted(self.seed, rolling[where], "left"), np.searchsorted(self.seed, rolling[where], "right")
+        met = np.unique(rolling[where])
+        first, last = np.searchsorted(self.seed, met, "left"), np.searchsorted(self.seed, met, "right")
         times = last - first
         if not times.any():
             return out
         at = np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())
-        item, place, spot = self.item[at], self.place[at], np.repeat(where, times)
-        order = np.argsort(item, kind="stable")
-        cuts = np.flatnonzero(np.diff(item[order])) + 1
-        for part in np.split(order, cuts):
-            k = int(item[part[0]])
+        order = np.argsort(self.item[at], kind="stable")
+        cuts = np.flatnonzero(np.diff(self.item[at][order])) + 1
+        for part in np.split(at[order], cuts):
+            k = int(self.item[part[0]])
             n = len(self.words[k])
-            reach = np.zeros(n, bool)
-            for d in range(SEED_WORDS):
-                reach[place[part] + d] = True
-            if reach.sum() < least * n:
+            if _spread(self.place[part], n).sum() < least * n:
                 continue  # even with all seeds marked it stays below
-            tiles = greedy_tiles(place[part], spot[part], n, len(words))
+            # only words under this item's seeds can lie under tiles
+            under = np.flatnonzero(_spread(where[np.isin(rolling[where], self.seed[part])], len(words)))
+            tiles = greedy_tiles(self.words[k], words[under], np.flatnonzero(np.diff(under) > 1) + 1)
             coverage = sum(t[2] for t in tiles) / n
             if coverage >= least:
-                out.append((self.ids[k], coverage, tiles))
+                out.append((self.ids[k], coverage, [(i, int(under[j]), size) for i, j, size in tiles]))
         return out
 
 
-def greedy_tiles(place: np.ndarray, spot: np.ndarray, n: int, m: int, least: int = SEED_WORDS) -> list[tuple[int, int, int]]:
-    """Greedy string tiling from seed matches: place[i] in the item (n words) equals spot[i] in the document (m words) for `least` words."""
-    order = np.lexsort((place, spot - place))
-    a, diagonal = place[order], (spot - place)[order]
-    new = np.concatenate([[True], (np.diff(diagonal) != 0) | (np.diff(a) != 1)])
-    begin = np.flatnonzero(new)
-    length = np.diff(np.concatenate([begin, [len(a)]])) + least - 1
-    heap = [(-int(w), int(a[i]), int(a[i] + diagonal[i])) for i, w in zip(begin, length, strict=True)]
-    heapq.heapify(heap)
-    item_marks, doc_marks = np.zeros(n, bool), np.zeros(m, bool)
-    tiles = []
-    while heap:
-        size, i, j = heapq.heappop(heap)
-        size = -size
-        taken = item_marks[i : i + size] | doc_marks[j : j + size]
-        if not taken.any():
-            item_marks[i : i + size] = True
-            doc_marks[j : j + size] = True
-            tiles.append((i, j, size))
-            continue
-        # what marked words leave of the match goes back, if long enough
-        edge = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]]).astype(np.int8)))
-        for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-            if hi - lo >= least:
-                heapq.heappush(heap, (lo - hi, i + lo, j + lo))
+def _spread(starts: np.ndarray, n: int) -> np.ndarray:
+    """Which of n words lie in a seed that begins at one of `starts`."""
+    step = np.zeros(n + 1, np.int64)
+    np.add.at(step, starts, 1)
+    np.add.at(step, np.minimum(starts + SEED_WORDS, n), -1)
+    return np.cumsum(step[:-1]) > 0
+
+
+class _Side:
+    """One side's words, which of them are marked, and where unbroken stretches begin."""
+
+    def __init__(self, words: np.ndarray, breaks: np.ndarray):
+        self.words, self.marked = words, np.zeros(len(words), bool)
+        self.broken = np.zeros(len(words), np.int64)
+        self.broken[breaks] = 1
+
+    def free(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of the runs of `size` unmarked words within a stretch."""
+        if len(self.words) < size:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        marks, breaks = (np.concatenate([[0], np.cumsum(x)]) for x in (self.marked, self.broken))
+        starts = np.flatnonzero((marks[size:] == marks[:-size]) & (breaks[size:] == breaks[1 : len(breaks) - size + 1]))
+        return starts, window_hashes(self.words, size, WINDOW_BASES[0])[starts]
+
+
+def greedy_tiles(item: np.ndarray, doc: np.ndarray, breaks: np.ndarray, least: int = SEED_WORDS) -> list[tuple[int, int, int]]:
+    """Greedy string tiling of two arrays of word hashes: (start in item, start in doc, words); no tile crosses a place of `breaks` in doc."""
+    mine, theirs = _Side(item, np.zeros(0, np.int64)), _Side(doc, breaks)
+    tiles: list[tuple[int, int, int]] = []
+    most = min(len(item), len(doc))
+
+    def meet(size: int) -> bool:
+        return bool(np.isin(mine.free(size)[1], theirs.free(size)[1]).any())
+
+    while most >= least:
+        if not meet(most):  # the longest match, by bisection: parts of a match match
+            low, high = least - 1, most
+            while high - low > 1:
+                half = (low + high) // 2
+                low, high = (half, high) if meet(half) else (low, half)
+            most = low
+            if most < least:
+                break
+        starts, hashes = mine.free(most)
+        spots, others = theirs.free(most)
+        order = np.argsort(others, kind="stable")
+        spots, others = spots[order], others[order]
+        tried: dict[int, int] = {}  # hash: the next of its spots to look at
+        for i, h in zip(starts[(both := np.isin(hashes, others))].tolist(), hashes[both].tolist(), strict=True):
+            if mine.marked[i] or mine.marked[i + most - 1]:
+                continue
+            at = tried.get(h)
+            if at is None:
+                at = int(np.searchsorted(others, np.uint64(h)))
+            while at < len(others) and others[at] == h and (theirs.marked[spots[at]] or theirs.marked[spots[at] + most - 1]):
+                at += 1
+            tried[h] = at
+            if at < len(others) and others[at] == h:
+                j = int(spots[at])
+                mine.marked[i : i + most] = theirs.marked[j : j + most] = True
+                tiles.append((i, j, most))
+        most -= 1
     return tiles
 
 

@@ -246,6 +246,99 @@ def test_greedy_tiles_take_the_longest_first():
     assert sorted(tiles) == [(2, 8, 10)] and coverage == pytest.approx(10 / 12)
 
 
+def tiles_by_pairs(item, doc):
+    """The longest match of unmarked words, first in the item, then in the document, again and again."""
+    mine, theirs, tiles = [False] * len(item), [False] * len(doc), []
+    while True:
+        best = (4, 0, 0)
+        for i in range(len(item)):
+            for j in range(len(doc)):
+                n = 0
+                while i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n] and not mine[i + n] and not theirs[j + n]:
+                    n += 1
+                best = max(best, (n, -i, -j)) if n > 4 else best
+        n, i, j = best[0], -best[1], -best[2]
+        if n < 5:
+            return tiles
+        mine[i : i + n] = theirs[j : j + n] = [True] * n
+        tiles.append((i, j, n))
+
+
+def test_tiles_of_repetitive_texts_equal_all_pairs():
+    from sedge.llm.decontaminate import Items
+
+    rng = random.Random(12)
+    for _ in range(150):
+        item = rng.choices("ab", k=rng.randint(5, 25)) if rng.random() < 0.7 else ["la"] * rng.randint(5, 20)
+        doc = rng.choices("abc" if rng.random() < 0.5 else ["a", "b", "la", "la"], k=rng.randint(0, 50))
+        want = tiles_by_pairs(item, doc)
+        got = Items.of([(1, " ".join(item))]).leaks(" ".join(doc), 0.01)
+        assert [t for *_, tiles in got for t in tiles] == want
+
+
+def test_one_word_a_thousand_times_takes_little_memory():
+    import time
+    import tracemalloc
+
+    from sedge.llm.decontaminate import Items
+
+    items = Items.of([(1, "la " * 1000), (2, "tra la " * 500)])
+    tracemalloc.start()
+    began = time.time()
+    got = items.leaks("la " * 20_000 + "tra la " * 10_000)
+    assert time.time() - began < 5 and tracemalloc.get_traced_memory()[1] < 50_000_000
+    tracemalloc.stop()
+    assert {(i, c, len(t)) for i, c, t in got} == {(1, 1.0, 1), (2, 1.0, 1)}
+
+
+def best_run_by_all_runs(text, grams):
+    """The greatest Dice coefficient of two or more consecutive lines, by trying them all."""
+    lines = [w for line in text.split("\n") if (w := re.findall("[a-z0-9]+", line.lower()))]
+    best = 0
+    for i in range(len(lines)):
+        for j in range(i + 1, len(lines) + 1):
+            words = [w for line in lines[i:j] for w in line]
+            mine = set(zip(words, words[1:]))
+            best = max(best, 2 * len(mine & grams) / (len(mine) + len(grams)))
+    return best
+
+
+def test_best_runs_equal_all_runs(docs_of):
+    from sedge.llm.licenses import LONG, TEMPLATES, _template_bigrams, licences
+
+    rng = random.Random(15)
+    long = {k: {tuple(g.split()) for g in _template_bigrams(t)} for k, t in TEMPLATES.items() if len(_template_bigrams(t)) >= LONG}
+    rows = []
+    for d in range(40):
+        words = TEMPLATES[rng.choice(sorted(long))].split()
+        words = [w if rng.random() > rng.choice((0, 0.03, 0.08)) else "zz" for w in words]
+        lines, at = [], 0
+        while at < len(words):
+            lines.append(" ".join(words[at : at + (n := rng.randint(1, 12))]))
+            at += n
+            if rng.random() < 0.2:
+                lines.append(rng.choice(("", "//", "int x", lines[-1])))
+        noise = lambda: [f"code {rng.randrange(99)} software license" for _ in range(rng.randint(0, 6))]
+        rows.append((d, "\n".join(noise() + lines + noise())))
+    got = {(r["doc_id"], r["license"]): r["dice"] for r in licences(docs_of(rows)).collect() if r["license"] in long}
+    want = {(d, k): best for d, t in rows for k, g in long.items() if (best := best_run_by_all_runs(t, g)) >= 0.8}
+    assert got == {k: pytest.approx(v, abs=1e-12) for k, v in want.items()} and len(want) > 20
+
+
+def test_ten_thousand_lines_with_a_licence_word_each(docs_of):
+    import time
+
+    from sedge.llm.licenses import TEMPLATES, licences
+
+    mit = TEMPLATES["MIT"].split()
+    lines = [" ".join(mit[k : k + 10]) for k in range(0, len(mit), 10)]
+    rows = [(1, "\n".join(f"license x{i} software" for i in range(10_000))), (2, "\n".join(lines * (10_000 // len(lines)))), (3, "\n".join([f"x{i}" for i in range(10_000)] + lines))]
+    licences(docs_of(rows[:0])).collect()
+    began = time.time()
+    got = {(r["doc_id"], r["license"]): (r["dice"], r["n_units"]) for r in licences(docs_of(rows)).collect()}
+    assert got == {(2, "MIT"): (1.0, 1), (3, "MIT"): (1.0, 0)} and time.time() - began < 30
+
+
 def test_shards_round_trip_and_versions(docs_of, spark, tmp_path):
     from sedge.llm.sharding import ShardStore, arrival_of, shard
 
