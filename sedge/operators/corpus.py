@@ -7,7 +7,7 @@ import random
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,31 +43,71 @@ def dedup_conflicts(df: DataFrame, text: str, label: str, order: str) -> DataFra
 
 
 def dedup_resolved(records: DataFrame, clean: DataFrame, key: str, text: str, label: str, order: str, rounds: int = 50) -> tuple[DataFrame, DataFrame]:
-    """(kept, dropped): of rows with one text and one label the first stays; on different labels a row whose text is augmented goes back to its clean text and is judged again; of clean rows in conflict the first stays.
-
-    A row reverts once at most, so the rounds end; each is one shuffle and is written to the
-    shared folder, and only the number of reverting rows comes back to the driver.
+    """(kept, dropped): rows taken in order, each text kept once. A row whose text is held with the same label is dropped as a duplicate. On another label the newcomer goes back to its clean text, if it has one that differs, and is judged at once in that text's group; else the holder does so, and the newcomer holds the text; else the newcomer is dropped as a conflict.
+
+    What a sequential loop decides row by row follows from few minima of each group: who comes first,
+    and the first clean row with another label, which takes over from an augmented first one. Each
+    arrival has a time (the row in whose turn it comes, and how many reverts it took), so groups
+    are judged independently. Only groups whose arrivals changed are judged again: at first those
+    with two labels, then those that rows newly went back to. Rounds number the longest chain of
+    reverts. Groups meet by digests of their normalised texts; a null text is an empty one. `order` must be unique.
     """
-    base = records.join(clean.select(key, F.col(text).alias("_clean")), key, "left").withColumn("_clean", F.coalesce("_clean", text))
-    now = base.withColumn("_n", normalise_transcript(F.col(text))).withColumn("_c", normalise_transcript(F.col("_clean")))
+    spark = records.sparkSession
+    digest = lambda c: F.md5(normalise_transcript(F.coalesce(c, F.lit(""))).cast("binary"))
+    back = clean.select(F.col(key).alias("_key"), F.col(text).alias("_clean"))
+    joined = records.join(back, records[key] == back["_key"], "left").drop("_key")
+    held = F.struct(*[F.col(c) for c in records.columns]).alias("row")
+    base = joined.select(F.col(order).cast("bigint").alias("id"), digest(F.col(text)).alias("g"), digest(F.coalesce("_clean", text)).alias("c"), F.xxhash64(label).alias("label"), F.col("_clean").alias("clean"), held)
+    base = stored(base.withColumn("aug", F.col("g") != F.col("c")), "records")
+    rows = base.select("id", "g", "c", "label", "aug")
+
+    def arrivals(groups: DataFrame | None, reverted: DataFrame) -> DataFrame:
+        """id, g, c, label, aug, at (turn, reverts) of all that enters the groups (all, if none are named)."""
+        first = rows.withColumn("at", F.struct(F.col("id").alias("turn"), F.lit(0).alias("step")))
+        later = reverted.select("id", F.col("c").alias("g"), "c", "label", F.lit(False).alias("aug"), "at")
+        both = first.unionByName(later)
+        return both if groups is None else both.join(groups, "g", "left_semi")
+
+    def judged(entered: DataFrame) -> DataFrame:
+        """Arrivals with who holds their group from when: first, and taker (null if none takes over), as structs at, id, label."""
+        who = F.struct("at", "id", "label", "aug")
+        first = entered.groupBy("g").agg(F.min(who).alias("first"))
+        # per label the first clean arrival, so that a group of any size is a few rows
+        taker = entered.where("not aug").groupBy("g", "label").agg(F.min(F.struct("at", "id", "label")).alias("t")).join(first, "g").where("first.aug and label <> first.label").groupBy("g").agg(F.min("t").alias("taker"))
+        return entered.join(first.join(taker, "g", "left"), "g")
+
+    def reverts(groups: DataFrame | None, reverted: DataFrame) -> DataFrame:
+        """id, source group, clean group, label and arrival there of what the groups send back."""
+        j = judged(arrivals(groups, reverted))
+        in_force = F.when(F.col("taker").isNotNull() & (F.col("taker.at") < F.col("at")), F.col("taker.label")).otherwise(F.col("first.label"))
+        newcomer = F.col("aug") & (F.col("id") != F.col("first.id")) & (F.col("label") != in_force)
+        ousted = F.col("aug") & (F.col("id") == F.col("first.id")) & F.col("taker").isNotNull()
+        since = F.when(ousted, F.col("taker.at")).otherwise(F.col("at"))
+        return j.where(newcomer | ousted).select("id", F.col("g").alias("source"), "c", "label", F.struct(since["turn"].alias("turn"), (since["step"] + 1).alias("step")).alias("at"))
+
+    reverted = spark.createDataFrame([], "id bigint, source string, c string, label bigint, at struct<turn:bigint,step:int>")
+    touched = rows.groupBy("g").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("g")
     for _ in range(rounds):
-        w = Window.partitionBy("_n").orderBy(order)
-        first_label = F.first(label).over(w)
-        clash = F.col(label) != first_label
-        augmented = F.col("_n") != F.col("_c")
-        # the first row yields if it is augmented and any later one disagrees; later ones yield if they are
-        some_clash = F.max(clash.cast("int")).over(Window.partitionBy("_n")) == 1
-        marked = now.withColumn("_clash", clash).withColumn("_any", some_clash).withColumn("_revert", F.col("_any") & augmented & (F.col("_clash") | (F.row_number().over(w) == 1)))
-        marked = stored(marked, "conflicts")
-        if marked.where("_revert").limit(1).count() == 0:
+        touched = stored(touched, "touched")
+        now = stored(reverts(touched, reverted), "reverts")
+        kept_before = reverted.join(touched, reverted["source"] == touched["g"], "left_anti")
+        before = reverted.join(touched, reverted["source"] == touched["g"], "left_semi")
+        moved = lambda df: df.select("id", "c", "at")
+        changed = stored(moved(now).exceptAll(moved(before)).unionByName(moved(before).exceptAll(moved(now))), "changed")
+        reverted = stored(kept_before.unionByName(now), "reverted")
+        if not changed.limit(1).count():
             break
-        now = marked.withColumn("_n", F.when(F.col("_revert"), F.col("_c")).otherwise(F.col("_n"))).withColumn(text, F.when(F.col("_revert"), F.col("_clean")).otherwise(F.col(text))).drop("_clash", "_any", "_revert")
+        touched = changed.select(F.col("c").alias("g")).distinct()
     else:
         raise RuntimeError("conflicts did not settle")
-    ranked = marked.withColumn("_r", F.row_number().over(Window.partitionBy("_n").orderBy(order)))
-    kept = ranked.where("_r = 1").select(*records.columns)
-    dropped = ranked.where("_r > 1").withColumn("reason", F.when(F.col("_clash"), "conflict").otherwise("duplicate")).select(*records.columns, "reason")
-    return kept, dropped
+    final = judged(arrivals(None, reverted))
+    gone = reverted.select("id", F.col("at").alias("went"))
+    final = final.join(gone, "id", "left").where(F.col("went").isNull() | (F.col("at") == F.col("went")))
+    holder = F.coalesce("taker.id", "first.id")
+    label_then = F.when(F.col("taker").isNotNull() & (F.col("taker.at") < F.col("at")), F.col("taker.label")).otherwise(F.col("first.label"))
+    final = final.select("id", F.col("went").isNotNull().alias("back"), (F.col("id") == holder).alias("holds"), F.when(F.col("label") == label_then, "duplicate").otherwise("conflict").alias("reason"))
+    out = stored(base.join(final, "id").select(*[(F.when(F.col("back"), F.col("clean")).otherwise(F.col(f"row.`{c}`")) if c == text else F.col(f"row.`{c}`")).alias(c) for c in records.columns], F.col("holds").alias("_holds"), "reason"), "resolved")
+    return out.where("_holds").select(*records.columns), out.where("not _holds").select(*records.columns, "reason")
 
 
 # ---------------------------------------------------------------- composition

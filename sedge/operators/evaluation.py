@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import formats, stats
-from ..functions.stats import percentile
 from .metrics import share_of
+from .ranks import beside, order_statistics
+from .trials import long_form
 
 SAFE = ("unknown", "hover")
 
@@ -110,15 +111,18 @@ def trial_summary(trials: DataFrame, keys: list[str], stages: list[str], points:
     trials: keys, item_id, correct, peak_rss_mb, temperature_c, throttled_now, tokens_predicted, slm_decode_ms, total_ms and the stages.
     """
     both = F.col("tokens_predicted").isNotNull() & F.col("slm_decode_ms").isNotNull()
-    per_stage = [x for s in (*stages, "total_ms") for x in (F.count(s).alias(f"{s}_n"), *[F.round(percentile(s, p / 100), 2).alias(f"{s}_p{p}") for p in points])]
     g = trials.groupBy(*keys).agg(
         F.count("total_ms").alias("n_latency"), F.countDistinct(F.when(F.col("correct").isNotNull(), F.col("item_id"))).alias("n_accuracy"), F.round(F.avg(F.col("correct").cast("double")), 6).alias("accuracy"),
         F.round(F.max("peak_rss_mb"), 2).alias("peak_rss_mb"), F.round(F.max("temperature_c"), 1).alias("max_temperature_c"), F.count_if(F.col("throttled_now") == 1).alias("throttled_trials"),
-        F.sum(F.when(both, F.col("tokens_predicted"))).cast("double").alias("_tokens"), F.sum(F.when(both, F.col("slm_decode_ms") / 1000.0)).alias("_seconds"), *per_stage,
+        F.sum(F.when(both, F.col("tokens_predicted"))).cast("double").alias("_tokens"), F.sum(F.when(both, F.col("slm_decode_ms") / 1000.0)).alias("_seconds"), *[F.count(s).alias(f"{s}_n") for s in (*stages, "total_ms")],
     )
     share = F.round(F.try_divide(F.col("throttled_trials").cast("double"), F.nullif(F.col("n_latency"), F.lit(0)).cast("double")), 4)
     speed = F.round(F.try_divide(F.col("_tokens"), F.nullif(F.col("_seconds"), F.lit(0.0))), 2)
-    return g.withColumn("throttled_fraction", share).withColumn("tokens_per_second", speed).drop("_tokens", "_seconds")
+    g = g.withColumn("throttled_fraction", share).withColumn("tokens_per_second", speed).drop("_tokens", "_seconds")
+    long = long_form(trials, keys, [*stages, "total_ms"], "_stage", "_value")
+    ranks = order_statistics(long, [*keys, "_stage"], "_value", {f"p{p}": (p / 100, False) for p in points})
+    at = lambda s, p: F.round(F.max(F.when(F.col("_stage") == s, F.col(f"p{p}"))), 2).alias(f"{s}_p{p}")
+    return beside(g, ranks.groupBy(*keys).agg(*[at(s, p) for s in (*stages, "total_ms") for p in points]), keys)
 
 
 def segment_measures(segments: DataFrame, keys: list[str], measured: list[str], derived: dict[str, Column], done: Column) -> DataFrame:

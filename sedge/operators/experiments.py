@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import signal
-from ..functions.stats import percentile
+from .ranks import beside, order_statistics
 from ..sources.shared import stored
 from .sampling import placed
 
@@ -48,8 +48,8 @@ def condition_summary(items: DataFrame, condition: str, segments: str, errors: s
 
 def stage_sums(items: DataFrame, segments: str, stages: list[str], host: str, target: str) -> DataFrame:
     """p50 and p95 of summed stages; null unless every item comes from the target host."""
-    flat = items.select(F.col(host).alias("host"), F.explode(segments).alias("s")).select("host", sum((F.col(f"s.{c}") for c in stages[1:]), F.col(f"s.{stages[0]}")).alias("total"))
-    a = flat.agg(F.bool_and(F.col("host") == target).alias("all_target"), F.count("total").alias("n"), percentile("total", 0.5).alias("p50"), percentile("total", 0.95).alias("p95"))
+    flat = items.select(F.lit(0).alias("all"), F.col(host).alias("host"), F.explode(segments).alias("s")).select("all", "host", sum((F.col(f"s.{c}") for c in stages[1:]), F.col(f"s.{stages[0]}")).alias("total"))
+    a = beside(flat.groupBy("all").agg(F.bool_and(F.coalesce(F.col("host") == target, F.lit(False))).alias("all_target"), F.count("total").alias("n")), order_statistics(flat, ["all"], "total", {"p50": (0.5, False), "p95": (0.95, False)}), ["all"])
     return a.select("n", *[F.when(F.col("all_target"), F.col(p)).alias(p) for p in ("p50", "p95")])
 
 

@@ -1,19 +1,15 @@
-"""From commands to flight: what a consumer says of each message, where the swarm is sent, and the closed loop that reports back."""
+"""From commands to flight: what a consumer says of each message, where the swarm is sent, and what recorded flights say."""
 
 from __future__ import annotations
 
-import json
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.command import LEGAL, LIMITS, legal
+from ..functions.command import LIMITS, legal
 from . import swarm
 
-#: Heights and tolerances of the loop, unit steps of the directions.
-TAKEOFF_Z, GROUND_Z, ALTITUDE_TOLERANCE = 2.0, 0.05, swarm.IN_SLOT
+#: The height of a take-off that names none, unit steps of the directions.
+TAKEOFF_Z = 2.0
 UNIT = {"north": (0, 1, 0), "south": (0, -1, 0), "east": (1, 0, 0), "west": (-1, 0, 0), "up": (0, 0, 1), "down": (0, 0, -1), "forward": (0, 1, 0), "back": (0, -1, 0), "left": (-1, 0, 0), "right": (1, 0, 0)}
 
 
@@ -42,11 +38,11 @@ def reserved(messages: DataFrame, key: str, started: list[str], published: list[
     return messages.withColumn("seq", by(started)).withColumn("arrival", by(published))
 
 
-def scripted(steps: DataFrame) -> DataFrame:
-    """step, seq, arrival, branch, intent of a script's actions (step, place, path, intent): a path `B-stale` takes its number before the others of its step and is sent after them, as B."""
+def scripted(steps: DataFrame, script: str) -> DataFrame:
+    """script, step, seq, arrival, branch, intent of scripts' actions (script, step, place, path, intent): a path `B-stale` takes its number before the others of its step and is sent after them, as B."""
     late = F.col("path") == "B-stale"
-    rows = steps.withColumn("_late", late.cast("int")).withColumn("_early", 1 - late.cast("int")).withColumn("_all", F.lit(1))
-    return reserved(rows, "_all", ["step", "_early", "place"], ["step", "_late", "place"]).select("step", "seq", "arrival", F.when(late, "B").otherwise(F.col("path")).alias("branch"), "intent")
+    rows = steps.withColumn("_late", late.cast("int")).withColumn("_early", 1 - late.cast("int"))
+    return reserved(rows, script, ["step", "_early", "place"], ["step", "_late", "place"]).select(script, "step", "seq", "arrival", F.when(late, "B").otherwise(F.col("path")).alias("branch"), "intent")
 
 
 def sampled(trajectory: DataFrame, keys: list[str], at: str, every: float) -> DataFrame:
@@ -82,77 +78,6 @@ def retarget(positions: Column, targets: Column, command: Column, state: Column,
     return F.when(legal(intent, state), F.when(able & made.isNotNull(), made).otherwise(held))
 
 
-# ---------------------------------------------------------------- the loop
-
-_FLOWN = "run string, step int, state string, dispatched string, x double, y double, z double, closest double, motors boolean"
-
-
-def _next(state: str, intent: str) -> tuple[str, str | None]:
-    if state in LEGAL.get(intent, ()):
-        return {"takeoff": "TAKING_OFF", "land": "LANDING", "abort": "ABORTED"}.get(intent, state), intent
-    return state, "hover" if intent not in ("abort", "unknown") and state in LEGAL["hover"] else None
-
-
-def fly(scripts: DataFrame, drones: int = swarm.DRONES, seconds: float = 10.0) -> DataFrame:
-    """Each run's script (run, step, command JSON) flown step by step: the state and the swarm's centre after each, and the closest pair.
-
-    Every tick steers towards the targets, moves and separates the drones, then tells the state
-    machine of a take-off height reached or of ground contact, which also stops the motors. A run is
-    simulated by one task from a line on the ground, so runs may be dealt to any number of tasks.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = pdf["run"].iloc[0]
-        p = np.zeros((1, drones, 3))
-        p[0, :, :2] = swarm.offsets("line", drones)[:, :2]
-        v, target, integral = np.zeros_like(p), p.copy(), np.zeros_like(p)
-        state, motors, height, rows = "LANDED", False, None, []
-        for r in pdf.sort_values("step").itertuples():
-            command = json.loads(r.command)
-            state, sent = _next(state, command["intent"])
-            if sent is not None:
-                aimed = _aim(sent, command if sent == command["intent"] else {}, p[0], target[0] if motors else p[0])
-                target = p.copy() if aimed is None else aimed[None]
-                height = float(target[0, 0, 2]) if sent == "takeoff" else height
-                integral[:] = 0
-                motors = True
-            for _ in range(round(seconds / swarm.TICK) if motors else 0):
-                v = swarm._capped(v + swarm._capped(swarm.steer(p, v, target, integral), swarm.TOP_ACCELERATION) * swarm.TICK, swarm.TOP_SPEED)
-                p = np.maximum(p + v * swarm.TICK, (-np.inf, -np.inf, 0.0))
-                swarm.separate(p, v)
-                if state == "TAKING_OFF" and (np.abs(p[0, :, 2] - height) <= ALTITUDE_TOLERANCE).all():
-                    state = "FLYING"
-                elif state in ("LANDING", "ABORTED") and (p[0, :, 2] <= GROUND_Z).all():
-                    state, motors = "LANDED" if state == "LANDING" else state, False
-                    v[:] = 0
-                    break
-            rows.append((name, r.step, state, sent, *p[0].mean(0), float(swarm.distances(p).min()), motors))
-        return pd.DataFrame(rows, columns=[f.split()[0] for f in _FLOWN.split(", ")])
-
-    return scripts.groupBy("run").applyInPandas(run, _FLOWN)
-
-
-def _aim(intent: str, c: dict, p: np.ndarray, target: np.ndarray) -> np.ndarray | None:
-    """Targets of a dispatched command; None holds position."""
-    high = lambda a, z: np.column_stack([a[:, :2], np.full(len(a), z)])
-    if c.get("ids") is not None and intent not in ("takeoff", "land"):
-        return None
-    if intent == "takeoff":
-        return high(p, c.get("z", TAKEOFF_Z))
-    if intent in ("land", "abort"):
-        return high(p, 0.0)
-    if intent == "altitude":
-        return high(target, c["z"])
-    if intent == "move":
-        moved = target + (np.array(c["pos"]) - target.mean(0) if "pos" in c else np.array(UNIT[c["dir"]]) * c["dist"])
-        moved[:, 2] = np.maximum(moved[:, 2], LIMITS["z"][0])
-        return moved
-    if intent == "formation" and c.get("shape") in ("circle", "line", "wedge"):
-        slots = swarm.offsets(c["shape"], len(p), c.get("radius", swarm.RADIUS), c.get("spacing", swarm.SPACING)) + p.mean(0)
-        return swarm.cheapest(p[None], slots[None])[0]
-    return None
-
-
 # ---------------------------------------------------------------- recorded trajectories
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from .ranks import beside, order_statistics
 
 
 def rate(condition: Column) -> Column:
@@ -94,10 +95,10 @@ def anova(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def group_moments(df: DataFrame, group: str, value: str, threshold: float) -> DataFrame:
     """Mean, sample deviation (0 for one row), extremes, median, quartiles and the count above a threshold."""
-    return df.groupBy(group).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"), F.min(value).alias("lowest"), F.max(value).alias("highest"),
-        F.percentile(value, F.lit(0.5)).alias("median"), F.percentile(value, F.lit(0.25)).alias("q1"), F.percentile(value, F.lit(0.75)).alias("q3"), F.count_if(F.col(value) >= threshold).alias("n_above"),
+    moments = df.groupBy(group).agg(
+        F.count(value).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"), F.min(value).alias("lowest"), F.max(value).alias("highest"), F.count_if(F.col(value) >= threshold).alias("n_above"),
     )
+    return beside(moments, order_statistics(df, [group], value, {"median": (0.5, True), "q1": (0.25, True), "q3": (0.75, True)}), [group])
 
 
 def position(df: DataFrame, name: str, value: str, own: str) -> DataFrame:

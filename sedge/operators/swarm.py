@@ -1,48 +1,16 @@
-"""Formation trials: targets, assignment, control and separation, simulated for many trials at once.
-
-A task advances all its trials together as one (trials, drones, 3) array; a trial depends on its
-shape and number alone, so the trials can be dealt to any number of tasks.
-"""
+"""Formations: their slots, and who takes which."""
 
 from __future__ import annotations
 
-from itertools import permutations
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import FORMATION_TRIAL
-
-#: The trial protocol and the controller's gains.
-DRONES, TICK, SECONDS = 5, 0.02, 60.0
-RADIUS, SPACING, HALF_ANGLE = 5.0, 2.0, np.deg2rad(30.0)
-SPAWN, CENTRE, SEED_STEP = 0.5, (0.0, 0.0, 2.0), 42
-KP, KI, KD, WINDUP = 2.0, 0.05, 3.0, 2.0
-PUSH, PUSH_REACH, COHESION, ALIGNMENT = 6.0, 1.5, 0.15, 0.25
-TOP_SPEED, TOP_ACCELERATION = 3.0, 4.0
-CLEARANCE, COLLISION, IN_SLOT, CONVERGED, FINAL_SECONDS = 0.80, 0.35, 0.5, 0.85, 5.0
-SWEEPS = 64
+from ..functions.assignment import nearest_slots, points_of
 
-
-def offsets(shape: str, n: int, radius: float = RADIUS, spacing: float = SPACING) -> np.ndarray:
-    """Slots of a formation about the origin, heading along x."""
-    k = np.arange(n)
-    out = np.zeros((n, 3))
-    if shape == "circle":
-        turn = 2 * np.pi * k / n
-        out[:, 0], out[:, 1] = radius * np.cos(turn), radius * np.sin(turn)
-    elif shape == "line":
-        out[:, 1] = (k - (n - 1) / 2) * spacing
-    elif shape == "wedge":
-        arm = (k + 1) // 2 * spacing
-        out[:, 0] = -arm * np.cos(HALF_ANGLE)
-        out[:, 1] = np.where(k % 2 == 1, 1, -1) * arm * np.sin(HALF_ANGLE)
-        out -= out.mean(0)
-    else:
-        raise ValueError(f"no such shape: {shape}")
-    return out
+#: Sizes of formations, and when a drone counts as in its slot and a swarm as settled.
+RADIUS, SPACING = 5.0, 2.0
+IN_SLOT, CONVERGED = 0.5, 0.85
 
 
 def slots_column(shape: Column, n: Column, radius: Column, spacing: Column, heading: Column) -> Column:
@@ -58,104 +26,9 @@ def slots_column(shape: Column, n: Column, radius: Column, spacing: Column, head
     return F.transform(k, slot)
 
 
-def cheapest(positions: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    """For each trial the slots in drone order with the least sum of squared distances, over all orders (few drones)."""
-    orders = np.array(list(permutations(range(slots.shape[1]))))
-    cost = ((positions[:, :, None] - slots[:, None]) ** 2).sum(-1)  # trial, drone, slot
-    total = cost[:, np.arange(slots.shape[1])[None], orders].sum(-1)
-    return np.take_along_axis(slots, orders[total.argmin(1)][:, :, None], 1)
-
-
-def _capped(v: np.ndarray, top: float) -> np.ndarray:
-    size = np.linalg.norm(v, axis=-1, keepdims=True)
-    return v * np.where(size > top, top / np.maximum(size, 1e-12), 1.0)
-
-
-def distances(p: np.ndarray) -> np.ndarray:
-    d = np.linalg.norm(p[:, :, None] - p[:, None], axis=-1)
-    d[:, np.arange(p.shape[1]), np.arange(p.shape[1])] = np.inf
-    return d
-
-
-def separate(p: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Push drones apart to CLEARANCE in place; returns how many pairs of each trial were too close at first.
-
-    A sweep works out what every close pair lacks along the line between its drones (drones in one
-    place part along an axis that the pair's numbers choose) and moves all drones together by the sum of
-    their halves; speeds lose what drives a pair together. Sweeps end when no pair is closer.
-    """
-    i, j = np.triu_indices(p.shape[1], 1)
-    ends = np.zeros((p.shape[1], len(i)))
-    ends[i, np.arange(len(i))], ends[j, np.arange(len(i))] = 1.0, -1.0
-    axes = np.eye(3)[(i + j) % 3]
-    at_first = None
-    for _ in range(SWEEPS):
-        gap = p[:, i] - p[:, j]
-        size = np.linalg.norm(gap, axis=-1)
-        close = size < CLEARANCE - 1e-9
-        at_first = close.sum(1) if at_first is None else at_first
-        if not close.any():
-            break
-        unit = np.where((size < 1e-9)[..., None], axes, gap / np.maximum(size, 1e-9)[..., None])
-        lacks = np.where(close, CLEARANCE - size, 0.0)
-        closing = np.where(close, np.minimum(((v[:, i] - v[:, j]) * unit).sum(-1), 0.0), 0.0)
-        p += np.einsum("dk,tkx->tdx", ends, unit * lacks[..., None] / 2)
-        v -= np.einsum("dk,tkx->tdx", ends, unit * closing[..., None] / 2)
-    return at_first
-
-
-def steer(p: np.ndarray, v: np.ndarray, target: np.ndarray, integral: np.ndarray) -> np.ndarray:
-    """Accelerations; updates integral in place."""
-    error = target - p
-    integral[:] = np.clip(integral + error * TICK, -WINDUP, WINDUP)
-    a = KP * error + KI * integral - KD * v + COHESION * (p.mean(1, keepdims=True) - p) + ALIGNMENT * (v.mean(1, keepdims=True) - v)
-    d = distances(p)
-    near = np.maximum(d, 1e-6)
-    force = np.where(d < PUSH_REACH, PUSH * (1 / near - 1 / PUSH_REACH) / near**2, 0.0)
-    return a + ((p[:, :, None] - p[:, None]) / near[..., None] * force[..., None]).sum(2)
-
-
-def simulate(shape: str, numbers: list[int], seconds: float = SECONDS, n: int = DRONES) -> pd.DataFrame:
-    """One row a trial."""
-    seeds = [k * SEED_STEP for k in numbers]
-    p = np.stack([np.asarray(CENTRE) + np.random.default_rng(s).normal(0.0, SPAWN, (n, 3)) for s in seeds])
-    p[:, :, 2] = np.maximum(p[:, :, 2], 0.0)
-    v, integral = np.zeros_like(p), np.zeros_like(p)
-    target = cheapest(p, offsets(shape, n)[None] + p.mean(1, keepdims=True))
-    ticks = round(seconds / TICK)
-    window = max(1, round(FINAL_SECONDS / TICK))
-    settled = np.full(len(p), -1)
-    collisions, pushed, nearest, late = (np.zeros(len(p)) for _ in range(4))
-    nearest += np.inf
-    for tick in range(ticks):
-        v = _capped(v + _capped(steer(p, v, target, integral), TOP_ACCELERATION) * TICK, TOP_SPEED)
-        p = p + v * TICK
-        under = p[:, :, 2] < 0
-        p[:, :, 2][under] = 0.0
-        v[:, :, 2][under] = np.maximum(v[:, :, 2][under], 0.0)
-        pushed += separate(p, v)
-        least = distances(p).min((1, 2))
-        nearest = np.minimum(nearest, least)
-        collisions += least < COLLISION
-        accuracy = (np.linalg.norm(p - target, axis=-1) <= IN_SLOT).mean(1)
-        settled = np.where((settled < 0) & (accuracy >= CONVERGED), tick, settled)
-        if tick >= ticks - window:
-            late += accuracy
-    return pd.DataFrame({
-        "shape": shape, "trial": numbers, "seed": seeds, "formation_accuracy": late / min(window, ticks), "converged": (settled >= 0).astype("int32"),
-        "convergence_seconds": [None if s < 0 else s * TICK for s in settled], "collisions": collisions.astype("int32"), "clamp_activations": pushed.astype("int32"),
-        "min_pair_distance": nearest, "final_mean_error": np.linalg.norm(p - target, axis=-1).mean(1),
-    })
-
-
-def trials(spark: SparkSession, shapes: list[str], count: int, seconds: float = SECONDS, batch: int = 25) -> DataFrame:
-    """count trials of each shape, numbered from 0, `batch` of them to a task."""
-    per = -(-count // batch)
-
-    def run(it):
-        for pdf in it:
-            for k in pdf["id"]:
-                shape, part = shapes[k // per], int(k % per)
-                yield simulate(shape, list(range(part * batch, min(count, (part + 1) * batch))), seconds)
-
-    return spark.range(0, per * len(shapes), 1, per * len(shapes)).mapInPandas(run, FORMATION_TRIAL)
+def assigned(rows: DataFrame, keys: list[str], place: str, own: list[str], slots: Column) -> DataFrame:
+    """keys, slot of each member in order of `place` (array, from 0), and the sum of squared distances, of each group's members against its slots (an array of arrays of numbers). A group is a formation: few members."""
+    axes = [F.col(a).cast("double").alias(f"_{k}") for k, a in enumerate(own)]
+    each = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(place).alias("_place"), *axes))).alias("m"))
+    points = points_of(*[F.col("m")[f"_{k}"] for k in range(len(own))])
+    return each.withColumn("a", nearest_slots(points, slots)).select(*keys, F.size("m").alias("n"), "a.slots", "a.cost")

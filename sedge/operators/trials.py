@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.formats import budget_verdict
-from ..functions.stats import percentile
+from .ranks import beside, order_statistics
 
 
 def long_form(df: DataFrame, keys: list[str], measures: list[str], name: str = "stage", value: str = "value") -> DataFrame:
@@ -15,8 +15,8 @@ def long_form(df: DataFrame, keys: list[str], measures: list[str], name: str = "
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str = "value", points: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
-    aggs = [F.count(value).alias("n"), *[percentile(value, p / 100).alias(f"p{p}") for p in points], F.max(value).alias("highest")]
-    return df.groupBy(*keys).agg(*aggs)
+    """Count, nearest-rank percentiles and greatest value of each group."""
+    return beside(df.groupBy(*keys).agg(F.count(value).alias("n"), F.max(value).alias("highest")), order_statistics(df, keys, value, {f"p{p}": (p / 100, False) for p in points}), keys)
 
 
 def against_budget(df: DataFrame, budgets: dict[str, float], name: str) -> DataFrame:

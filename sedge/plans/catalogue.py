@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import command, formats, hashing, numbers, signal, stats, text
-from ..operators import corpus, metrics, ordered, relational, sampling, similarity, swarm, trials
+from ..operators import corpus, metrics, ordered, relational, sampling, similarity, trials
 from ..sources import readers
 from .registry import HASH, NORM, ORACLE, QUERIES, SEED, TOKENS, query, read
 
@@ -581,301 +581,12 @@ def grammar_accepts(spark, d):
     return _commands(spark, d).select("event_id", command.accepted(F.col("raw")).alias("ok"))
 
 
-@query("""WITH i(intent) AS (SELECT unnest(['takeoff', 'land', 'hover', 'abort', 'move', 'altitude', 'rotate', 'formation', 'set_param', 'unknown'])), s(state) AS (SELECT unnest(['LANDED', 'TAKING_OFF', 'FLYING', 'LANDING', 'ABORTED']))
-SELECT intent, state, CASE intent WHEN 'takeoff' THEN state = 'LANDED' WHEN 'land' THEN state IN ('TAKING_OFF', 'FLYING') WHEN 'hover' THEN state IN ('TAKING_OFF', 'FLYING') WHEN 'abort' THEN state IN ('TAKING_OFF', 'FLYING', 'LANDING') WHEN 'set_param' THEN state <> 'ABORTED' WHEN 'unknown' THEN false ELSE state = 'FLYING' END AS legal FROM i, s""")
-def legality_table(spark, d):
-    one = spark.range(1).select(F.explode(F.array(*map(F.lit, command.SLOTS))).alias("intent"))
-    return one.select("intent", F.explode(F.array(*map(F.lit, command.STATES))).alias("state")).select("intent", "state", command.legal(F.col("intent"), F.col("state")).alias("legal"))
-
-
-@query("""WITH n AS (SELECT DISTINCT p_size AS w, (p_partkey % 10)::INT AS t FROM part),
-o AS (SELECT string_split('zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen', ' ') AS ones, string_split('twenty thirty forty fifty sixty seventy eighty ninety', ' ') AS tens)
-SELECT w * 10 + t AS id, CASE WHEN w < 20 THEN ones[w + 1] WHEN w % 10 = 0 THEN tens[w // 10 - 1] ELSE tens[w // 10 - 1] || '-' || ones[w % 10 + 1] END || CASE WHEN t > 0 THEN ' point ' || ones[t + 1] ELSE '' END AS words, CASE WHEN t > 0 THEN w || '.' || t ELSE w::VARCHAR END AS digits FROM n, o""")
-def number_words(spark, d):
-    """Numbers spelled out and read back."""
-    n = read(spark, d, "part").select((F.col("p_size") * 10 + F.col("p_partkey") % 10).cast("int").alias("id")).distinct().withColumn("x", F.col("id") / 10.0)
-    return n.withColumn("words", numbers.number_to_words(F.col("x"))).withColumn("digits", numbers.words_to_digits(F.col("words"))).select("id", "words", "digits")
-
-
-# ---------------------------------------------------------------- signals, swarm, generation
-
-
-@query("""WITH f AS (SELECT vec_id, i // 16 AS frame, sqrt(avg(v::DOUBLE * v::DOUBLE)) AS level FROM (SELECT vec_id, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY ALL), m AS (SELECT vec_id, level, max(level) OVER (PARTITION BY vec_id) AS peak FROM f)
-SELECT vec_id, sqrt(avg(level * level)) AS active FROM m WHERE 20 * log10(greatest(level, 1e-12)) >= 20 * log10(greatest(peak, 1e-12)) - 6 GROUP BY vec_id""")
-def frame_rms_active_level(spark, d):
-    return read(spark, d, "embeddings").select("vec_id", signal.active_rms(F.col("embedding").cast("array<double>"), 16, 6.0).alias("active"))
-
-
-@query()
-def swarm_trials(spark, d):
-    return swarm.trials(spark, ["circle", "line", "wedge"], 50)
-
-
-@query()
-def generated_corpus(spark, d):
-    return corpus.generate(spark, 2000, SEED)
-
-
-@query()
-def perturbed_text(spark, d):
-    g = corpus.generate(spark, 1000, SEED)
-    return g.withColumn("p", corpus.perturb(F.col("transcript"), F.col("id"))).select("id", "transcript", "p.text", "p.ops")
-
-
-@query()
-def composed_records(spark, d):
-    """Generated rows with variants assigned and recognised text joined in."""
-    g = sampling.assign_by_quota(corpus.generate(spark, 1000, SEED), "id", "gold_intent", _SHARES, SEED).withColumnRenamed("assigned", "variant")
-    heard = g.where(F.col("variant").isin("tts_clean", "tts_noise")).select("id", F.regexp_replace("transcript", "please ", "").alias("asr_transcript"), F.lit(True).alias("asr_ok"))
-    return corpus.compose(g, heard, 0.5).select("id", "variant", "action", "transcript", "asr_similarity")
-
-
-_TARGETS = ['{"intent":"hover"}', '{"intent":"land","ids":[1]}', '{"intent":"land"}', '{"intent": "hover"}', '{"intent":"altitude","z":2.5}', '{"intent":"land","ids":[2,1]}']
-_GOLD = ["hover", "land", "hover", "hover", "altitude", "land"]
-
-
-@query(f"""WITH r AS (SELECT event_id, event_id % 6 AS k, ({_GOLD!r})[event_id % 6 + 1] AS gold_intent, CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN event_type || '.' WHEN 2 THEN upper(event_type) ELSE '  ' END AS transcript FROM events),
-b AS (SELECT event_id, list_filter([CASE WHEN k = 3 THEN 'grammar' END, CASE WHEN k IN (3, 5) THEN 'canonical' END, CASE WHEN k = 2 THEN 'intent' END, CASE WHEN trim(transcript) = '' THEN 'blank' END, CASE WHEN transcript <> lower(transcript) THEN 'case' END, CASE WHEN transcript LIKE '%.' THEN 'terminal' END], lambda x: x IS NOT NULL) AS broken FROM r)
-SELECT event_id, broken FROM b WHERE len(broken) > 0""")
-def invariant_violations(spark, d):
-    """Records that break an invariant, with the names of those broken."""
-    at = lambda xs, n: F.get(F.array(*map(F.lit, xs)), (F.col("event_id") % n).cast("int"))
-    kind = F.col("event_type")
-    said = F.get(F.array(kind, F.concat(kind, F.lit(".")), F.upper(kind), F.lit("  ")), (F.col("event_id") % 4).cast("int"))
-    g = read(spark, d, "events").select("event_id", at(_TARGETS, 6).alias("target"), at(_GOLD, 6).alias("gold_intent"), said.alias("transcript"))
-    return corpus.row_violations(g, command.accepted(F.col("target")), corpus.canonical_ok(F.col("target"))).select("event_id", "broken")
-
-
-@query("SELECT axis, value, count(*) AS n FROM (SELECT 'lang' AS axis, lang AS value FROM documents UNION ALL SELECT 'source', source FROM documents) GROUP BY ALL")
-def axis_histogram(spark, d):
-    return corpus.axis_histogram(read(spark, d, "documents"), ["lang", "source"])
-
-
-@query("SELECT 'lang' AS axis, 'it' AS value")
-def missing_axis_values(spark, d):
-    return corpus.missing_values(read(spark, d, "documents"), {"lang": ["de", "en", "es", "fr", "it"]})
-
-
-@query("SELECT lang, n, want FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang) FULL JOIN (SELECT 'en' AS lang, 100::BIGINT AS want UNION ALL SELECT 'xx', 30) USING (lang) WHERE n IS DISTINCT FROM want")
-def group_budgets(spark, d):
-    authored = spark.createDataFrame([("en", 100), ("xx", 5)], "lang string, authored bigint")
-    return corpus.budget_breaches(read(spark, d, "documents"), "lang", 30, authored)
-
-
-@query("SELECT table_name, n FROM (SELECT 'nation' AS table_name, count(*) AS n FROM nation UNION ALL SELECT 'region', count(*) FROM region)")
-def manifest_counts(spark, d):
-    return readers.table_counts(spark, {"nation": f"{d}/nation.parquet", "region": f"{d}/region.parquet"})
-
-
-# ---------------------------------------------------------------- streams
-
-
-def _event_stream(spark, d, columns):
-    from ..streaming import messages
-
-    source = read(spark, d, "events")
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema)
-    return messages.file_source(spark, f"{d}/events*.parquet", ddl, fmt="parquet").select("user_id", "event_id", *columns)
-
-
-def _stream_messages(spark, d):
-    return _event_stream(spark, d, [F.when(F.col("event_type") == "click", "A").otherwise("B").alias("branch"), (F.col("event_id") * 7919 % 1000).alias("seq")])
-
-
-@query(ORACLE["sequence_high_water"])
-def stream_high_water(spark, d):
-    from ..streaming import messages, stateful
-
-    out = messages.run_available(stateful.high_water(_stream_messages(spark, d), "user_id"), "high_water")
-    return out.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if("stale").alias("n_stale"))
-
-
-@query("""SELECT user_id, count(*) FILTER (g IS NULL OR g > 40) AS n_events FROM (SELECT user_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM events WHERE value >= 20) GROUP BY ALL""")
-def stream_debounce(spark, d):
-    from ..streaming import messages, stateful
-
-    out = messages.run_available(stateful.debounced(_event_stream(spark, d, ["value"]), "user_id", "event_id", "value", 20.0, 40), "debounce")
-    return out.groupBy("user_id").agg(F.count("*").alias("n_events"))
-
-
-@query(_FSM_SQL)
-def stream_flight_states(spark, d):
-    from ..streaming import messages, stateful
-
-    names = F.array(*map(F.lit, _INTENTS))
-    intent = F.element_at(names, (F.pmod(F.col("event_id") * 31 + F.col("user_id"), F.lit(len(_INTENTS))) + 1).cast("int")).alias("intent")
-    out = messages.run_available(stateful.flight_states(_event_stream(spark, d, [intent]), "user_id"), "flight")
-    return out.groupBy("user_id").agg(F.max_by("state", "event_id").alias("final_state"), F.count("dispatched").alias("n_dispatched"))
-
-
-@query(_END_SQL)
-def stream_endpoints(spark, d):
-    from ..streaming import messages, stateful
-
-    e = _event_stream(spark, d, [F.least(F.abs("value") / 100, F.lit(1.0)).alias("p")])
-    return messages.run_available(stateful.endpoints(e, "user_id", "event_id", "p", silence=3, pad=1, longest=12), "endpoints")
-
-
-@query("""WITH e AS (SELECT user_id, event_id, event_type, epoch(ts) AS at FROM events) SELECT u.user_id, u.event_id, (SELECT min(r.at) FROM e r WHERE r.user_id = u.user_id AND r.event_type = 'click' AND r.event_id < u.event_id AND r.at >= u.at - 3600
- AND NOT EXISTS (SELECT 1 FROM e o WHERE o.user_id = u.user_id AND o.event_type = 'view' AND o.event_id > r.event_id AND o.event_id < u.event_id AND r.at < o.at - 3600)) AS reflex FROM e u WHERE event_type = 'view'""")
-def stream_reflex_gate(spark, d):
-    from ..streaming import messages, stateful
+_ACTS = ["takeoff", "land", "hover", "abort", "move", "altitude", "rotate", "formation", "set_param", "unknown", "sing"]
 
-    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    kind = F.when(F.col("event_type") == "click", "reflex").when(F.col("event_type") == "view", "utterance")
-    e = _event_stream(spark, d, [kind.alias("kind"), F.when(kind == "reflex", at).otherwise(at - 3600).alias("at")]).where("kind is not null")
-    return messages.run_available(stateful.reflex_gate(e, "user_id", "event_id", 7200.0), "reflex")
 
-
-@query("SELECT user_id, count(*) AS n, count(*) FILTER (branch = 'A') AS n_a FROM (SELECT user_id, CASE WHEN event_type = 'click' THEN 'A' WHEN event_type = 'view' THEN 'B' ELSE 'C' END AS branch FROM events) WHERE branch <> 'C' GROUP BY user_id")
-def message_envelope(spark, d):
-    """Messages written to the wire form and read back; unknown branches are dropped."""
-    from ..streaming import messages
-
-    e = read(spark, d, "events")
-    branch = F.when(F.col("event_type") == "click", "A").when(F.col("event_type") == "view", "B").otherwise("C")
-    wire = e.select(messages.to_wire(F.col("event_id"), branch, F.to_json(F.struct("user_id")), F.lit(0.0)).alias("value"))
-    back = messages.from_wire(wire).select(F.get_json_object("command", "$.user_id").cast("bigint").alias("user_id"), "branch")
-    return back.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("branch") == "A").alias("n_a"))
-
-
-@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r <= 20")
-def event_ring(spark, d):
-    from ..streaming import messages
-
-    return messages.ring(read(spark, d, "events").select("user_id", "event_id"), "user_id", "event_id", 20)
-
-
-# ---------------------------------------------------------------- recorded runs
-
-
-@query("""WITH s AS (SELECT o_custkey, o_orderpriority, list({'c': o_orderstatus = 'F', 'd': CASE WHEN o_orderkey % 3 = 0 THEN 'hover' ELSE 'move' END} ORDER BY o_orderkey) AS s FROM orders GROUP BY ALL)
-SELECT o_orderpriority, count(*) AS n, avg(list_bool_and(list_transform(s, lambda x: x.c))::INT) AS "right", avg(s[len(s)].c::INT) AS right_last, sum(len(s) % 4)::DOUBLE / sum(len(s)) AS error_rate,
- count(*) FILTER (NOT list_bool_and(list_transform(s, lambda x: x.c)) AND list_bool_and(list_transform(s, lambda x: x.d = 'hover')))::DOUBLE / nullif(count(*) FILTER (NOT list_bool_and(list_transform(s, lambda x: x.c))), 0) AS safe_failures, sum(len(s))::BIGINT AS n_segments FROM s GROUP BY o_orderpriority""")
-def condition_summary(spark, d):
-    from ..operators import experiments
-
-    o = read(spark, d, "orders")
-    seg = F.struct(F.col("o_orderkey").alias("k"), (F.col("o_orderstatus") == "F").alias("correct"), F.when(F.col("o_orderkey") % 3 == 0, "hover").otherwise("move").alias("dispatched"))
-    items = o.groupBy("o_custkey", "o_orderpriority").agg(F.array_sort(F.collect_list(seg)).alias("segments")).withColumn("words", F.size("segments")).withColumn("errors", F.col("words") % 4)
-    return experiments.condition_summary(items, "o_orderpriority", "segments", "errors", "words")
-
-
-def _keyword_trials(spark, d):
-    """Each user's events as one keyword trial of their commonest type."""
-    e = read(spark, d, "events")
-    ev = F.struct(F.col("event_id").alias("at"), F.col("event_type").alias("intent"), (F.col("event_id") % 50).cast("int").alias("frame_index"), F.col("value").alias("latency_offset_ms"),
-                  (F.col("event_id") % 2 == 0).alias("in_flight"), (F.col("event_id") % 3 == 0).alias("aborted"), F.col("value").alias("abort_return_ms"), (F.col("value") * 2).alias("server_idle_ms"))
-    return e.groupBy("user_id").agg(F.array_sort(F.collect_list(ev)).alias("events")).withColumn("truth", F.when(F.col("user_id") % 2 == 0, "click").otherwise("view")).withColumn("offset_s", F.lit(0.5))
-
-
-_TRIALS = "t AS (SELECT user_id, list({'i': event_type, 'f': event_id % 50, 'v': value, 'r': event_id % 2 = 0 AND event_id % 3 = 0} ORDER BY event_id) AS ev, CASE WHEN user_id % 2 = 0 THEN 'click' ELSE 'view' END AS truth FROM events GROUP BY user_id)"
-
-
-@query(f"WITH {_TRIALS}, x AS (SELECT truth, list_transform(ev, lambda e: e.i) AS i FROM t) SELECT truth, count(*) AS n, count(*) FILTER (list_contains(i, 'click')) AS fired_click, count(*) FILTER (list_contains(i, 'view')) AS fired_view, count(*) FILTER (NOT list_contains(i, truth)) AS missed FROM x GROUP BY truth")
-def cross_trigger(spark, d):
-    from ..operators import experiments
-
-    return experiments.cross_trigger(_keyword_trials(spark, d), "truth", "events", ["click", "view"])
-
-
-@query(f"""WITH {_TRIALS}, o AS (SELECT truth, list_filter(ev, lambda e: e.i = truth)[1] AS e FROM t), m AS (SELECT truth, e.v AS v, ((e.f + 1) * 0.08 - 0.5) * 1000 AS a, e.r AS r FROM o WHERE e IS NOT NULL),
-l AS (SELECT truth, 'offset' AS measure, v AS value FROM m UNION ALL SELECT truth, 'algorithmic', a FROM m UNION ALL SELECT truth, 'system', v - a FROM m UNION ALL SELECT truth, 'recovery', greatest(v, v * 2) FROM m WHERE r)
-SELECT truth, measure, count(*) AS n, sum(value) AS total, max(value) AS highest FROM l GROUP BY ALL""")
-def keyword_measures(spark, d):
-    from ..operators import experiments
-
-    m = experiments.keyword_measures(_keyword_trials(spark, d), ["truth"], "truth", "events", "offset_s")
-    return m.groupBy("truth", "measure").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max("value").alias("highest"))
-
-
-@query("""WITH x AS (SELECT label, list_position(list_transform(embedding, lambda v: v >= 0.25), true) AS p FROM embeddings WHERE len(embedding) > 0) SELECT label, count(*) AS n, avg((p IS NULL OR p = 0)::INT) AS missed, avg(CASE WHEN p > 0 THEN p * 0.08 - 0.5 END) AS delay_s FROM x GROUP BY label""")
-def trace_scores(spark, d):
-    from ..operators import experiments
-
-    return experiments.trace_scores(read(spark, d, "embeddings").withColumn("end_s", F.lit(0.5)), "label", "embedding", "end_s", 0.25)
-
-
-@query("""WITH c AS (SELECT p_partkey AS path, p_brand AS label, p_type AS voice, p_size AS base, 1 + p_retailprice / 1000 AS scale, CASE WHEN p_partkey % 3 = 0 THEN p_size * 0.1 END AS exact_length FROM part),
-k AS (SELECT base, min(exact_length) AS length FROM c WHERE exact_length IS NOT NULL GROUP BY base), j AS (SELECT * FROM c LEFT JOIN k USING (base)), r AS (SELECT label, voice, quantile_cont(length / scale, 0.5) AS ratio FROM j WHERE length IS NOT NULL GROUP BY ALL)
-SELECT path, 0.25::DOUBLE AS onset, 0.25 + coalesce(length, ratio * scale) AS "end", length IS NOT NULL AS exact FROM j LEFT JOIN r USING (label, voice)""")
-def keyword_spans(spark, d):
-    from ..operators import experiments
-
-    p = read(spark, d, "part")
-    clips = p.select(F.col("p_partkey").alias("path"), F.col("p_brand").alias("label"), F.col("p_type").alias("voice"), F.col("p_size").alias("base"), (1 + F.col("p_retailprice") / 1000).alias("length_scale"), F.lit(0.25).alias("onset"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_size") * 0.1).cast("double").alias("exact_length"))
-    return experiments.keyword_spans(clips)
-
-
-@query("""WITH c AS (SELECT vec_id, unnest(list_transform(embedding, lambda v: v::DOUBLE - list_avg(list_transform(embedding, lambda w: w::DOUBLE)))) AS v, unnest(range(len(embedding))) AS i FROM embeddings), f AS (SELECT vec_id, i // 8 AS frame, sqrt(avg(v * v)) AS level FROM c GROUP BY ALL)
-SELECT vec_id, quantile_cont(level, 0.2) AS floor FROM f GROUP BY vec_id""")
-def take_noise_floor(spark, d):
-    from ..operators import experiments
-
-    return experiments.noise_floor(read(spark, d, "embeddings"), "vec_id", "embedding", 8)
-
-
-@query()
-def take_reports(spark, d):
-    """Quality gate of takes: measures, failures and warnings."""
-    from ..operators import experiments
-
-    takes = read(spark, d, "embeddings").select("vec_id", F.flatten(F.array_repeat(F.col("embedding").cast("array<double>"), 10)).alias("samples"))
-    return experiments.take_report(takes, "vec_id", "samples", 400, F.lit(0.01))
-
-
-@query("""WITH a AS (SELECT doc_id, quality AS l1, toxic AS t1 FROM labels), b AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 1 - quality ELSE quality END AS l2, toxic AS t2 FROM labels)
-SELECT count(*) AS n, avg((l1 = l2)::INT) AS exact, avg((l1 = l2)::INT) AS intent, 2.0 * sum((l1 = l2)::INT + (t1 = t2)::INT) / (4 * count(*)) AS slot_f1 FROM a JOIN b USING (doc_id)""")
-def label_agreement(spark, d):
-    from ..operators import experiments
-
-    lab = read(spark, d, "labels")
-
-    def side(q):
-        label = F.concat(F.lit('{"intent":"'), q.cast("string"), F.lit('"}'))
-        return lab.select("doc_id", label.alias("label"), label.alias("raw"), F.array(F.concat(F.lit("q="), q.cast("string")), F.concat(F.lit("t="), F.col("toxic").cast("string"))).alias("pairs"))
-
-    return experiments.agreement(side(F.col("quality")), side(F.when(F.col("doc_id") % 7 == 0, 1 - F.col("quality")).otherwise(F.col("quality"))), "doc_id")
-
-
-@query("SELECT o_orderkey, round(epoch_us(l) / 86400e6 - epoch_us(o) / 86400e6, 2) AS days FROM (SELECT o_orderkey, o_orderdate AS o, max(l_shipdate) AS l FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)")
-def gap_days(spark, d):
-    from ..operators import experiments
-
-    last = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("l"))
-    return read(spark, d, "orders").join(last, "o_orderkey").select("o_orderkey", experiments.gap_days(F.col("o_orderdate").cast("timestamp"), F.col("l").cast("timestamp")).alias("days"))
-
-
-@query("SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS amount, count(DISTINCT source) AS n_sources FROM documents GROUP BY lang")
-def nested_counts(spark, d):
-    from ..operators import experiments
-
-    out = experiments.nested_counts(read(spark, d, "documents"), "lang", ["source"], "n_chars")
-    return out.select("lang", "n", "amount", F.size("by_source").cast("bigint").alias("n_sources"))
-
-
-@query("""WITH b AS (SELECT event_type AS text, 0 AS s, event_id AS o FROM events UNION ALL SELECT n_name, 1, n_nationkey FROM nation), f AS (SELECT text, min(s * 1000000000000 + o) AS p FROM b GROUP BY text)
-SELECT text, CASE WHEN p < 1000000000000 THEN 'harvested' ELSE 'fallback' END AS provenance FROM f ORDER BY p LIMIT 10""")
-def distinct_then_fill(spark, d):
-    from ..operators import experiments
-
-    rows = read(spark, d, "events").select(F.col("event_type").alias("text"), F.col("event_id").cast("bigint").alias("o"))
-    fallback = read(spark, d, "nation").select(F.col("n_name").alias("text"), F.col("n_nationkey").cast("bigint").alias("o"))
-    return experiments.distinct_then_fill(rows, fallback, "text", "o", 10)
-
-
-@query("SELECT label, md5(string_agg(vec_id || ':' || len(embedding), ',' ORDER BY vec_id)) AS parts, sum(len(embedding))::INT AS n FROM embeddings GROUP BY label")
-def concatenated_arrays(spark, d):
-    from ..operators import experiments
-
-    e = read(spark, d, "embeddings")
-    whole = experiments.concatenated(e, "label", "vec_id", "embedding").select("label", F.size("embedding").alias("n"))
-    named = e.groupBy("label").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", F.size("embedding").alias("k")))), lambda x: F.concat(x["vec_id"].cast("string"), F.lit(":"), x["k"].cast("string"))), ",")).alias("parts"))
-    return whole.join(named, "label")
-
-
-@query("SELECT source, doc_id, CASE WHEN row_number() OVER (PARTITION BY source ORDER BY doc_id) <= floor(count(*) OVER (PARTITION BY source) * 0.7 + 1e-9) THEN 'train' ELSE 'eval' END AS part FROM documents")
-def fold_partition(spark, d):
-    from ..operators import experiments
-
-    return experiments.by_fold(read(spark, d, "documents").select("source", "doc_id"), "source", "doc_id", 0.7)
+@query(f"""WITH e AS (SELECT event_id, ({_ACTS!r})[event_id % 11 + 1] AS intent, (['LANDED', 'TAKING_OFF', 'FLYING', 'LANDING', 'ABORTED'])[user_id % 5 + 1] AS state FROM events)
+SELECT event_id, intent, state, CASE intent WHEN 'takeoff' THEN state = 'LANDED' WHEN 'land' THEN state IN ('TAKING_OFF', 'FLYING') WHEN 'hover' THEN state IN ('TAKING_OFF', 'FLYING') WHEN 'abort' THEN state IN ('TAKING_OFF', 'FLYING', 'LANDING') WHEN 'set_param' THEN state <> 'ABORTED' WHEN 'unknown' THEN false WHEN 'sing' THEN false ELSE state = 'FLYING' END AS legal FROM e""")
+def legality_table(spark, d):
+    """Whether each event's intent may run in its state."""
+    at = lambda xs, k: F.get(F.array(*map(F.lit, xs)), (F.col(k) % len(xs)).cast("int"))
+    return read(spark, d, "events").select("event_id", at(_ACTS, "event_id").alias("intent"), at(command.STATES, "user_id").alias("state")).withColumn("legal", command.legal(F.col("intent"), F.col("state")))

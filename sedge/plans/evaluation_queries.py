@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import command
 from ..operators import evaluation, integrity, link, ordered, trials
 
+from .catalogue import _LEAK_SQL
 from .registry import NORM, SEED, query, read
 
 # ---------------------------------------------------------------- predictions
@@ -137,14 +138,16 @@ def segment_measures(spark, d):
     return trials.percentiles(evaluation.segment_measures(s, ["host"], ["stt", "queue"], derived, F.col("done")), ["host", "measure"])
 
 
-@query("""WITH i AS (SELECT o_orderpriority, o_custkey, o_orderkey, o_totalprice AS a, o_custkey::DOUBLE AS b, CASE WHEN o_orderpriority = '1-URGENT' THEN 'board' ELSE 'desk' END AS host FROM orders WHERE o_orderpriority = '1-URGENT')
-SELECT count(*) AS n, quantile_disc(a + b, 0.5) AS p50, quantile_disc(a + b, 0.95) AS p95 FROM i""")
+@query("""WITH i AS (SELECT o_totalprice + o_custkey AS total FROM orders), a AS (SELECT count(*) AS n, quantile_disc(total, 0.5) AS p50, quantile_disc(total, 0.95) AS p95 FROM i)
+SELECT 'one host' AS run, n, p50, p95 FROM a UNION ALL SELECT 'two hosts', n, CASE WHEN n < 0 THEN p50 END, CASE WHEN n < 0 THEN p95 END FROM a""")
 def stage_sums(spark, d):
+    """Sums of stages over all orders: once measured on one host throughout, once on two, where no percentile may be given."""
     from ..operators import experiments
 
     seg = F.struct(F.col("o_totalprice").alias("a"), F.col("o_custkey").cast("double").alias("b"))
-    items = read(spark, d, "orders").where("o_orderpriority = '1-URGENT'").groupBy("o_custkey").agg(F.collect_list(seg).alias("segments")).withColumn("host", F.lit("board"))
-    return experiments.stage_sums(items, "segments", ["a", "b"], "host", "board")
+    items = read(spark, d, "orders").select(F.array(seg).alias("segments"), "o_orderpriority")
+    of = lambda name, host: experiments.stage_sums(items.withColumn("host", host), "segments", ["a", "b"], "host", "board").select(F.lit(name).alias("run"), "n", "p50", "p95")
+    return of("one host", F.lit("board")).unionByName(of("two hosts", F.when(F.col("o_orderpriority") == "1-URGENT", "desk").otherwise("board")))
 
 
 @query("""WITH a AS (SELECT o_orderpriority AS config, avg(o_totalprice) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT o_orderpriority AS config, avg(o_totalprice) AS w FROM orders WHERE o_orderstatus = 'O' GROUP BY 1), c AS (SELECT config, 100.0 * (w - v) / v AS change FROM a JOIN b USING (config))
@@ -278,11 +281,12 @@ def clip_findings(spark, d):
 _LEAK_NORM = NORM.format("text")
 
 
-@query(f"""WITH r AS (SELECT source, {_LEAK_NORM} AS t FROM documents WHERE lang = 'en'), h AS (SELECT source, doc_id, {_LEAK_NORM} AS t FROM documents WHERE lang <> 'en') SELECT 'family' AS "check", source AS detail FROM (SELECT source FROM r INTERSECT SELECT source FROM h)""")
+@query(f"""WITH r AS (SELECT source FROM documents WHERE lang = 'en'), h AS (SELECT source FROM documents WHERE lang <> 'en'), leaks AS ({_LEAK_SQL.replace("h.doc_id % 2 = 1 AND r.doc_id % 2 = 0 @on", "h.lang <> 'en' AND r.lang = 'en'")})
+SELECT 'family' AS "check", source AS detail FROM (SELECT source FROM r INTERSECT SELECT source FROM h) UNION ALL SELECT 'text', held || ' ' || CASE score WHEN 1 THEN 'equal or same words' ELSE 'near' END FROM leaks""")
 def family_leakage(spark, d):
-    """Families on both sides of a split; near texts are near_dup_cross_split's."""
+    """Families on both sides of a split, and every held-out text that equals or resembles one of the reference."""
     docs = read(spark, d, "documents")
-    return integrity.split_leakage(docs.where("lang = 'en'"), docs.where("lang <> 'en'").withColumn("text", F.lit("")), "doc_id", "text", "source")
+    return integrity.split_leakage(docs.where("lang = 'en'"), docs.where("lang <> 'en'"), "doc_id", "text", "source", most=None)
 
 
 @query("SELECT c_custkey FROM (SELECT c_custkey, c_acctbal, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE '  ' END AS accents, CASE WHEN c_custkey % 5 = 0 THEN 'x' ELSE (c_custkey % 4)::VARCHAR END AS up, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE (c_custkey % 2)::VARCHAR END AS down FROM customer) WHERE trim(accents) <> '' AND try_cast(up AS INT) >= 2 AND try_cast(down AS INT) <= 0")
@@ -353,12 +357,15 @@ def reserved_order(spark, d):
     return m.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("arrival") != F.col("seq")).alias("n_moved"))
 
 
-@query("""WITH s(step, place, path, intent) AS (VALUES (1, 0, 'B', 'takeoff'), (2, 0, 'B-stale', 'formation'), (2, 1, 'A', 'hover'), (3, 0, 'B', 'land')) SELECT step, seq, arrival, branch, intent FROM (VALUES (1, 1::BIGINT, 1::BIGINT, 'B', 'takeoff'), (2, 3, 2, 'A', 'hover'), (2, 2, 3, 'B', 'formation'), (3, 4, 4, 'B', 'land')) t(step, seq, arrival, branch, intent)""")
+@query("""WITH s AS (SELECT user_id, event_id // 4 AS step, event_id % 4 AS place, CASE event_type WHEN 'click' THEN 'A' WHEN 'view' THEN 'B-stale' ELSE 'B' END AS path, event_type AS intent FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY step, path <> 'B-stale', place) AS seq, row_number() OVER (PARTITION BY user_id ORDER BY step, path = 'B-stale', place) AS arrival FROM s)
+SELECT user_id, step, seq, arrival, CASE path WHEN 'A' THEN 'A' ELSE 'B' END AS branch, intent FROM n""")
 def scripted_messages(spark, d):
-    steps = spark.createDataFrame([(1, 0, "B", "takeoff"), (2, 0, "B-stale", "formation"), (2, 1, "A", "hover"), (3, 0, "B", "land")], "step int, place int, path string, intent string")
-    late = F.col("path") == "B-stale"
-    # a stale message takes its number before its step's others
-    return link.scripted(steps.withColumn("place", F.when(late, F.lit(-1)).otherwise(F.col("place")))).select("step", "seq", "arrival", "branch", "intent")
+    """Each user's events as a script: views are numbered before the others of their step and sent after them."""
+    e = read(spark, d, "events")
+    path = F.when(F.col("event_type") == "click", "A").when(F.col("event_type") == "view", "B-stale").otherwise("B")
+    steps = e.select("user_id", F.expr("event_id div 4").alias("step"), (F.col("event_id") % 4).alias("place"), path.alias("path"), F.col("event_type").alias("intent"))
+    return link.scripted(steps, "user_id")
 
 
 @query("SELECT user_id, stretch, arg_max(event_id, ts * 1000000 + event_id) AS event_id FROM (SELECT user_id, event_id, epoch_us(ts)::HUGEINT AS ts, floor(round(epoch(ts) / 3600, 6))::BIGINT AS stretch FROM events) GROUP BY ALL")
@@ -382,14 +389,6 @@ def settled_ticks(spark, d):
     return link.first_settled(shares, ["l_orderkey"], "l_linenumber")
 
 
-@query()
-def closed_loop(spark, d):
-    """Two scripts flown with feedback to the state machine; tested against the protocol's states."""
-    script = ['{"intent":"takeoff","z":5.0}', '{"intent":"formation","shape":"circle","radius":5.0}', '{"intent":"move","dir":"north","dist":10.0}', '{"intent":"formation","shape":"line","spacing":3.0}', '{"intent":"land"}']
-    rows = [("whole", k, c) for k, c in enumerate(script)] + [("abort", 0, script[0]), ("abort", 1, '{"intent":"abort"}'), ("abort", 2, script[0])]
-    return link.fly(spark.createDataFrame(rows, "run string, step int, command string"))
-
-
 @query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'discarded: older than reflex #7' WHEN event_id % 4 = 1 THEN 'logged, never dispatched' WHEN event_id % 4 = 2 THEN 'rejected in FLYING -> hold position' ELSE event_type END AS said FROM events")
 def consumer_outcomes(spark, d):
     k = F.col("event_id") % 4

@@ -29,13 +29,12 @@ KEYWORD_TRIAL = (
 COMMAND = "intent string, shape string, radius double, spacing double, pos array<double>, dir string, dist double, speed double, z double, yaw double, alt double, ids array<int>"
 MESSAGE = "seq bigint, branch string, command string, t_publish double"
 UTTERANCE = "start bigint, end bigint, t0 bigint, forced boolean"
-FORMATION_TRIAL = "shape string, trial int, seed bigint, formation_accuracy double, converged int, convergence_seconds double, collisions int, clamp_activations int, min_pair_distance double, final_mean_error double"
 PIECES_OF_CLIP = "path string, label string, phrase string, base string, split string, seconds double, keyword_offset_s double, source string, voice string, length_scale double, rir string, noise_key string, snr_db int, noise_partition string, gain_db double"
 
 #: The relations that readers.relation() knows by name.
 RELATIONS = {
     "raw_pairs": RAW_PAIR, "records": RECORD, "roundtrip": ROUNDTRIP, "rejects": REJECT, "template_families": FAMILY, "label_pass": LABEL_PASS, "predictions": PREDICTION,
-    "items": ITEM, "keyword_trials": KEYWORD_TRIAL, "utterances": UTTERANCE, "formation_trials": FORMATION_TRIAL, "clips": PIECES_OF_CLIP,
+    "items": ITEM, "keyword_trials": KEYWORD_TRIAL, "utterances": UTTERANCE, "clips": PIECES_OF_CLIP,
 }
 
 

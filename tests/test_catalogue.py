@@ -6,7 +6,7 @@ import math
 import duckdb
 import pytest
 
-from sedge.plans import catalogue, evaluation_queries  # noqa: F401  both list their queries
+from sedge.plans import catalogue, evaluation_queries, more_queries  # noqa: F401  all list their queries
 from sedge.plans.registry import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"

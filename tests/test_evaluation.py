@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from sedge.functions import formats, stats
 from sedge.operators import evaluation, integrity, link
-from sedge.plans.evaluation_queries import closed_loop
 
 
 @pytest.mark.parametrize("q,k,df,p", [(3.877, 3, 10, 0.05), (3.958, 4, 20, 0.05), (4.818, 5, 60, 0.01), (3.314, 3, 1e6, 0.05)])
@@ -89,15 +88,6 @@ def test_unique_across_keeps_the_first_place(spark):
     assert sorted(r["k"] for r in got) == [2, 5]
 
 
-def test_closed_loop_reaches_the_states(spark):
-    rows = {(r["run"], r["step"]): r for r in closed_loop(spark, "").collect()}
-    assert [rows["whole", k]["state"] for k in range(5)] == ["FLYING"] * 4 + ["LANDED"]
-    assert [rows["abort", k]["state"] for k in range(3)] == ["FLYING", "ABORTED", "ABORTED"]
-    assert rows["whole", 0]["z"] == pytest.approx(5, abs=0.3) and rows["whole", 2]["y"] - rows["whole", 1]["y"] == pytest.approx(10, abs=0.5)
-    assert not rows["whole", 4]["motors"] and rows["abort", 2]["dispatched"] is None
-    assert min(r["closest"] for r in rows.values()) >= 0.79
-
-
 def test_retarget(spark):
     xyz = "array<struct<x:double,y:double,z:double>>"
     schema = f"i int, p {xyz}, t {xyz}, c struct<intent:string,z:double,pos:array<double>,dir:string,dist:double,shape:string,radius:double,spacing:double,ids:array<int>>, s string, f boolean"

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sedge.operators import corpus, metrics, ordered, relational, sampling, similarity, swarm, trials
+from sedge.operators import corpus, metrics, ordered, relational, sampling, similarity, trials
 from sedge.sources import readers, writers
 
 
@@ -132,14 +132,6 @@ def test_frames_are_padded(spark):
     assert [(r["frame_index"], r["frame"]) for r in frames(df, "x", 2).orderBy("frame_index").collect()] == [(0, [1, 2]), (1, [3, 4]), (2, [5, 0])]
 
 
-def test_dedup_reverts_and_settles(spark):
-    clean = spark.createDataFrame([("a", "go up"), ("b", "go down"), ("c", "stop"), ("d", "stop"), ("e", "Land!")], "id string, text string")
-    rows = [("a", "go away", "up", 1), ("b", "go away", "down", 2), ("c", "stop", "hover", 3), ("d", "stop", "abort", 4), ("e", "land", "land", 5), ("f", "land", "land", 6)]
-    kept, dropped = corpus.dedup_resolved(spark.createDataFrame(rows, "id string, text string, label string, pos int"), clean, "id", "text", "label", "pos")
-    assert {(r["id"], r["text"]) for r in kept.collect()} == {("a", "go up"), ("b", "go down"), ("c", "stop"), ("e", "land")}
-    assert {(r["id"], r["reason"]) for r in dropped.collect()} == {("d", "conflict"), ("f", "duplicate")}
-
-
 def test_compose_actions(spark):
     train = spark.createDataFrame([("1", "clean", "go up"), ("2", "tts_clean", "go up now"), ("3", "tts_noise", "go up now"), ("4", "tts_noise", "go up now"), ("5", "tts_clean", "Go up"), ("6", "tts_clean", "x")], "id string, variant string, transcript string")
     heard = spark.createDataFrame([("2", "go up know", True), ("3", "zzz qqq", True), ("4", "", True), ("5", "go up!", True)], "id string, asr_transcript string, asr_ok boolean")
@@ -189,16 +181,6 @@ def test_thresholds_and_gains(spark):
     assert {r["k"]: r["gain"] for r in trials.last_gain(g, "k", "o", "v").collect()} == {"a": 3.0, "b": None}
 
 
-def test_swarm_protocol():
-    df = swarm.simulate("circle", [0, 1, 2])
-    assert (df.formation_accuracy == 1.0).all() and (df.collisions == 0).all() and (df.converged == 1).all()
-    assert 3 < df.convergence_seconds.median() < 5
-    p = np.random.default_rng(0).normal(size=(1, 5, 3))
-    slots = swarm.offsets("line", 5)[None]
-    best = ((p - swarm.cheapest(p, slots)) ** 2).sum()
-    assert all(best <= ((p[0] - slots[0][list(o)]) ** 2).sum() + 1e-9 for o in __import__("itertools").permutations(range(5)))
-
-
 def test_readers_and_writers(spark, tmp_path):
     schema = "id string, v int"
     assert readers.json_lines(spark, str(tmp_path / "none.jsonl"), schema).count() == 0
@@ -282,8 +264,6 @@ def test_latex_tables():
 def test_registered_trials_and_resamples_are_the_whole_protocol(spark, small):
     from sedge.plans.catalogue import QUERIES, SEED
 
-    got = {(r["shape"], r["n"]) for r in QUERIES["swarm_trials"](spark, small).groupBy("shape").agg(F.count("*").alias("n")).collect()}
-    assert got == {("circle", 50), ("line", 50), ("wedge", 50)}
     g = spark.read.parquet(f"{small}/events.parquet").groupBy("event_type", "user_id").agg(F.sum("value").alias("num"), F.count("*").alias("den"))
     want = metrics.bootstrap(g, "event_type", "num", "den", seed=SEED, unit="user_id", resamples=10_000).collect()
     assert sorted(map(tuple, QUERIES["bootstrap_interval"](spark, small).collect())) == sorted(map(tuple, want))
