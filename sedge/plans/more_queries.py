@@ -90,3 +90,74 @@ def retargeted(spark, d):
     sent = rows.withColumn("t", link.retarget(F.col("p"), F.array().cast("array<struct<x:double,y:double,z:double>>"), F.col("c"), F.col("s"), F.lit(True)))
     mean = F.aggregate("t", F.lit(0.0), lambda a, x: a + x["z"]) / F.size("t")
     return sent.select("o_orderkey", F.when(F.col("t").isNotNull(), F.size("t").cast("bigint")).alias("n"), F.when(F.col("t").isNotNull(), mean).alias("z"))
+
+
+# ---------------------------------------------------------------- streams with event time
+
+
+def closed_events(spark, d):
+    """The events as a stream of files, with a last row of each type for a user of its own, a thousand days on, so that every watermark passes."""
+    from ..sources.shared import shared_folder
+    from ..streaming import messages
+
+    e = read(spark, d, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    end = e.groupBy("event_type").agg(F.max("ts").alias("ts")).select(F.lit(-1).alias("user_id"), F.lit(-1).alias("event_id"), (F.col("ts") + F.expr("INTERVAL 1000 DAYS")).alias("ts"), "event_type", F.lit(0.0).alias("value"))
+    path = shared_folder(spark, "closed-events")
+    e.unionByName(end).write.parquet(path)
+    return messages.file_source(spark, path, "user_id bigint, event_id bigint, ts timestamp, event_type string, value double", 10_000, "parquet")
+
+
+@query("""WITH e AS (SELECT user_id, event_id, event_type, epoch_us(ts) AS at FROM events)
+SELECT u.user_id, u.event_id, min(r.at) AS reflex FROM e u LEFT JOIN e r ON r.user_id = u.user_id AND r.event_type = 'click' AND r.at BETWEEN u.at - 1800000000 AND u.at + 1800000000 WHERE u.event_type = 'view' GROUP BY ALL""")
+def stream_suppression(spark, d):
+    """Views that start half an hour before they arrive, with the first click of their user within an hour of that: two watermarked streams."""
+    from ..streaming import messages, timed
+
+    views = closed_events(spark, d).where("event_type = 'view'").withColumn("start", F.col("ts") - F.expr("INTERVAL 30 MINUTES"))
+    clicks = closed_events(spark, d).where("event_type = 'click'").withColumnRenamed("ts", "fired")
+    out = messages.run_available(timed.suppressed(views, clicks, "user_id", "event_id", "start", "fired", "1 HOUR"), "suppression")
+    return out.where("user_id >= 0").select("user_id", "event_id", F.unix_micros("reflex").alias("reflex"))
+
+
+@query()
+def stream_timed_endpoints(spark, d):
+    """Utterances of each user's events, those still open at the end closed by a timer; equal to the batch fold with a tail, by test."""
+    from ..streaming import messages, timed
+
+    e = closed_events(spark, d).withColumn("p", F.least(F.abs("value") / 100, F.lit(1.0)))
+    out = messages.run_available(timed.timed_endpoints(e, "user_id", "event_id", "ts", "p", 60_000, silence=3, pad=1, longest=12), "timed")
+    return out.where("user_id >= 0").select("user_id", "start", "end", "t0", "forced", "timer")
+
+
+@query("""WITH s AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS i FROM embeddings)
+SELECT vec_id, i // 24 AS frame_index, count(*) AS n, max(v) AS loudest FROM s GROUP BY ALL""")
+def stream_frames(spark, d):
+    """Embeddings as samples, in whole frames from a streaming source with offsets: the loudest sample of each frame, and how many aren't padding."""
+    from ..streaming import messages, timed
+
+    stream = timed.frame_stream(spark, f"{d}/embeddings.parquet", width=24, idColumn="vec_id", samplesColumn="embedding")
+    out = messages.run_available(stream, "frames")
+    n = F.when(F.col("frame_index") == 2, 64 - 48).otherwise(24).cast("bigint")
+    real = F.slice("samples", F.lit(1), n.cast("int"))
+    return out.select(F.col("id").alias("vec_id"), F.col("frame_index"), n.alias("n"), F.array_max(real).alias("loudest"))
+
+
+@query("SELECT event_type, count(*) AS n, count(*) FILTER (try_cast(replace(substr(props, 7), '}', '') AS BIGINT) IS NULL) AS n_noted FROM events GROUP BY event_type")
+def replayed_batches(spark, d):
+    """Every micro-batch given to the sink twice: its rows are there once, those that fail with a note."""
+    from ..sources.shared import shared_folder
+    from ..streaming import messages, timed
+
+    root = shared_folder(spark, "sink")
+    sink = timed.BatchSink(spark, f"{root}/data")
+    guarded = {"k": F.expr("try_cast(get_json_object(props, '$.k') AS BIGINT)")}
+    source = read(spark, d, "events")
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema)
+
+    def twice(batch, number):
+        sink.put(batch, number, guarded)
+        if sink.put(batch, number, guarded):
+            raise RuntimeError(f"batch {number} was written twice")
+
+    messages.file_source(spark, f"{d}/events*.parquet", ddl, fmt="parquet").writeStream.foreachBatch(twice).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return sink.read().groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("note") != "").alias("n_noted"))
