@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import random
 import re
 
@@ -13,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.command import DIRECTIONS, DRONES, LIMITS, SHAPES, SLOTS, canonical, canonical_column
 from ..functions.numbers import digits_of, spell
+from ..functions.overlap import ratio
 from ..functions.text import normalise_transcript
 from ..schemas import RECORD_COLUMNS
 from ..sources.shared import stored
@@ -120,7 +120,7 @@ def text_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     def one(x, y):
         plain = lambda t: re.sub(r"\s+", " ", re.sub(r"[^\w\s]", "", t.lower())).strip()
         pairs = [(plain(x), plain(y)), (plain(digits_of(x.lower())), plain(digits_of(y.lower())))]
-        return max(difflib.SequenceMatcher(None, p, q).ratio() for p, q in pairs)
+        return max(ratio(p, q) for p, q in dict.fromkeys(pairs))
 
     return pd.Series([None if x is None or y is None else one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import grammar
-from ..operators import corpus, link, swarm
-from .registry import QUERIES, query, read
+from ..functions import grammar, overlap
+from ..operators import corpus, link, sampling, swarm
+from .registry import QUERIES, SEED, query, read
 
 __all__ = ["QUERIES"]
 
@@ -59,6 +59,25 @@ def perturbed_text(spark, d):
     return turns.withColumn("p", corpus.perturb(F.col("text"), F.concat_ws("/", "conv_id", "turn"))).select("conv_id", "turn", "p.text", "p.ops")
 
 
+@query()
+def turn_similarity(spark, d):
+    """Each turn against the one after it in its conversation: their Ratcliff-Obershelp ratio, and whether it reaches 0.6; tested against the definition."""
+    turns = read(spark, d, "conversations").select("conv_id", "turn", "text")
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
+    pairs = turns.join(after, ["conv_id", "turn"])
+    return pairs.select("conv_id", "turn", F.round(overlap.overlap_ratio(F.col("text"), F.col("next")), 9).alias("ratio"), overlap.overlaps(F.col("text"), F.col("next"), F.lit(0.6)).alias("alike"))
+
+
+@query()
+def composed_records(spark, d):
+    """Turns as records of variants by quota, with a recognised text (the turn without its first word) joined in; tested row by row."""
+    t = read(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.min("role").alias("role"), F.min("text").alias("transcript"))
+    rows = t.where("transcript is not null").withColumn("id", F.concat_ws("/", "conv_id", "turn"))
+    g = sampling.assign_by_quota(rows, "id", "role", [("clean", 0.4), ("tts_clean", 0.4), ("tts_noise", 0.2)], SEED).withColumnRenamed("assigned", "variant")
+    heard = g.where(F.col("variant") != "clean").select("id", F.regexp_replace("transcript", r"^\s*\S+\s*", "").alias("asr_transcript"), F.lit(True).alias("asr_ok"))
+    return corpus.compose(g.select("id", "variant", "transcript"), heard, 0.5).select("id", "variant", "action", "transcript", F.round("asr_similarity", 9).alias("asr_similarity"))
+
+
 # ---------------------------------------------------------------- formations
 
 

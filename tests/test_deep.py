@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sedge.functions import assignment, grammar
 from sedge.operators import corpus, ranks, swarm
+from sedge.plans.more_queries import QUERIES
 
 # ---------------------------------------------------------------- grammars
 
@@ -143,7 +144,6 @@ def test_conflicts_equal_a_sequential_loop(spark, seed):
 
 
 def test_conflict_query_equals_a_sequential_loop(spark, small):
-    from sedge.plans.more_queries import QUERIES
 
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     clean = {i + 1: r["text"] for i, r in docs.items() if (i + 1) % 3 and r["text"] is not None}
@@ -221,10 +221,65 @@ def test_order_statistics_equal_sorting(spark, small_groups):
 
 
 def test_perturbed_query_equals_a_loop(spark, small):
-    from sedge.plans.more_queries import QUERIES
 
     texts = {(r["conv_id"], r["turn"]): r["text"] for r in spark.read.parquet(f"{small}/conversations.parquet").collect()}
     for r in QUERIES["perturbed_text"](spark, small).collect():
         t = texts[r["conv_id"], r["turn"]]
         want = (None, []) if t is None else corpus._perturbed(t, random.Random(f"perturb\x1f{r['conv_id']}/{r['turn']}"))
         assert (r["text"], r["ops"]) == want
+
+
+# ---------------------------------------------------------------- overlap
+
+
+@pytest.mark.parametrize("meetings", [1 << 22, -1])
+def test_overlap_equals_its_definition(meetings):
+    """By lists of runs and by automata, with popular characters too."""
+    import difflib
+
+    from sedge.functions import overlap
+
+    rng = random.Random(1)
+    for _ in range(700):
+        n, letters = rng.choice((3, 20, 60, 250, 320)), "abcdefgh "[: rng.randint(2, 9)]
+        a, b = ("".join(rng.choices(letters + x, k=rng.randint(0, n))) for x in ("", "xyzuvw"))
+        if rng.random() < 0.5 and a:
+            j = rng.randrange(len(a))
+            b = a[:j] + rng.choice(letters) + a[j + rng.randint(0, 5) :]
+        want = difflib.SequenceMatcher(None, a, b).ratio()
+        got = 2.0 * overlap.matched(a, b, meetings) / (len(a) + len(b)) if a or b else 1.0
+        assert got == pytest.approx(want, abs=1e-12)
+        assert all(overlap.reaches(a, b, t) == (want >= t) for t in (0.3, 0.6, 0.9))
+
+
+def test_turn_queries_equal_their_definitions(spark, small):
+    import difflib
+
+    texts = {(r["conv_id"], r["turn"]): r["text"] for r in spark.read.parquet(f"{small}/conversations.parquet").collect()}
+    got = {(r["conv_id"], r["turn"]): (r["ratio"], r["alike"]) for r in QUERIES["turn_similarity"](spark, small).collect()}
+    pairs = {(c, t): (x, texts[c, t + 1]) for (c, t), x in texts.items() if (c, t + 1) in texts}
+    assert set(got) == set(pairs)
+    for k, (x, y) in pairs.items():
+        want = None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio()
+        assert got[k] == ((None, None) if want is None else (pytest.approx(want, abs=1e-9), want >= 0.6))
+
+
+def test_composed_query_row_by_row(spark, small):
+    from sedge.functions.numbers import digits_of
+
+    plain = lambda t: " ".join(re.sub(r"[^\w\s]", "", t.lower()).split())
+    texts = {f"{r['conv_id']}/{r['turn']}": r["text"] for r in spark.read.parquet(f"{small}/conversations.parquet").collect()}
+    rows = QUERIES["composed_records"](spark, small).collect()
+    assert len(rows) == sum(t is not None for t in texts.values())
+    import difflib
+
+    for r in rows:
+        text = texts[r["id"]]
+        heard = re.sub(r"^\s*\S+\s*", "", text)
+        if r["variant"] == "clean":
+            assert (r["action"], r["transcript"]) == ("kept", text)
+            continue
+        alike = max(difflib.SequenceMatcher(None, plain(f(text)), plain(f(heard))).ratio() for f in (str.lower, lambda t: digits_of(t.lower())))
+        assert r["asr_similarity"] == pytest.approx(alike, abs=1e-9)
+        want = "failed" if not heard.strip() else "rejected" if alike < 0.5 else "identical" if plain(heard) == plain(text) else "replaced"
+        assert r["action"] == want and r["transcript"] == (heard if want in ("replaced", "identical") else text)
