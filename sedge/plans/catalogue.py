@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import command, formats, hashing, numbers, signal, stats, text
+from ..functions import command, command_variant, formats, hashing, numbers, signal, stats, text
 from ..operators import corpus, metrics, ordered, relational, sampling, similarity, trials
 from ..sources import readers
 from .registry import HASH, NORM, ORACLE, QUERIES, SEED, TOKENS, query, read
@@ -572,8 +572,8 @@ def _commands(spark, d):
 
 @query()
 def command_parse(spark, d):
-    """Canonical form, validation and fallback of raw commands."""
-    return _commands(spark, d).withColumn("c", command.parse_command(F.col("raw"))).select("event_id", "raw", "c.*")
+    """Canonical form, validation and fallback of raw commands, on VARIANT values; equal to the rules' plain statement, by test."""
+    return command_variant.parse_commands(_commands(spark, d), "raw")
 
 
 @query("""SELECT event_id, CASE (event_id % 8 + 8) % 8 WHEN 0 THEN regexp_full_match(v, '-?[0-9]{1,3}(\\.[0-9])?') WHEN 1 THEN false WHEN 2 THEN regexp_full_match(v, '-?[0-9]{1,3}(\\.[0-9])?') WHEN 3 THEN true WHEN 4 THEN (event_id % 9) <= 4 WHEN 5 THEN false WHEN 6 THEN false ELSE regexp_full_match(v, '-?[0-9]{1,3}(\\.[0-9])?') END AS ok FROM (SELECT event_id, printf('%.2f', value) AS v FROM events)""")

@@ -283,3 +283,69 @@ def test_composed_query_row_by_row(spark, small):
         assert r["asr_similarity"] == pytest.approx(alike, abs=1e-9)
         want = "failed" if not heard.strip() else "rejected" if alike < 0.5 else "identical" if plain(heard) == plain(text) else "replaced"
         assert r["action"] == want and r["transcript"] == (heard if want in ("replaced", "identical") else text)
+
+
+# ---------------------------------------------------------------- commands on VARIANT
+
+
+def random_command(rng):
+    from sedge.functions import command
+
+    def value():
+        if rng.random() < 0.55:
+            return rng.choice([rng.randint(-60, 60), round(rng.uniform(-60, 60), 2), rng.uniform(-300, 300), 0.25, 2.675, 400, -180, 180, 181.26])
+        return rng.choice([True, False, None, "1.5", " 2 ", "x", "1_0", "nan", "inf", "1e1", [], [1], {}, {"a": 1}, 'é"\\\n\x01😀', 1e25, 12345678901234567890, "east"])
+
+    intent = rng.choice([*command.SLOTS] * 3 + ["sing", None, 5, []])
+    slots = command.SLOTS.get(intent, ()) if isinstance(intent, str) else ()
+    out = {"intent": intent}
+    for k in {*slots, *rng.choices(["z", "yaw", "x", "ids", "pos", "dir"], k=int(rng.random() < 0.25))}:
+        if rng.random() < 0.3:
+            continue
+        if k == "ids":
+            out[k] = rng.choice([[0], [1, 3, 1], [7], [], ["2", True, None, 2.7, [1]], None, "12", 5, {"1": 2}] if rng.random() < 0.5 else [[0, 1], [4]])
+        elif k == "shape":
+            out[k] = rng.choice([*command.SHAPES] * 4 + ["blob", 3])
+        elif k == "dir":
+            out[k] = rng.choice([*command.DIRECTIONS] * 3 + ["sideways", 3, ["east"]])
+        elif k == "pos":
+            out[k] = rng.choice([[rng.uniform(-80, 80) for _ in range(3)], [rng.randint(-60, 60) for _ in range(3)], [round(rng.uniform(-50, 50), 1) for _ in range(3)], [1, 2], [1, None, 2], ["1", 2, 3], 5])
+        else:
+            out[k] = value() if rng.random() < 0.4 else round(rng.uniform(-5, 60), rng.choice((0, 1, 2, 3)))
+    items = list(out.items())
+    rng.shuffle(items)
+    return dict(items)
+
+
+def test_commands_on_variants_equal_the_plain_rules(spark):
+    from sedge.functions import command
+    from sedge.functions.command_variant import parse_commands
+
+    rng = random.Random(21)
+    texts = []
+    for _ in range(5000):
+        t = json.dumps(random_command(rng), ensure_ascii=rng.random() < 0.5, separators=rng.choice([(",", ":"), (", ", ": ")]))
+        if rng.random() < 0.1:
+            j = rng.randrange(len(t))
+            t = t[:j] + rng.choice('{}[]",: x1') + t[j + rng.randint(0, 1) :]
+        texts.append(t)
+    texts += ["", "null", "[1]", "5", '"a"', ' {"intent":"hover"} ', '{"intent":"hover"} x', '{"intent":"hover"}],[', '{"intent":"hover","intent":"land"}', None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, raw string").repartition(4)
+    made = parse_commands(df, "raw")
+    assert "Python" not in made._jdf.queryExecution().executedPlan().toString()
+    fields = lambda r: (r["canonical"], r["parsed_ok"], r["dispatched"], r["validated"], r["reason"] is None)
+    got = {r["i"]: fields(r) for r in made.collect()}
+    want = {r["i"]: fields(r) for r in df.select("i", command.parse_command("raw").alias("c")).select("i", "c.*").collect()}
+    assert {i: (texts[i], got[i], want[i]) for i in want if got[i] != want[i]} == {}
+    assert sum(w[4] for w in want.values()) > 1500
+
+
+def test_one_decimal_is_half_even_on_the_binary_value(spark):
+    from sedge.functions import command
+    from sedge.functions.command_variant import one_decimal
+
+    rng = random.Random(3)
+    xs = [0.25, 0.15, 2.675, -0.05, 0.05, -0.25, 0.75, 0.35, 1e-9, -1e-300, 49.95, 99.95, 0.95, 1e14 + 0.25, 0.0, -0.0, 5e-324, 1e20, 2.0**70 + 2.0**20, 9.949999999999999, 0.9499999999999998]
+    xs += [rng.uniform(-200, 200) for _ in range(3000)] + [round(rng.uniform(-50, 50), 2) for _ in range(3000)]
+    got = [r["s"] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(one_decimal(F.col("x")).alias("s")).collect()]
+    assert got == [command.number(x) for x in xs]
