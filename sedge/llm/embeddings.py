@@ -17,7 +17,11 @@ not pairs.
 
 Vectors link only with equal labels and equal lengths. Null labels, vectors that are null, empty,
 zero or hold null or non-finite numbers, and rows without vec_id link with nothing (kept, own
-component; for a null vec_id both are null and false). Repeated rows are vectors of their own.
+component; for a null vec_id both are null and false). Repeated rows are vectors of their own; rows that
+share a vec_id are named by it together. Entries of any size count (the largest doubles too). Ties: a
+component's name is its smallest vec_id, so nothing depends on the rows' order. Vectors of any
+length are read whole. Only vec_id, embedding and label are read, so other columns may have any names.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -85,11 +89,16 @@ def codes_of(x: np.ndarray, functions: int) -> np.ndarray:
     return out
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows as unit vectors. Each is first scaled by the power of two that its largest entry calls for, so that no square leaves the range of doubles; that changes no digit."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _unit(column: pa.Array) -> np.ndarray:
     """Rows of equal length as unit vectors in double precision."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    x = flat.reshape(len(column), -1)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    return unit(flat.reshape(len(column), -1))
 
 
 def meet(x: np.ndarray, codes: np.ndarray, table: int, code: int, left: np.ndarray, right: np.ndarray, counts: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -167,8 +176,7 @@ def near_vectors(vectors: DataFrame, least: float = COSINE) -> DataFrame:
         for part in np.split(order, cuts):
             if len(part) < 2:
                 continue
-            x = np.stack(embedding[part]).astype(np.float64)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            x = unit(np.stack(embedding[part]).astype(np.float64))
             codes = np.stack(packed[part]).reshape(len(part), TABLES, -1)
             _, _, tab, code, c1, c2 = keys[part[0]].tolist()
             left = np.flatnonzero(cell[part] == c1)
