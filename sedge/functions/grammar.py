@@ -192,48 +192,74 @@ def _times(token: str) -> tuple[int, int | None]:
     return least, most
 
 
+class Reader:
+    """A graph made ready to read texts: what each node can do by free edges too, and where a character leads, looked up once."""
+
+    def __init__(self, graph: Graph):
+        n = len(graph.reads)
+        ends = {end: name for name, (_, end) in graph.rules.items()}
+        self.rules = graph.rules
+        self.longer: list[list[tuple[str, int]]] = [[] for _ in range(n)]
+        self.single: list[list[tuple[str | Chars, int]]] = [[] for _ in range(n)]
+        self.calls: list[list[tuple[str, int]]] = [[] for _ in range(n)]
+        self.ends: list[frozenset[str]] = [frozenset()] * n
+        self.moves: list[dict[str, tuple[int, ...]]] = [{} for _ in range(n)]
+        for node in range(n):
+            reached, work = {node}, [node]
+            while work:
+                for to in graph.free[work.pop()]:
+                    if to not in reached:
+                        reached.add(to)
+                        work.append(to)
+            self.ends[node] = frozenset(ends[k] for k in reached if k in ends)
+            for k in reached:
+                self.calls[node] += graph.calls[k]
+                for what, to in graph.reads[k]:
+                    (self.longer if isinstance(what, str) and len(what) > 1 else self.single)[node].append((what, to))
+
+    def leads(self, node: int, c: str) -> tuple[int, ...]:
+        got = self.moves[node].get(c)
+        if got is None:
+            got = self.moves[node][c] = tuple(dict.fromkeys(to for what, to in self.single[node] if c in what))
+        return got
+
+    def accepts(self, text: str, root: str = "root") -> bool:
+        """Whether the rule `root` can read the whole text."""
+        if root not in self.rules:
+            raise GrammarError(f"undefined rule: {root}")
+        size, top = len(text), (root, 0)
+        waiting: dict[tuple[str, int], list] = {top: []}
+        ended: dict[tuple[str, int], set[int]] = {top: set()}
+        first = (self.rules[root][0], top, 0)
+        seen, work = {first}, [first]
+        while work:
+            node, frame, at = work.pop()
+            made = []
+            if frame[0] in self.ends[node] and at not in ended[frame]:
+                if frame == top and at == size:
+                    return True
+                ended[frame].add(at)
+                made += [(back, caller, at) for back, caller in waiting[frame]]
+            if at < size:
+                made += [(to, frame, at + 1) for to in self.leads(node, text[at])]
+                made += [(to, frame, at + len(what)) for what, to in self.longer[node] if text.startswith(what, at)]
+            for name, back in self.calls[node]:
+                called = (name, at)
+                if called not in waiting:
+                    waiting[called], ended[called] = [], set()
+                    made.append((self.rules[name][0], called, at))
+                waiting[called].append((back, frame))
+                made += [(back, frame, end) for end in ended[called]]
+            for state in made:
+                if state not in seen:
+                    seen.add(state)
+                    work.append(state)
+        return False
+
+
 def accepts(graph: Graph, text: str, root: str = "root") -> bool:
     """Whether the rule `root` can read the whole text."""
-    if root not in graph.rules:
-        raise GrammarError(f"undefined rule: {root}")
-    size, (start, last) = len(text), graph.rules[root]
-    top = (root, 0)
-    finals = {end: name for name, (_, end) in graph.rules.items()}
-    waiting: dict[tuple[str, int], list] = {top: []}
-    ended: dict[tuple[str, int], set[int]] = {top: set()}
-    seen: set[tuple[int, tuple[str, int], int]] = {(start, top, 0)}
-    work = [(start, top, 0)]
-
-    def go(*state) -> None:
-        if state not in seen:
-            seen.add(state)
-            work.append(state)
-
-    while work:
-        node, frame, at = work.pop()
-        if finals.get(node) == frame[0] and at not in ended[frame]:
-            if frame == top and at == size and node == last:
-                return True
-            ended[frame].add(at)
-            for back, caller in waiting[frame]:
-                go(back, caller, at)
-        for what, to in graph.reads[node]:
-            if isinstance(what, str):
-                if text.startswith(what, at):
-                    go(to, frame, at + len(what))
-            elif at < size and text[at] in what:
-                go(to, frame, at + 1)
-        for to in graph.free[node]:
-            go(to, frame, at)
-        for name, back in graph.calls[node]:
-            called = (name, at)
-            if called not in waiting:
-                waiting[called], ended[called] = [], set()
-                go(graph.rules[name][0], called, at)
-            waiting[called].append((back, frame))
-            for end in list(ended[called]):
-                go(back, frame, end)
-    return False
+    return Reader(graph).accepts(text, root)
 
 
 def accepted_by(source: str, text: Column, root: str = "root") -> Column:
@@ -241,9 +267,9 @@ def accepted_by(source: str, text: Column, root: str = "root") -> Column:
     compile_grammar(source)  # errors show before any task runs
 
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        graph = compile_grammar(source)
+        reader = Reader(compile_grammar(source))
         for texts in batches:
-            known = {t: accepts(graph, t, root) for t in texts.dropna().unique()}
+            known = {t: reader.accepts(t, root) for t in texts.dropna().unique()}
             yield texts.map(lambda t, known=known: known.get(t)).astype("object")
 
     judge.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
