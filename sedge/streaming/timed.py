@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import sys
 import time
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
@@ -175,6 +177,8 @@ class FrameSource(DataSource):
 
 
 def frame_stream(spark: SparkSession, path: str, **options: object) -> DataFrame:
+    # the process that plans a stream's batches doesn't see files added to the session, so the source goes there whole
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(FrameSource)
     return spark.readStream.format("frames").option("path", path).options(**{k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items()}).load()
 
