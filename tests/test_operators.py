@@ -163,6 +163,56 @@ def test_leaks_at_the_threshold(spark):
     assert {(r["held"], r["ref"], round(r["score"], 2)) for r in similarity.leaks(ref, held, "k", "t").collect()} == {(10, 1, 0.85), (11, 2, 1.0)}
 
 
+def _leaks_by_hand(ref, held, t):
+    def sets(w):
+        return set(w), set(zip(w, w[1:])) or {tuple(w)}
+
+    out = {}
+    for k, x in held:
+        for r, y in sorted(ref):
+            score = max(len(a & b) / len(a | b) for a, b in zip(sets(x.split()), sets(y.split())))
+            if score >= t:
+                out[k] = (r, score)
+                break
+    return out
+
+
+@pytest.mark.parametrize("frequent", [1 << 20, 5])
+def test_leaks_equal_all_pairs_whatever_words_are_known(spark, monkeypatch, frequent):
+    monkeypatch.setattr(similarity, "FREQUENT", frequent)
+    rng = random.Random(8)
+    words = [f"w{int(rng.paretovariate(0.7)) % 60}" for _ in range(400)]
+    texts = [[rng.choice(words) for _ in range(rng.choice((1, 2, 7, 13, 30)))] for _ in range(60)]
+    for base in texts[:40]:
+        copy = list(base)
+        copy[rng.randrange(len(copy))] = "x"
+        texts += [copy, list(base)]
+    rows = list(enumerate(" ".join(w) for w in texts))
+    rng.shuffle(rows)
+    ref, held = rows[::2], rows[1::2]
+    for t in (0.85, 0.7):
+        got = similarity.leaks(spark.createDataFrame(ref, "k bigint, t string"), spark.createDataFrame(held, "k bigint, t string"), "k", "t", t).collect()
+        assert {r["held"]: (r["ref"], r["score"]) for r in got} == _leaks_by_hand(ref, held, t)
+
+
+def test_leaks_of_a_group_of_near_copies_try_few_pairs(spark, monkeypatch):
+    """Words that aren't in a prefix are never written, and near copies don't meet all pairs."""
+    written, stored = {}, similarity.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        written[name] = written.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(similarity, "stored", counted)
+    base = [f"w{k}" for k in range(200)]
+    rows = [(k, " ".join([*base, f"own{k}"])) for k in range(200)]
+    df = spark.createDataFrame(rows, "k bigint, t string")
+    got = similarity.leaks(df.where("k % 2 = 0"), df.where("k % 2 = 1"), "k", "t").collect()
+    assert sorted((r["held"], r["ref"]) for r in got) == [(k, 0) for k in range(1, 200, 2)]
+    assert written["pairs"] < 4 * 100 + 100 and written["prefixes"] < 0.2 * 200 * 401
+
+
 def test_metrics_on_empty_and_degenerate_groups(spark):
     empty = spark.createDataFrame([], "correct boolean, dispatched string, parsed_ok boolean")
     r = metrics.summary(empty).first()
