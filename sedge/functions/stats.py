@@ -180,6 +180,16 @@ def poisson_counts(seeds: np.ndarray, resamples: int) -> np.ndarray:
     return np.searchsorted(_POISSON, x ^ (x >> np.uint64(31)), side="right")
 
 
+def poisson_sums(seeds: np.ndarray, times: np.ndarray, resamples: int) -> np.ndarray:
+    """What poisson_counts() of `times` rows each add up to (a Poisson variable of mean `times`); one draw for each resample, however many rows they are."""
+    out = np.empty((len(seeds), resamples))
+    once = times == 1
+    out[once] = poisson_counts(seeds[once], resamples)
+    for k in np.flatnonzero(~once):
+        out[k] = np.random.default_rng(int(seeds[k])).poisson(float(times[k]), resamples)
+    return out
+
+
 def poisson_bootstrap(df: DataFrame, keys: list[str], ratios: dict[str, tuple[Column, Column]], seed: int, unit: str, resamples: int = 10_000, confidence: float = 0.95) -> DataFrame:
     """Per group and measure: n, ratio of sums, and the nearest-rank percentile interval of that ratio over Poisson resamples (lo, hi; null for fewer than two rows).
 
@@ -187,12 +197,16 @@ def poisson_bootstrap(df: DataFrame, keys: list[str], ratios: dict[str, tuple[Co
     measure. Each row joins each resample a Poisson number of times (mean 1) that its unit (an id; rows
     with one id are drawn together) and the seed fix, the same for all measures, so a resample's sums
     are plain partial sums: tasks send one pair of sums a group, measure and resample, and no group's rows meet.
+    Units of a group whose sums are equal are one draw of their number's Poisson variable, so the work follows
+    the distinct sums and not the rows where there are fewer of them.
     """
     measures = list(ratios)
     cells = [x for a, b in ratios.values() for x in (F.when(b > 0, a).otherwise(0).cast("double"), F.when(b > 0, b).otherwise(0).cast("double"))]
     rows = df.select(*keys, F.xxhash64(F.lit(seed), F.col(unit)).alias("u"), *[F.coalesce(c, F.lit(0.0)).alias(f"_x{k}") for k, c in enumerate(cells)])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keys)])
     columns = [f"_x{k}" for k in range(len(cells))]
+    units = rows.groupBy(*keys, "u").agg(*[F.sum(c).alias(c) for c in columns])
+    alike = units.groupBy(*keys, *columns).agg(F.min("u").alias("u"), F.count("*").alias("_n"))
 
     def resampled(it):
         sums: dict[tuple, np.ndarray] = {}
@@ -200,14 +214,14 @@ def poisson_bootstrap(df: DataFrame, keys: list[str], ratios: dict[str, tuple[Co
             for key, part in pdf.groupby(keys, dropna=False):
                 total = sums.setdefault(key, np.zeros((len(columns), resamples)))
                 values = part[columns].to_numpy().T
-                seeds = part["u"].to_numpy().view(np.uint64)
+                seeds, times = part["u"].to_numpy().view(np.uint64), part["_n"].to_numpy()
                 for at in range(0, len(seeds), 64):
-                    total += values[:, at : at + 64] @ poisson_counts(seeds[at : at + 64], resamples).astype(float)
+                    total += values[:, at : at + 64] @ poisson_sums(seeds[at : at + 64], times[at : at + 64], resamples)
         for key, total in sums.items():
             for k, name in enumerate(measures):
                 yield pd.DataFrame(dict(zip(keys, key, strict=True)) | {"measure": name, "i": np.arange(resamples), "a": total[2 * k], "b": total[2 * k + 1]})
 
-    drawn = rows.repartition("u").mapInPandas(resampled, f"{fields}, measure string, i bigint, a double, b double")
+    drawn = alike.repartition("u").mapInPandas(resampled, f"{fields}, measure string, i bigint, a double, b double")
     group = [*keys, "measure"]
     each = drawn.groupBy(*group, "i").agg((F.sum("a") / F.nullif(F.sum("b"), F.lit(0.0))).alias("x"))
     half = (1 - confidence) / 2

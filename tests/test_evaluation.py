@@ -44,6 +44,18 @@ def test_ratio_intervals_cover(spark):
     assert got["wer"]["n"] == 240
 
 
+def test_units_of_equal_sums_are_one_draw(spark):
+    seeds = np.array([7, 8, 9], np.uint64)
+    drawn = stats.poisson_sums(seeds, np.array([1, 400, 1]), 10_000)
+    assert (drawn[[0, 2]] == stats.poisson_counts(seeds[[0, 2]], 10_000)).all()
+    assert drawn[1].mean() == pytest.approx(400, rel=0.01) and drawn[1].var() == pytest.approx(400, rel=0.05)
+    df = spark.range(100_000).select("id", F.lit("c").alias("g"), (F.col("id") % 4 == 0).cast("int").alias("ok"))
+    got = evaluation.ratio_intervals(df, "g", "id", {"crr": (F.col("ok"), F.lit(1))}, 3).first()
+    half = 1.96 * (0.25 * 0.75 / 100_000) ** 0.5
+    assert (got["n"], got["ratio"]) == (100_000, 0.25)
+    assert (got["lo"], got["hi"]) == (pytest.approx(0.25 - half, abs=half / 10), pytest.approx(0.25 + half, abs=half / 10))
+
+
 def test_operating_point_must_be_one_row(spark):
     curve = spark.createDataFrame([(0.1, 1), (0.2, 2), (0.2, 3)], "t double, n int")
     assert evaluation.operating_point(curve, "t", 0.1).first()["n"] == 1
