@@ -45,3 +45,18 @@ def test_keep_one_equals_all_pairs(docs_of, monkeypatch, first, cell):
     assert 10 < len(want) < len(rows) - 20
     prints = {i: simhash.fingerprint((t or "").encode()) for i, t in rows}
     assert any((prints[i] ^ prints[j]).bit_count() > 4 and len(shingle_set(t) & shingle_set(s)) >= 0.8 * len(shingle_set(t) | shingle_set(s)) > 0 for i, t in rows for j, s in rows if i < j)
+
+
+def test_keep_one_looks_first_at_what_the_trees_link(docs_of, monkeypatch):
+    from sedge.llm import similar, simhash
+
+    asked, given = [], []
+    trees, verified = simhash.near_duplicates, similar._verified
+    monkeypatch.setattr(simhash, "near_duplicates", lambda docs: asked.append(1) or trees(docs))
+    monkeypatch.setattr(similar, "_verified", lambda pairs, sets: given.append(pairs.count()) or verified(pairs, sets))
+    monkeypatch.setattr(similar, "FIRST", 0)
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(3000)}" for _ in range(600)]
+    rows = [(k, edited(rng, base, 1) if k else " ".join(base)) for k in range(12)] + [(50, ""), (51, "other words")]
+    assert {r["doc_id"] for r in simhash.keep_one(docs_of(rows)).collect()} == kept_by_all_pairs(rows) == {0, 50, 51}
+    assert asked == [1] and given[0] > 0
