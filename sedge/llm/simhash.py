@@ -254,7 +254,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, shard_points: int = SHA
     distinct = store(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
     n = distinct.count()
     roots = components(links(distinct, n, shard_points))
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    rooted = store(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "rooted")
     named = by_root(rooted, "root", "low", n, "component_id").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -458,6 +458,21 @@ def test_stars_of_very_many_edges(spark, monkeypatch):
     assert sorted(map(tuple, common.components(edges).collect())) == want
 
 
+def test_few_edges_need_no_rounds(spark, monkeypatch):
+    """One task's forest is the result; with many tasks' edges the rounds, forests over again or not, give the same."""
+    from sedge.llm import common
+
+    edges = spark.createDataFrame([(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 140)] + [(k, 300 - k) for k in range(130, 150)], "u bigint, v bigint").repartition(7)
+    measured = common._measured
+    monkeypatch.setattr(common, "_measured", None)
+    want = sorted(map(tuple, common.components(edges).collect()))
+    assert len({r for _, r in want}) == 12 and dict(want)[60] == 0
+    monkeypatch.setattr(common, "_measured", measured)
+    for most in (10, 40, 100):
+        monkeypatch.setattr(common, "TASK_EDGES", most)
+        assert sorted(map(tuple, common.components(edges).collect())) == want
+
+
 def test_equal_blocks_are_searched_by_the_others():
     from sedge.llm.common import local_forest
     from sedge.llm.simhash import BLOCKS, Shards, shard_edges

@@ -60,3 +60,22 @@ def test_keep_one_looks_first_at_what_the_trees_link(docs_of, monkeypatch):
     rows = [(k, edited(rng, base, 1) if k else " ".join(base)) for k in range(12)] + [(50, ""), (51, "other words")]
     assert {r["doc_id"] for r in simhash.keep_one(docs_of(rows)).collect()} == kept_by_all_pairs(rows) == {0, 50, 51}
     assert asked == [1] and given[0] > 0
+
+
+def test_no_step_plans_another_steps_joins_over_again(docs_of, monkeypatch):
+    """The driver holds a step's whole plan, with figures of every task of it."""
+    from sedge.llm import common, similar, simhash
+
+    joins = {}
+
+    def counted(df, name):
+        joins[name] = max(joins.get(name, 0), df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return store(df, name)
+
+    store = common.store
+    for module in (common, similar, simhash):
+        monkeypatch.setattr(module, "store", counted)
+    monkeypatch.setattr(common, "HOT_KEYS", 10**9)
+    rows = [(k, f"a b c d e f g{k // 50}") for k in range(210)]
+    assert {r["doc_id"] for r in simhash.keep_one(docs_of(rows)).collect()} == kept_by_all_pairs(rows)
+    assert len(joins) > 8 and max(joins.values()) <= 6, joins
