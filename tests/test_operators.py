@@ -195,6 +195,17 @@ def test_leaks_equal_all_pairs_whatever_words_are_known(spark, monkeypatch, freq
         assert {r["held"]: (r["ref"], r["score"]) for r in got} == _leaks_by_hand(ref, held, t)
 
 
+def test_leaks_normalise_each_text_once(spark, monkeypatch):
+    """Normalising is most of the work: of each side's two replacements none is planned again for the filter or the digest."""
+    plans = []
+    write = similarity.stored
+    monkeypatch.setattr(similarity, "stored", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, name))
+    odd = spark.createDataFrame([(0, "A\t\u00a0b \u2003 c,\u0085--d_e\u3000 \u0661\u00bd! "), (1, "a b c d_e \u0661\u00bd"), (2, " \t "), (3, None)], "k bigint, t string")
+    got = similarity.leaks(odd.where("k % 2 = 0"), odd.where("k % 2 = 1"), "k", "t").collect()
+    assert [tuple(r) for r in got] == [(1, 0, 1.0)]
+    assert plans[0].count("regexp_replace") == 4
+
+
 def test_leaks_of_a_group_of_near_copies_try_few_pairs(spark, monkeypatch):
     """Words that aren't in a prefix are never written, and near copies don't meet all pairs."""
     written, stored = {}, similarity.stored
