@@ -206,6 +206,21 @@ def test_leaks_normalise_each_text_once(spark, monkeypatch):
     assert plans[0].count("regexp_replace") == 4
 
 
+def test_leaks_work_on_pieces_of_a_batch(monkeypatch):
+    """A task's memory follows PIECE and its longest text, not the rows of a batch."""
+    import pyarrow as pa
+
+    lists = [[1, 2, 3], [], [4] * 9, [5], [], [6, 7], [8]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(lists, pa.list_(pa.int64()))], ["k", "w"])
+    for most in (1, 2, 4, 100):
+        monkeypatch.setattr(similarity, "PIECE", most)
+        pieces = list(similarity._pieces(batch, 1))
+        assert [x for p in pieces for x in p.to_pylist()] == batch.to_pylist()
+        assert all(sum(map(len, p.column(1).to_pylist()[:-1])) < most and p.num_rows for p in pieces)
+        assert (len(pieces) == 1) == (most == 100)
+    assert list(similarity._pieces(batch.slice(0, 0), 1)) == []
+
+
 def test_leaks_of_a_group_of_near_copies_try_few_pairs(spark, monkeypatch):
     """Words that aren't in a prefix are never written, and near copies don't meet all pairs."""
     written, stored = {}, similarity.stored
