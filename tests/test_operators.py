@@ -239,6 +239,55 @@ def test_leaks_of_a_group_of_near_copies_try_few_pairs(spark, monkeypatch):
     assert written["pairs"] < 4 * 100 + 100 and written["prefixes"] < 0.2 * 200 * 401
 
 
+def test_leaks_move_no_texts_of_pairs_that_only_meet(spark, monkeypatch):
+    """One shared rare word isn't enough, nor are some common ones: marks tell such pairs without their texts."""
+    written, stored = {}, similarity.stored
+    monkeypatch.setattr(similarity, "stored", lambda df, name: written.setdefault(name, []).append(df.count()) or stored(df, name))
+    rng = random.Random(5)
+    rows = [(k, " ".join([f"rare{k // 2}", *(f"w{rng.randrange(300)}" for _ in range(150))])) for k in range(80)]
+    near = " ".join(f"v{k}" for k in range(150))
+    rows += [(100, near), (101, near + " end")]
+    df = spark.createDataFrame(rows, "k bigint, t string")
+    got = similarity.leaks(df.where("k % 2 = 0"), df.where("k % 2 = 1"), "k", "t").collect()
+    assert [(r["held"], r["ref"]) for r in got] == [(101, 100)]
+    assert sum(written["pairs"]) <= 2
+
+
+def test_marks_never_say_more_than_sets_differ():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 64, 65, 200, 3000):
+        for extra in (0, 1, n // 3, 2 * n):
+            one = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            two = np.concatenate([one[extra // 2 :], rng.integers(0, 1 << 63, extra, dtype=np.uint64)])
+            apart, least = len(np.setxor1d(one, two)), similarity._apart(similarity._marks(one), similarity._marks(two))
+            assert least <= apart and (apart - least) % 2 == 0
+
+
+def test_leaks_leave_neither_texts_nor_shuffles(spark, monkeypatch):
+    from pathlib import Path
+
+    kept, write = {}, similarity.stored
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("|").split("|")
+    shuffled = lambda: {f for f in files() if "/shuffle_" in f}
+
+    def noted(df, name):
+        before = shuffled()
+        out = write(df, name)
+        assert not shuffled() - before, name
+        kept.setdefault(name, []).extend(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(similarity, "stored", noted)
+    rows = [(k, " ".join(f"w{k // 3 + j}" for j in range(60))) for k in range(60)]
+    df = spark.createDataFrame(rows, "k bigint, t string").repartition(4)
+    got = similarity.leaks(df.where("k % 2 = 0"), df.where("k % 2 = 1"), "k", "t")
+    there = {name for name, files in kept.items() if any(Path(f.removeprefix("file:")).exists() for f in files)}
+    assert {"sources", "texts", "prefixes", "first"} <= kept.keys() and there <= {"asked", "first", "pairs", "nodes"}
+    assert got.count() == 30
+
+
 def test_metrics_on_empty_and_degenerate_groups(spark):
     empty = spark.createDataFrame([], "correct boolean, dispatched string, parsed_ok boolean")
     r = metrics.summary(empty).first()
