@@ -239,7 +239,8 @@ def test_leaks_of_a_group_of_near_copies_try_few_pairs(spark, monkeypatch):
     assert written["pairs"] < 4 * 100 + 100 and written["prefixes"] < 0.2 * 200 * 401
 
 
-def test_leaks_move_no_texts_of_pairs_that_only_meet(spark, monkeypatch):
+@pytest.mark.parametrize("within", [None, "g"])
+def test_leaks_move_no_texts_of_pairs_that_only_meet(spark, monkeypatch, within):
     """One shared rare word isn't enough, nor are some common ones: marks tell such pairs without their texts."""
     written, stored = {}, similarity.stored
     monkeypatch.setattr(similarity, "stored", lambda df, name: written.setdefault(name, []).append(df.count()) or stored(df, name))
@@ -247,8 +248,8 @@ def test_leaks_move_no_texts_of_pairs_that_only_meet(spark, monkeypatch):
     rows = [(k, " ".join([f"rare{k // 2}", *(f"w{rng.randrange(300)}" for _ in range(150))])) for k in range(80)]
     near = " ".join(f"v{k}" for k in range(150))
     rows += [(100, near), (101, near + " end")]
-    df = spark.createDataFrame(rows, "k bigint, t string")
-    got = similarity.leaks(df.where("k % 2 = 0"), df.where("k % 2 = 1"), "k", "t").collect()
+    df = spark.createDataFrame(rows, "k bigint, t string").selectExpr("*", "k % 4 div 2 as g")
+    got = similarity.leaks(df.where("k % 2 = 0"), df.where("k % 2 = 1"), "k", "t", within=within).collect()
     assert [(r["held"], r["ref"]) for r in got] == [(101, 100)]
     assert sum(written["pairs"]) <= 2
 
