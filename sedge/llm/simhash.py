@@ -263,7 +263,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The documents of which none with a smaller doc_id is a near copy by the pipeline's own rule (similar.py); of rows with one doc_id, all stay together.
 
     What near_duplicates() links by vantage-point trees is looked at first and verified on whole sets of shingles. As 4 bits
-    reach only nearly identical texts, similar.py finds the other texts of its rule.
+    reach only nearly identical texts, similar.py finds the other texts of its rule, all of them.
     """
     found = smallest_of_components(docs, near_duplicates(docs).select("doc_id", "component_id"))
     return docs.join(found, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))

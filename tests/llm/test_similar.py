@@ -47,6 +47,27 @@ def test_keep_one_equals_all_pairs(docs_of, monkeypatch, first, cell):
     assert any((prints[i] ^ prints[j]).bit_count() > 4 and len(shingle_set(t) & shingle_set(s)) >= 0.8 * len(shingle_set(t) | shingle_set(s)) > 0 for i, t in rows for j, s in rows if i < j)
 
 
+@pytest.mark.parametrize("frequent, bits", [(1 << 18, 1 << 26), (5, 64)])
+def test_keep_one_finds_near_copies_that_share_no_band(docs_of, monkeypatch, frequent, bits):
+    """Bands and trees decide what is looked at first, not what is found."""
+    from pyspark.sql import functions as F
+
+    from sedge.llm import similar, simhash
+
+    sketches = similar.sketches
+    monkeypatch.setattr(similar, "sketches", lambda *args: sketches(*args).withColumn("bands", F.array().cast("array<bigint>")))
+    monkeypatch.setattr(similar, "FREQUENT", frequent, raising=False)
+    monkeypatch.setattr(similar, "MET_BITS", bits, raising=False)
+    rng = random.Random(12)
+    line = [f"c{k}" for k in range(12)]
+    base = [[f"w{rng.randrange(3000)}" for _ in range(n)] + line for n in (30, 60, 200, 400)]
+    rows = [(k, " ".join(b)) for k, b in enumerate(base)] + [(100 + k, edited(rng, base[k % 4], 1 + k % 4)) for k in range(40)]
+    rows += [(300, None), (301, ""), (302, "one two"), (303, "ONE\ttwo")] + [(400 + k, " ".join([*line, *(f"u{rng.randrange(10**6)}" for _ in range(50))])) for k in range(20)]
+    want = kept_by_all_pairs(rows)
+    assert {r["doc_id"] for r in simhash.keep_one(docs_of(rows)).collect()} == want
+    assert 24 < len(want) < len(rows) - 10
+
+
 def test_keep_one_looks_first_at_what_the_trees_link(docs_of, monkeypatch):
     from sedge.llm import similar, simhash
 
